@@ -23,14 +23,16 @@ def digest(text) -> F.Column:
 
 
 def frequent(slim: DataFrame, support: float) -> list[str]:
-    """Misra-Gries candidates: at most 1/support digests, whatever the input."""
+    """Misra-Gries candidates: at most 1/support digests, whatever the input.
+
+    Which ones are named may differ from call to call, as partial tables merge in any order: call it once.
+    """
     found = slim.freqItems(["text_sha256"], support).first()
     return sorted(x for x in (found[0] or []) if x is not None) if found else []
 
 
-def winners(slim: DataFrame, support: float) -> tuple[DataFrame, DataFrame]:
-    """(digest, keep_id, group_size, n_top) of frequent groups and of all others; n_top counts rows tied at the top."""
-    top = frequent(slim, support)
+def winners(slim: DataFrame, top: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(digest, keep_id, group_size, n_top) of the groups in top and of all others; n_top counts rows tied at the top."""
     hot = F.col("text_sha256").isin(top) if top else F.lit(False)
 
     def grouped(rows: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def decide(slim: DataFrame, support: float = SUPPORT) -> DataFrame:
     """slim(_id, text_sha256) -> the same rows with keep_id, group_size and _n_top."""
     top = frequent(slim, support)
     hot = F.col("text_sha256").isin(top) if top else F.lit(False)
-    hot_groups, rest_groups = winners(slim, support)
+    hot_groups, rest_groups = winners(slim, top)
     # The winners number at most 1/support rows by the guarantee of Misra-Gries, so the broadcast is bounded.
     hot_rows = slim.filter(hot).join(F.broadcast(hot_groups), "text_sha256")
     rest_rows = slim.filter(~hot).join(rest_groups, "text_sha256")
@@ -75,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, one per distinct text, with the columns of docs."""
     slim = keep(docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("text_sha256")), "digests")
-    hot_groups, rest_groups = winners(slim, support)
+    hot_groups, rest_groups = winners(slim, frequent(slim, support))
     hot_groups = keep(hot_groups, "winners")
     rest_groups = keep(rest_groups.filter("group_size > 1"), "groups")
     marked = docs.withColumn("_quill_sha", digest(F.col(text_col)))
