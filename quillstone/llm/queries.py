@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, mixing, secret_scan, url_filter
+from quillstone.llm import exact_dedup, mixing, secret_scan, simhash, url_filter
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -39,7 +39,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_exact_dedup, op6_secret_scan)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_groups(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_exact_dedup, op6_secret_scan, op10_simhash)}
 
 
 OP1_SQL = f"""
