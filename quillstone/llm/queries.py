@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, mixing, secret_scan, simhash, url_filter
+from quillstone.llm import exact_dedup, mixing, secret_scan, simhash, toxicity, url_filter
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -39,12 +39,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Learnt from the labels of documents whose crc32 mod 4 is not 2."""
+    labels = _read(spark, sf_dir, "labels").filter(toxicity.remainder("doc_id", 4) != 2)
+    return toxicity.fit(docs, labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (toxicity.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_exact_dedup, op6_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_exact_dedup, op6_secret_scan, op9_toxicity, op10_simhash)}
 
 
 OP1_SQL = f"""
