@@ -222,15 +222,20 @@ def link_fingerprints(points: DataFrame, radius: int = 2, sample: int = SAMPLE,
     return dealt.groupBy("shard").applyInArrow(solve, "u long, v long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """(id, fp long, component_id): the smallest id reachable over links of fingerprints within radius."""
-    prints = keep(fingerprints(docs, id_col, text_col, size), "prints")
+def group_prints(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """prints(_id, fp), read more than once -> with component_id: the smallest id reachable over links within radius."""
     points = keep(prints.groupBy("fp").agg(F.min("_id").alias("_least")), "points")
     found = components(keep(link_fingerprints(points.select("fp"), radius), "links"))
     placed = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
     placed = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return prints.join(placed, "fp").select("_id", "fp", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """(id, fp long, component_id) for every row."""
+    prints = keep(fingerprints(docs, id_col, text_col, size), "prints")
+    return group_prints(prints, radius).withColumnRenamed("_id", id_col)
 
 
 def hex_print(fp: Column) -> Column:
