@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, exact_dedup, html_extract, mixing, secret_scan, simhash, toxicity, url_filter
+from quillstone.llm import decontaminate, exact_dedup, html_extract, lm_score, mixing, secret_scan, simhash, toxicity, url_filter
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -25,6 +25,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -64,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op9_toxicity, op10_simhash)}
 
 
 OP1_SQL = f"""
