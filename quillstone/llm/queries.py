@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, exact_dedup, html_extract, lm_score, mixing, secret_scan, simhash, toxicity, url_filter
+from quillstone.llm import decontaminate, exact_dedup, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -51,6 +51,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Learnt from the labels of documents whose crc32 mod 4 is not 2."""
     labels = _read(spark, sf_dir, "labels").filter(toxicity.remainder("doc_id", 4) != 2)
@@ -68,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash)}
 
 
 OP1_SQL = f"""
