@@ -6,6 +6,11 @@ import string
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,38 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A sieve has at most so many bits (8 MB), however many keys there are.
+SIEVE_BITS = 26
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that is true for every key (and few other values), to thin rows on the map side before a join.
+
+    One bit a key in a set of at most 2**SIEVE_BITS bits: with more keys it fills up and thins less, but never loses a key.
+    """
+    spark = keys.sparkSession
+    hashed = keys.select(F.xxhash64(column).alias("h"))
+    bits = min(SIEVE_BITS, max(16, (32 * hashed.count()).bit_length()))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        words = held.view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(words[some], pa.int64())], ["k", "w"])
+
+    words = np.zeros(1 << (bits - 6), np.int64)
+    found = hashed.mapInArrow(gather, "k long, w long").groupBy("k").agg(F.bit_or("w").alias("w")).toPandas()
+    words[found["k"].to_numpy(np.int64)] = found["w"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(words.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((held.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+
+    return lambda value: maybe(F.xxhash64(value))
