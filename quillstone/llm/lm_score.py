@@ -13,7 +13,7 @@ frequent n-grams cost one entry per block, nothing is skewed, and every task hol
 block or one bucket. What returns to the driver are counts of events by quantised
 probabilities (HALF-octave levels), which the weights are learned from.
 
-Hashes of n-grams are cut to 14 bits more than the corpus has n-grams (a chance of 2**-14
+Hashes of n-grams are cut to 12 bits more than the corpus has n-grams (a chance of 2**-12
 that one meets another at any corpus size); words keep 64 bits.
 
 Null and empty texts are an end alone; rows may repeat; ids may be null (the id's text is
@@ -36,10 +36,10 @@ from quillstone.llm.decontaminate import scramble
 from quillstone.llm.simhash import lists_of
 
 FOLDS, TEST_FOLD, MIX_FOLD = 7, 2, 3
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: n-gram entries that one bucket should hold.
-BUCKET = 3_000_000
-SPARE_BITS = 14
+BUCKET = 1_500_000
+SPARE_BITS = 10
 CONTEXTS = 12
 LEVELS = 2  # per octave
 COUNT, MIX_SET, TEST = 0, 1, 2
@@ -61,6 +61,23 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
+def sorted_kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    s = np.sort(h)
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    return s[first], np.diff(np.r_[first, len(s)])
+
+
+def ranks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct values, as their sorted table, and the place of each element in it."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
+    place = np.empty(len(h), np.int32)
+    place[order] = (np.cumsum(new) - 1).astype(np.int32)
+    return s[new], place
+
+
 def n_grams(tokens: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
     """Hashes of the unigram, bigram and trigram that end at each token; rows end with END and begin after START."""
     first = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
@@ -86,7 +103,8 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             nonlocal made
             ids, lens, tokens, _ = held.pop(part)
             tokens, lens = np.concatenate(tokens), np.concatenate(lens)
-            vocab, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            vocab, inverse = ranks(tokens)
+            counts = np.bincount(inverse, minlength=len(vocab))
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -125,18 +143,14 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.mapInArrow(run, f"block long, part int, n long, ids array<{id_type}>, lens binary, words binary, vocab binary")
 
 
-class Block:
-    """A block's n-grams: per order the sorted distinct hashes, and each token's place in them."""
-
-    def __init__(self, lens: bytes, ids: bytes, vocab: bytes, bits: int):
-        self.lens = unpack(lens, np.uint32).astype(np.int64)
-        tokens = unpack(vocab, np.uint64)[unpack(ids, np.uint32)]
-        shift = np.uint64(64 - bits)
-        self.hashes = [h if order == 0 else h >> shift for order, h in enumerate(n_grams(tokens, self.lens))]
-        self.tables = [np.unique(h) for h in self.hashes]
-
-    def places(self, order: int) -> np.ndarray:
-        return np.searchsorted(self.tables[order], self.hashes[order])
+def hashes_of(row: dict, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Document lengths of a block, and the n-gram hashes that end at each token, by order."""
+    lens = unpack(row["lens"], np.uint32).astype(np.int64)
+    tokens = unpack(row["vocab"], np.uint64)[unpack(row["words"], np.uint32)]
+    found = n_grams(tokens, lens)
+    for order in (1, 2):
+        found[order] >>= np.uint64(64 - bits)
+    return lens, found
 
 
 def width(order: int, bits: int) -> int:
@@ -149,10 +163,11 @@ def totals(blocks: DataFrame, bits: int, split: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row["lens"], row["words"], row["vocab"], bits)
+                _, found = hashes_of(row, bits)
                 for order in range(3):
-                    table = block.tables[order]
-                    counts = np.bincount(block.places(order), minlength=len(table)).astype(np.uint32) if row["part"] != TEST else np.zeros(len(table), np.uint32)
+                    table, counts = sorted_kinds(found[order])
+                    found[order] = None
+                    counts = counts.astype(np.uint32) if row["part"] != TEST else np.zeros(len(table), np.uint32)
                     cuts = np.searchsorted(table, np.arange(1, 1 << split, dtype=np.uint64) << np.uint64(width(order, bits) - split)) if split else np.empty(0, np.int64)
                     cuts = np.r_[0, cuts, len(table)]
                     slots = [b for b in range(1 << split) if cuts[b] < cuts[b + 1]]
@@ -169,8 +184,9 @@ def totals(blocks: DataFrame, bits: int, split: int) -> DataFrame:
         rows = group.to_pylist()
         parts = [np.cumsum(unpack(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]
         counts = [unpack(r["counts"], np.uint32) for r in rows]
-        table, place = np.unique(np.concatenate(parts), return_inverse=True)
         ends = np.cumsum([0, *map(len, parts)])
+        table, place = ranks(np.concatenate(parts))
+        del parts
         total, counted = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
         for r, c, a, b in zip(rows, counts, ends[:-1], ends[1:], strict=True):
             if r["part"] != TEST:
@@ -198,14 +214,18 @@ def bucket_of(c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
 BUCKETS = 2 * CONTEXTS + 1
 
 
-def estimates(block: Block, counts: list[np.ndarray], docs: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: context bucket, its three estimates (rows x 3: trigram, bigram, unigram), and its own count."""
-    c1, c2, c3 = (counts[o][block.places(o)].astype(np.float64) for o in range(3))
-    first = np.r_[0, np.cumsum(block.lens)[:-1]].astype(np.int64)
-    h1, h2 = np.r_[0, c1[:-1]], np.r_[0, c2[:-1]]
+def estimates(row: dict, bits: int, counts: list[np.ndarray], docs: int, tokens: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Lengths of a block's documents and per token: context bucket, trigram, bigram and unigram estimates, own count."""
+    lens, found = hashes_of(row, bits)
+    seen = []
+    for order in range(3):
+        seen.append(counts[order][ranks(found[order])[1]].astype(np.float64))
+        found[order] = None
+    first = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
+    h1, h2 = np.r_[0, seen[0][:-1]], np.r_[0, seen[1][:-1]]
     h1[first] = h2[first] = docs
-    p = np.stack([c3 / np.maximum(h2, 1), c2 / np.maximum(h1, 1), c1 / max(tokens, 1)], axis=1)
-    return bucket_of(h2, h1), np.minimum(p, 1.0), c1
+    p = [seen[2] / np.maximum(h2, 1), seen[1] / np.maximum(h1, 1), seen[0] / max(tokens, 1)]
+    return lens, bucket_of(h2, h1), [np.minimum(x, 1.0) for x in p], seen[0]
 
 
 def level(p: np.ndarray) -> np.ndarray:
@@ -261,10 +281,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def events(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, n = [], []
         for row in left.to_pylist():
-            block = Block(row["lens"], row["words"], row["vocab"], bits)
-            bucket, p, _ = estimates(block, replies(right, "counted", split), count_docs, count_tokens)
-            l3, l2, l1 = (level(p[:, k]) for k in range(3))
-            c, m = np.unique(bucket << 21 | l3 << 14 | l2 << 7 | l1, return_counts=True)
+            _, bucket, p, _ = estimates(row, bits, replies(right, "counted", split), count_docs, count_tokens)
+            l3, l2, l1 = map(level, p)
+            c, m = sorted_kinds(bucket << 21 | l3 << 14 | l2 << 7 | l1)
             cells.append(c)
             n.append(m)
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -280,18 +299,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for i, row in enumerate(left.select(["part", "lens", "words", "vocab"]).to_pylist()):
-            block = Block(row["lens"], row["words"], row["vocab"], bits)
-            bucket, p, c = estimates(block, replies(right, "total", split), train_docs, tokens)
-            w = weights[bucket]
-            log = np.log10((w[:, :3] * p).sum(1) + w[:, 3] * floor)
+            lens, bucket, p, c = estimates(row, bits, replies(right, "total", split), train_docs, tokens)
+            log = np.log10(sum(weights[:, k][bucket] * p[k] for k in range(3)) + weights[:, 3][bucket] * floor)
             base = np.log10((c + 1) / (tokens + 1 * (kinds + 1)))
-            first = np.r_[0, np.cumsum(block.lens)[:-1]].astype(np.int64)
+            first = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
             add = lambda x: np.add.reduceat(x, first)
             ids = left.column("ids").chunk(0) if left.column("ids").num_chunks == 1 else left.column("ids").combine_chunks()
             ids = ids.slice(i, 1).flatten()
             out.append(
                 pa.table(
-                    [ids, pa.array([row["part"] == TEST] * len(ids)), pa.array(block.lens, pa.int64()), pa.array(add((c > 0).astype(np.int64)), pa.int64()), pa.array([tokens] * len(ids), pa.int64()), pa.array(add(base)), pa.array(add(log))],
+                    [ids, pa.array([row["part"] == TEST] * len(ids)), pa.array(lens, pa.int64()), pa.array(add((c > 0).astype(np.int64)), pa.int64()), pa.array([tokens] * len(ids), pa.int64()), pa.array(add(base)), pa.array(add(log))],
                     names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
             )
