@@ -1,7 +1,13 @@
-"""All queries of the library bound to the driver's tables, and their SQL."""
+"""All queries of the library bound to the driver's tables, and their SQL.
+
+A name begins with the inventory rows that the query exercises.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from quillstone.plans import code, feedback, retrieval, scalars
+from quillstone.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "r11_hybrid_search"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "code", "feedback", "retrieval", "scalars"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,11 @@ SCHEMA = (
     "patch_id string, path string, previous_path string, change_type string, added_lines int, removed_lines int, error string, "
     "hunks array<struct<old_start:int, old_lines:int, new_start:int, new_lines:int, header:string, patch_text:string>>"
 )
+FILE_KEYS = ("path", "previous_path", "change_type", "added_lines", "removed_lines", "hunks")
+HUNK_TYPE = pa.struct([*((k, pa.int32()) for k in ("old_start", "old_lines", "new_start", "new_lines")), ("header", pa.string()), ("patch_text", pa.string())])
+ARROW = pa.schema(
+    [*((k, pa.string()) for k in ("patch_id", "path", "previous_path", "change_type")), ("added_lines", pa.int32()), ("removed_lines", pa.int32()), ("error", pa.string()), ("hunks", pa.list_(HUNK_TYPE))]
+)
 
 
 def _name(text: str) -> str | None:
@@ -67,7 +72,8 @@ def parse_patch(text: str) -> list[dict]:
                 i += 1
             if left < 0 or right < 0:
                 raise ValueError("a hunk is longer than its header says")
-            now["hunks"].append((int(found[1]), n_old, int(found[3]), n_new, found[5], "\n".join([line, *body])))
+            places = {"old_start": int(found[1]), "old_lines": n_old, "new_start": int(found[3]), "new_lines": n_new}
+            now["hunks"].append(places | {"header": found[5], "patch_text": "\n".join([line, *body])})
     for f in files:
         f["change_type"] = "renamed" if f["rename"] else "added" if f["old"] is None else "deleted" if f["new"] is None else "modified"
         f["previous_path"] = f["old"] if f["rename"] else None
@@ -77,21 +83,17 @@ def parse_patch(text: str) -> list[dict]:
 def parse_patches(patches: DataFrame) -> DataFrame:
     """patches(patch_id, patch) -> one row per file with its hunks, or one with an error. [S9, S10]"""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in SCHEMA.split(", ")[:7]] + ["hunks"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for pid, text in zip(batch["patch_id"], batch["patch"], strict=True):
+            for pid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows += [(pid, f["path"], f["previous_path"], f["change_type"], f["added_lines"], f["removed_lines"], None, f["hunks"]) for f in parse_patch(text or "")]
+                    rows += [{"patch_id": pid, "error": None} | {k: f[k] for k in FILE_KEYS} for f in parse_patch(text or "")]
                 except ValueError as x:
-                    rows.append((pid, None, None, None, 0, 0, str(x), []))
-            frame = pd.DataFrame(rows, columns=names)
-            keys = ("old_start", "old_lines", "new_start", "new_lines", "header", "patch_text")
-            frame["hunks"] = [[dict(zip(keys, h, strict=True)) for h in hs] for hs in frame["hunks"]]
-            yield frame
+                    rows.append({"patch_id": pid, "error": str(x), "hunks": []})
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    return patches.select("patch_id", "patch").mapInPandas(run, SCHEMA)
+    return patches.select("patch_id", "patch").mapInArrow(run, SCHEMA)
 
 
 def hunks_of(files: DataFrame) -> DataFrame:
