@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.simhash import lists_of
+from quillstone.llm.simhash import lists_of, sliced
 
 GRAM = 3
 REACH = 6
@@ -201,7 +201,7 @@ def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_ty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
         seen = np.zeros(len(block.lookup.table), np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             flat, starts = lists_of(batch.column(1))
             g = grams(flat, GRAM)
             at, to = block.lookup.find(g)
@@ -219,7 +219,7 @@ def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_ty
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = ready.value
         names = pa.array(block.items)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             flat, starts = lists_of(batch.column(1))
             for row, item, share in block.match(flat, starts, threshold):
                 if len(row):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import ascii_lower, keep, words
 from quillstone.llm.decontaminate import scramble
-from quillstone.llm.simhash import lists_of
+from quillstone.llm.simhash import lists_of, sliced
 
 FOLDS, TEST_FOLD, MIX_FOLD = 7, 2, 3
 BLOCK = 1_000_000
@@ -120,7 +120,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["block", "part", "n", "ids", "lens", "words", "vocab"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches, 2):
             flat, starts = lists_of(batch.column(2))
             flat = flat.astype(np.uint64)
             parts = np.asarray(batch.column(1))

@@ -57,6 +57,17 @@ def lists_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return values, starts - starts[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a list column has about so many values in each, or one row."""
+    for batch in batches:
+        starts = np.asarray(batch.column(column).offsets, dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + most, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def majority(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The majority fingerprint of each row's hashes; zero for a row without any."""
     rows = len(starts) - 1
@@ -72,7 +83,7 @@ def majority(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         values, starts = lists_of(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(values, starts), pa.int64())], ["_id", "fp"])
 
