@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.simhash import lists_of, sliced
 
 GRAM = 3
-REACH = 6
+REACH = 3
 SEGMENT = 64
 SLACK = 12
 THRESHOLD = 0.5
