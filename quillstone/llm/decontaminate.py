@@ -17,10 +17,12 @@ ids group together; empty tables give no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,10 +198,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
 
 
 def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_type: str, item_type: str) -> DataFrame:
-    held = spark.sparkContext.broadcast(block)
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
+        block = pickle.loads(held.value)
         seen = np.zeros(len(block.lookup.table), np.int64)
         for batch in sliced(batches, 1):
             flat, starts = lists_of(batch.column(1))
@@ -214,10 +216,10 @@ def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_ty
     for r in tokens.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # as many rows as the block has 3-grams
         counts[r["k"]] = r["n"]
     block.choose(counts)
-    ready = spark.sparkContext.broadcast(block)
+    ready = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = ready.value
+        block = pickle.loads(ready.value)
         names = pa.array(block.items)
         for batch in sliced(batches, 1):
             flat, starts = lists_of(batch.column(1))
