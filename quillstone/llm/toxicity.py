@@ -6,7 +6,7 @@
    each voter's accuracy and the correlation of voters beyond what the posterior
    explains; correlated voters share one vote.
 3. A linear classifier (logistic regression over word and prefix features) is trained on
-   the posterior labels, and scores every whole text.
+   the posterior labels, calibrated on the sample, and scores every whole text.
 
 Only the text is an input of a score. Null and empty texts get the score of a text
 without evidence. Rows repeat freely; labels for unknown documents, null labels and
@@ -166,6 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = (lexicon["p"].to_numpy(float) + prior) / (lexicon["p"].to_numpy(float) + lexicon["n"].to_numpy(float) + 1)
     q = label_model(x[:, :k] > 0, prior, first)[0] if k else np.full(len(x), prior)
     w, bias = logistic(x, q)
+    # Scale and shift the scores so that they read as chances on the labelled sample.
+    scale, shift = logistic((x @ w + bias)[:, None], held["_y"].to_numpy(float), ridge=1.0)
+    scale = max(float(scale[0]), 0.1)
+    w, bias = w * scale, bias * scale + shift
     return Model(bias, {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-4})
 
 
