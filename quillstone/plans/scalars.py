@@ -81,7 +81,7 @@ def _(spark, sf):
     return o.select("o_orderkey", key.alias("dedup_key"))
 
 
-@query("p12_size_and_s6_subject", "SELECT doc_id, octet_length(encode(text)) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, CASE WHEN trim(string_split(text, chr(10))[1], ' ') <> '' THEN trim(string_split(text, chr(10))[1], ' ') END AS subject FROM documents")
+@query("p12_size_and_s6_subject", "SELECT doc_id, octet_length(encode(text))::INT AS bytes, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS lines, CASE WHEN trim(string_split(text, chr(10))[1], ' ') <> '' THEN trim(string_split(text, chr(10))[1], ' ') END AS subject FROM documents")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
