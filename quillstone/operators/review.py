@@ -113,19 +113,23 @@ def restarted(runs: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(may, "queued").otherwise(F.col("status")))
 
 
-def route_model(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """Model of each request by priority: the named one, a local one, an allowed remote one, any local. [D16, J23]
+def route_model(requests: DataFrame, models: list[tuple[str, bool, int]]) -> DataFrame:
+    """Model of each request by priority: the named one, a local one, an allowed remote one, any local. [D16, D28, J23]
 
-    requests(request_id, named, min_level, deep, allow_remote); models(model, is_local, level).
+    requests(request_id, named, min_level, deep, allow_remote); models: (name, is_local, level), a short list of settings.
     """
-    # The catalogue of models is a short list of settings.
-    pairs = requests.join(models, F.lit(True))
-    fits = F.col("level") >= F.col("min_level")
-    rank = (
-        F.when((F.col("model") == F.col("named")) & fits, 0).when(F.col("is_local") & fits & ~F.col("deep"), 1)
-        .when(~F.col("is_local") & F.col("allow_remote") & fits, 2).when(F.col("is_local"), 3)
-    )
-    return pairs.withColumn("_r", rank).filter("_r IS NOT NULL").groupBy("request_id").agg(F.min_by("model", F.struct("_r", "model")).alias("model"))
+
+    def choice(name: str, is_local: bool, level: int) -> Column:
+        fits = F.col("min_level") <= level
+        rank = F.when((F.col("named") == name) & fits, 0)
+        if is_local:
+            rank = rank.when(fits & ~F.col("deep"), 1).otherwise(3)
+        else:
+            rank = rank.when(F.col("allow_remote") & fits, 2)
+        return F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.lit(name).alias("model")))
+
+    best = F.array_min(F.array_compact(F.array(*[choice(*m) for m in models])))["model"] if models else F.lit(None).cast("string")
+    return requests.select("request_id", best.alias("model"))
 
 
 def match_expected(cases: DataFrame, findings: DataFrame) -> DataFrame:

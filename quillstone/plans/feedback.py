@@ -147,8 +147,7 @@ def _(spark, sf):
 def _(spark, sf):
     c = table(spark, sf, "customer")
     requests = c.select(F.col("c_custkey").alias("request_id"), F.when(F.col("c_mktsegment") == "BUILDING", "remote-b").otherwise("").alias("named"), F.lit(1).alias("min_level"), (F.col("c_acctbal") > 5000).alias("deep"), (F.col("c_nationkey") > 10).alias("allow_remote"))
-    models = spark.createDataFrame([("local-s", True, 1), ("remote-a", False, 3), ("remote-b", False, 2)], "model string, is_local boolean, level int")
-    return review.route_model(requests, models)
+    return review.route_model(requests, [("local-s", True, 1), ("remote-a", False, 3), ("remote-b", False, 2)])
 
 
 @query("x1_cursor", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) + 100 AS cursor FROM events")
