@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe".split())
@@ -142,9 +142,11 @@ def is_chrome(node: Node, in_article: bool) -> bool:
     named = [w.lower() for w in WORD.findall(a.get("class", "") + " " + a.get("id", ""))]
     if node.tag in ("html", "body", "article", "main") and "comment" not in named and "comments" not in named:
         return False
-    if not any(w in CHROME_WORDS for w in named):
+    # The header of an article holds its title.
+    words = [w for w in named if w in CHROME_WORDS and not (in_article and w == "header")]
+    if not words:
         return False
-    first = next(w for w in named if w in CHROME_WORDS)
+    first = words[0]
     if first not in ("comment", "comments") and any(w in CONTENT_WORDS for w in named) and holds_article(node):
         return False
     return not holds_article(node) or first in ("comment", "comments", "commentlist", "replies", "related", "recommended", "sidebar")

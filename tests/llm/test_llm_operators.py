@@ -193,6 +193,7 @@ PROSE = "A sentence of some length, with commas, and more words to make it count
         (f"<body class='has-sidebar'><div id=header>Home</div><div class=wrap><div class=main><h2>T</h2><p>{PROSE}<p>{PROSE}</div><div class=sidebar><p>{PROSE}</p></div></div><div class='comments'><p>{PROSE}</p></div><div class=cookie-notice>{PROSE}</div></body>", f"T {PROSE}{PROSE}".strip()),
         (f"<main><p>{PROSE}</p><form>{PROSE}</form><ul><li><a href=1>One page</a><li><a href=2>Two page</a><li><a href=3>Three</a></ul><aside>{PROSE}</aside></main><footer>{PROSE}</footer>", PROSE.strip()),
         ("<article><p>caf&eacute;&nbsp; &#x41;&#66; x<b>y</b>z</p></article>", "café AB xyz"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p title=it's>one</p><p data-x=\"a>b\">two's</p><div class='comment-list'>no</div></article>", "T one two's"),
         ("<article><p>one<br>two</p><div>three</div></article", "one two three"),
     ],
 )
