@@ -13,19 +13,15 @@ matches (extract) are laid end to end. Null text is empty; ids may be null or re
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
+from re import _parser as sre
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import ascii_lower
 
-try:
-    from re import _parser as sre
-except ImportError:  # Python before 3.11
-    import sre_parse as sre
 
 
 @dataclass(frozen=True)
@@ -149,8 +145,7 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
         new = F.array(F.struct(begin.alias("start"), F.lit(place).alias("place"), end.alias("end"))).cast(span)
         return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.min_len, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return found
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
@@ -187,7 +182,3 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
     clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return rows.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).select(docs.columns)
-
-
-#: Used by tests to compare the derivation with Python's own engine.
-compile_rule = lambda rule: re.compile(rule.regex, re.I | re.A if rule.any_case else 0)

@@ -39,7 +39,6 @@ def reversed_labels(host: Column) -> Column:
 
 def rule_events(rules: DataFrame, salts: int) -> DataFrame:
     """Starts and ends of the rules' intervals; an end carries the enclosing rule, as a stack does after a pop."""
-    at = F.instr("rule", "/")
     named = (
         rules.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("_b"))
         .withColumn("verdict", F.when(F.col("_b"), "block").otherwise("allow"))
@@ -48,7 +47,6 @@ def rule_events(rules: DataFrame, salts: int) -> DataFrame:
         .withColumn("_rule", F.struct(F.length("rule").alias("n"), F.length("_rev").alias("h"), "rule", "verdict"))
         .select("_rev", "_path", "_rule")
     )
-    del at
     # The enclosing rule: the longest proper prefix of the path that is a rule of the same host.
     inner = named.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("_path") - 1))).withColumn("_prefix", F.expr("left(_path, _k)"))
     outer = named.select("_rev", F.col("_path").alias("_prefix"), F.col("_rule").alias("_outer"))

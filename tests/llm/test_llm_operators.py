@@ -155,7 +155,6 @@ def test_lm_probabilities_sum_to_at_most_one(spark):
     vocabulary = ["a", "b", "c"]
     train = [(i, " ".join(np.random.default_rng(i).choice(vocabulary, 6)), None, None, None) for i in range(60)]
     asked = [(1000 + k, w, None, None, None) for k, w in enumerate([*vocabulary, "zzz", ""])]
-    test = [r for r in asked]
     ids = iter(i for i in range(10_000, 99_999) if zlib.crc32(str(i).encode()) % 7 == 2)
     test = [(next(ids), *r[1:]) for r in asked]
     got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(train + test, DOCS)).collect()}
