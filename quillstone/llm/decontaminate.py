@@ -1,13 +1,17 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by shared word pairs and Smith-Waterman alignment.
 
 Texts are compared as lower-cased runs of letters and digits. Benchmark items are cut into
-segments of at most SEGMENT words. A first pass over the corpus counts every word 3-gram
-of the items; of each run of REACH neighbouring 3-grams of a segment the rarest becomes a
-seed. A second pass finds the seeds in the documents, and each hit is verified by aligning
-the segment with the words around it (match 1, mismatch and gap -1). A document holds an
-item when some segment scores at least THRESHOLD of its length, so edited and paraphrased
-copies count; segments of fewer than SHORT words must match in full, and items of fewer
-than three words are no evidence and match nothing.
+segments of at most SEGMENT words. A document holds an item when some segment, aligned with
+the document (match 1, mismatch and gap -1), scores at least THRESHOLD of its length, so
+edited and paraphrased copies count; segments of fewer than SHORT words must match in full,
+and items of fewer than three words are no evidence and match nothing.
+
+Only alignments that can reach the score are computed, and none of these is left out: of a
+segment of n words an alignment with m matches, e edits and the score m - e >= s has at least
+m - 1 - e >= s - 1 pairs of neighbouring words in common with the document, each from another
+place of the segment, and as e <= n - s, all of them lie within n - s diagonals. Every pair of
+neighbouring words is looked up, common ones too, and each segment with enough of them in
+a band of diagonals is aligned with the words of that band.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each sent to
 all tasks, so its size is never assumed. Documents are not shuffled, whatever repeats.
@@ -28,15 +32,16 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.simhash import lists_of, sliced
 
-GRAM = 3
-REACH = 3
+#: Words of the least item, and of a run that is looked up.
+LEAST, PAIR = 3, 2
 SEGMENT = 64
-SLACK = 12
 THRESHOLD = 0.5
 SHORT = 8
 #: Words of the benchmark in one block.
 BLOCK_WORDS = 400_000
 PAIRS = 512
+#: Places of word pairs that are held at once.
+HITS = 1_000_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -91,7 +96,7 @@ class Lookup:
 
 
 def segments(tokens: np.ndarray) -> list[np.ndarray]:
-    if len(tokens) < GRAM:
+    if len(tokens) < LEAST:
         return []
     if len(tokens) <= SEGMENT:
         return [tokens]
@@ -116,7 +121,7 @@ def align(seg: np.ndarray, seg_len: np.ndarray, win: np.ndarray, win_len: np.nda
 
 
 class Block:
-    """Segments of some benchmark items and their 3-grams."""
+    """Segments of some benchmark items and their pairs of neighbouring words."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]]):
         self.items = [i for i, _ in items]
@@ -131,49 +136,64 @@ class Block:
         self.padded = np.zeros((len(parts), int(self.lens.max(initial=1))), np.uint64)
         for k, p in enumerate(parts):
             self.padded[k, : len(p)] = p
-        self.lookup = Lookup(np.concatenate([grams(p, GRAM) for p in parts]) if parts else np.empty(0, np.uint64))
-
-    def choose(self, counts: np.ndarray) -> None:
-        """Seeds: of each run of REACH neighbouring 3-grams the rarest in the corpus."""
-        seeds: list[tuple[int, int, int]] = []
-        for k, p in enumerate(self.parts):
-            g = grams(p, GRAM)
-            rank = counts[np.searchsorted(self.lookup.table, g)]
-            reach = min(REACH, len(g))
-            runs = np.lib.stride_tricks.sliding_window_view(rank, reach)
-            for at in np.unique(runs.argmin(axis=1) + np.arange(len(runs))):
-                seeds.append((int(g[at]), k, int(at)))
-        hashes = np.array([s[0] for s in seeds], np.uint64)
+        pairs = [grams(p, PAIR) for p in parts]
+        hashes = np.concatenate(pairs) if parts else np.empty(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
-        self.seeds = Lookup(hashes)
-        self.first = np.searchsorted(hashes[order], self.seeds.table)
-        self.last = np.searchsorted(hashes[order], self.seeds.table, side="right")
-        self.seed_seg = np.array([s[1] for s in seeds], np.int64)[order]
-        self.seed_at = np.array([s[2] for s in seeds], np.int64)[order]
+        self.lookup = Lookup(hashes)
+        self.first = np.searchsorted(hashes[order], self.lookup.table)
+        self.last = np.searchsorted(hashes[order], self.lookup.table, side="right")
+        self.pair_seg = np.repeat(np.arange(len(parts)), [len(p) for p in pairs])[order]
+        self.pair_at = (np.concatenate([np.arange(len(p)) for p in pairs]) if parts else np.empty(0, np.int64))[order]
+
+    def candidates(self, at: np.ndarray, to: np.ndarray, starts: np.ndarray, need: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """(row, segment, cell) of each band of diagonals with pairs enough; a cell reaches over two bands, so any range of one band lies in some cell."""
+        each = self.last[to] - self.first[to]
+        at = np.repeat(at, each)
+        which = np.repeat(self.first[to], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        row, seg = np.searchsorted(starts, at, side="right") - 1, self.pair_seg[which]
+        least = np.maximum(need - 1, 1)
+        groups, group, size = np.unique(row * len(self.parts) + seg, return_inverse=True, return_counts=True)
+        some = size[group] >= least[seg]
+        at, which, row, seg, group = at[some], which[some], row[some], seg[some], group[some]
+        if not len(at):
+            return np.empty((0, 3), np.int64)
+        place = self.pair_at[which]
+        cell = (at - place - starts[row]) // band[seg]
+        cell = np.r_[cell, cell - 1]
+        low = cell.min()
+        span = cell.max() - low + 1
+        # Pairs of one place of the segment count once.
+        own = np.unique((np.r_[group, group] * span + cell - low) * SEGMENT + np.r_[place, place])
+        cells, size = np.unique(own // SEGMENT, return_counts=True)
+        group = groups[cells // span]
+        row, seg = group // len(self.parts), group % len(self.parts)
+        return np.c_[row, seg, cells % span + low][size >= least[seg]]
 
     def match(self, tokens: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, item, share of the segment) of verified hits, batch by batch."""
-        g = grams(tokens, GRAM)
-        at, to = self.seeds.find(g)
-        ok = inside(starts, GRAM, len(g))[at] if len(at) else np.empty(0, bool)
+        g = grams(tokens, PAIR)
+        at, to = self.lookup.find(g)
+        ok = inside(starts, PAIR, len(g))[at] if len(at) else np.empty(0, bool)
         at, to = at[ok], to[ok]
-        each = self.last[to] - self.first[to]
-        at = np.repeat(at, each)
-        which = np.repeat(self.first[to], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        row = np.searchsorted(starts, at, side="right") - 1
-        seg, diag = self.seed_seg[which], at - self.seed_at[which]
-        # Hits of a segment on neighbouring diagonals share a window.
-        key = np.unique(np.c_[row, seg, (diag - starts[row]) // SLACK], axis=0) if len(at) else np.empty((0, 3), np.int64)
-        width = self.padded.shape[1] + 3 * SLACK
-        for a in range(0, len(key), PAIRS):
-            row, seg, cell = key[a : a + PAIRS].T
-            low = np.maximum(starts[row] + cell * SLACK - SLACK, starts[row])
-            high = np.minimum(starts[row] + cell * SLACK + self.lens[seg] + 2 * SLACK, starts[row + 1])
-            place = np.minimum(low[:, None] + np.arange(width), len(tokens) - 1)
-            best = align(self.padded[seg], self.lens[seg], tokens[place].astype(np.uint64), np.maximum(high - low, 0))
-            need = np.where(self.lens[seg] < SHORT, self.lens[seg], threshold * self.lens[seg])
-            good = best >= need
-            yield row[good], self.of[seg[good]], best[good] / self.lens[seg[good]]
+        need = np.where(self.lens < SHORT, self.lens, np.ceil(threshold * self.lens - 1e-9).astype(np.int64))
+        band = np.maximum(self.lens - need, 1)
+        done = np.r_[0, np.cumsum(self.last[to] - self.first[to])]
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + HITS, side="right")) - 1)
+            # Parts overlap by the longest alignment.
+            c = int(np.searchsorted(at, at[b] + 2 * SEGMENT)) if b < len(at) else b
+            key = self.candidates(at[a:c], to[a:c], starts, need, band)
+            a = b
+            for k in range(0, len(key), PAIRS):
+                row, seg, cell = key[k : k + PAIRS].T
+                low = starts[row] + cell * band[seg]
+                high = np.minimum(low + self.lens[seg] + 2 * band[seg], starts[row + 1])
+                low = np.maximum(low, starts[row])
+                place = np.minimum(low[:, None] + np.arange((high - low).max()), len(tokens) - 1)
+                best = align(self.padded[seg, : self.lens[seg].max()], self.lens[seg], tokens[place].astype(np.uint64), high - low)
+                good = best >= need[seg]
+                yield row[good], self.of[seg[good]], best[good] / self.lens[seg[good]]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", threshold=THRESHOLD, block_words=BLOCK_WORDS) -> DataFrame:
@@ -198,24 +218,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
 
 
 def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_type: str, item_type: str) -> DataFrame:
-    held = spark.sparkContext.broadcast(cloudpickle.dumps(block))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pickle.loads(held.value)
-        seen = np.zeros(len(block.lookup.table), np.int64)
-        for batch in sliced(batches, 1):
-            flat, starts = lists_of(batch.column(1))
-            g = grams(flat, GRAM)
-            at, to = block.lookup.find(g)
-            if len(at):
-                seen += np.bincount(to[inside(starts, GRAM, len(g))[at]], minlength=len(seen))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["k", "n"])
-
-    counts = np.zeros(len(block.lookup.table), np.int64)
-    for r in tokens.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # as many rows as the block has 3-grams
-        counts[r["k"]] = r["n"]
-    block.choose(counts)
     ready = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -306,6 +307,32 @@ def test_decontamination_finds_edited_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in parts.collect()} == set(planted)
 
 
+def test_decontamination_finds_every_copy_that_reaches_the_score(spark):
+    """Copies with regular and random edits, beside intact ones, against the alignment of whole texts."""
+    rng, vocab = random.Random(8), list(dict.fromkeys(vocabulary(8, 3000).split()))
+    new = lambda: rng.choice(vocab)
+    items = [(k, [new() for _ in range(n)]) for k, n in enumerate([8, 15, 15, 20, 30, 59, 64])]
+    copies = []
+    for _, w in items:
+        copies += [list(w), [x for i, y in enumerate(w) for x in ([y, new()] if i % 2 else [y])]]
+        copies += [[new() if i % step == step - 1 else x for i, x in enumerate(w)] for step in (3, 4, 5)]
+        for share in (0.15, 0.2, 0.25):
+            copies += [[new() if rng.random() < share else x for x in w] for _ in range(6)]
+    docs = [[new() for _ in range(30)] + c + [new() for _ in range(30)] for c in copies]
+    code = {w: i + 1 for i, w in enumerate(vocab)}
+    coded = [np.array([code[w] for w in d], np.uint64) for d in docs]
+    width = max(map(len, coded))
+    win = np.array([np.pad(d, (0, width - len(d))) for d in coded])
+    want = {}
+    for k, w in items:
+        seg = np.repeat(np.array([[code[x] for x in w]], np.uint64), len(docs), axis=0)
+        best = decontaminate.align(seg, np.full(len(docs), len(w)), win, np.array([len(d) for d in coded]))
+        want |= {(d, k): s / len(w) for d, s in enumerate(best.tolist()) if s >= 0.5 * len(w)}
+    got = decontaminate.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == pytest.approx(want)
+    assert all((k * 23 + i, k) in want for k in range(len(items)) for i in (0, 1, 4))  # whole, split at every pair, every 5th word replaced
+
+
 def test_alignment_scores():
     seg = np.array([[1, 2, 3, 4]], np.uint64)
     score = lambda w: int(decontaminate.align(seg, np.array([4]), np.array([w], np.uint64), np.array([len(w)]))[0])
