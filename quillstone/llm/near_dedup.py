@@ -9,8 +9,12 @@ smallest id of each stays.
 
 No bucket is expanded into pairs: its members are compared with a leader (first one drawn
 by hash); those alike leave, and the one most like the leader leads the rest on, so that the
-text that many copies were made from comes to lead. What is left after a few rounds is
-joined in its bucket, one pair for each two groups that meet. Null ids are never compared and
+text that many copies were made from comes to lead. These first pairs are verified and joined
+to groups. Then whole buckets, and SimHash groups as further buckets, are gone through in
+pieces of bounded size: first for some pairs that may join two groups, then, when these are
+verified and joined, for every candidate pair of texts that are still in different groups. So
+no pair at or above CANDIDATE in a bucket stays unverified unless its texts are joined
+already; the leaders only save work. Null ids are never compared and
 stay; rows that share an id stand or fall together; texts without words are alike.
 """
 
@@ -31,9 +35,11 @@ from quillstone.llm.simhash import group_prints, lists_of, majority, shingles, s
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Share of equal min-hashes from which a pair is verified, and from which a member leaves its bucket.
+#: Share of equal min-hashes from which a pair is verified, and from which a member leaves the rounds of its bucket.
 CANDIDATE, ALIKE = 0.62, 0.8
 ROUNDS = 4
+#: Members of a bucket in one piece, on average.
+PIECE = 512
 SIGNATURE = BANDS * ROWS
 _draw = np.random.default_rng(23)
 XOR = _draw.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
@@ -122,24 +128,71 @@ def rest_links(sig: np.ndarray) -> tuple[list[int], list[int]]:
     return a + left.tolist(), b + partner[left].tolist()
 
 
-def _rest_pairs(kind: str):
+def cross_links(sig: np.ndarray, group: np.ndarray, side: np.ndarray) -> tuple[list[int], list[int]]:
+    """Every candidate pair of rows of different groups; where rows are of two sides, of different sides."""
+    two = len(np.unique(side)) > 1
+    a: list[int] = []
+    b: list[int] = []
+    for i in range(len(sig)):
+        others = np.arange(i + 1, len(sig))
+        others = others[(group[others] != group[i]) & ((side[others] != side[i]) | (not two))]
+        near = others[(sig[others] == sig[i]).mean(axis=1) >= CANDIDATE] if len(others) else others
+        a += near.tolist()
+        b += [i] * len(near)
+    return a, b
+
+
+def _piece_pairs(kind: str, every: bool):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("_id").combine_chunks()
         order = np.array(sorted(range(len(ids)), key=lambda i: ids[i].as_py()))
         sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(-1, SIGNATURE)[order]
-        a, b = rest_links(sig)
+        group = np.unique(table.column("root").combine_chunks().take(pa.array(order)).dictionary_encode().indices.to_numpy(), return_inverse=True)[1]
+        if every:
+            a, b = cross_links(sig, group, table.column("slot").to_numpy()[order])
+        else:
+            a, b = (np.array(x, np.int64) for x in rest_links(sig))
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
         return pa.table({"a": ids.take(pa.array(order[a], pa.int64())), "b": ids.take(pa.array(order[b], pa.int64()))})
 
     return run, f"a {kind}, b {kind}"
 
 
-def candidate_pairs(sk: DataFrame) -> DataFrame:
-    """(a, b), a > b: pairs of ids to verify. sk(_id, fp, sig, bands)."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def open_pairs(buckets: DataFrame, sig: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
+    """(a, b), a > b: candidate pairs of bucket members in different groups(node, root); all, or as many as the members at most a few times over.
+
+    Members are dealt to slots and every two slots meet in a piece, so a bucket of any size takes many tasks.
+    """
+    placed = buckets.join(groups.withColumnRenamed("node", "_id"), "_id", "left").withColumn("root", F.coalesce("root", "_id"))
+    wide = placed.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
+    slots = F.ceil(F.col("_n") / F.lit(PIECE)).cast("int")
+    dealt = placed.join(wide.select("key", slots.alias("_slots")), "key").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("_slots")).cast("int"))
+    dealt = dealt.join(sig, "_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
+    dealt = dealt.select("_id", "key", "root", "slot", "sig", F.least("slot", "_other").alias("_i"), F.greatest("slot", "_other").alias("_j"))
+    run, schema = _piece_pairs(sig.schema["_id"].dataType.simpleString(), every)
+    return _ordered(dealt.groupBy("key", "_i", "_j").applyInArrow(run, schema))
+
+
+def candidate_pairs(sk: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First pairs of ids to verify (a, b), a > b; buckets (_id, key); signatures of their members (_id, sig). sk(_id, fp, sig, bands)."""
     members = sk.select("_id", F.explode("bands").alias("key"))
     lead = members.groupBy("key").agg(F.min("_id").alias("lead"), F.max("_id").alias("_most")).filter("lead < _most")
     members = keep(members.join(lead.select("key"), "key", "left_semi").distinct(), "members")
     # Signatures of the members alone, written once, so that the joins below are plain ones that split where a leader is hot.
-    sig = keep(sk.select("_id", "sig").join(members.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"]), "signatures")
+    prints = keep(group_prints(sk.select("_id", "fp")).select("_id", "component_id").distinct(), "prints")
+    shared = prints.groupBy("component_id").count().filter("count > 1").select("component_id")
+    prints = prints.join(shared, "component_id", "left_semi")
+    buckets = members.unionByName(prints.select("_id", F.xxhash64("component_id", F.lit("simhash")).alias("key"))).distinct()
+    # Bands with the same members are one bucket.
+    alone = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("_id").alias("low"), F.max("_id").alias("high"), F.bit_xor(F.xxhash64("_id")).alias("x"), F.bit_xor(F.xxhash64("_id", F.lit(1))).alias("y"))
+    alone = alone.groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key")
+    buckets = keep(buckets.join(alone, "key", "left_semi"), "buckets")
+    sig = keep(sk.select("_id", "sig").join(members.select("_id").unionByName(prints.select("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"]), "signatures")
     found, left = None, members.count()
     first = left
     # Leaders differ from band to band, so that a text meets many of them.
@@ -165,13 +218,9 @@ def candidate_pairs(sk: DataFrame) -> DataFrame:
         left = members.count()
         if left <= 0.02 * first:
             break
-    if left:
-        run, schema = _rest_pairs(sk.schema["_id"].dataType.simpleString())
-        rest = members.join(sig, "_id").groupBy("key").applyInArrow(run, schema)
-        found = rest if found is None else found.unionByName(rest)
-    close = group_prints(sk.select("_id", "fp")).filter("_id <> component_id").select(F.col("_id").alias("a"), F.col("component_id").alias("b"))
+    close = prints.filter("_id <> component_id").select(F.col("_id").alias("a"), F.col("component_id").alias("b"))
     found = close if found is None else found.unionByName(close)
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _ordered(found), buckets, sig
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -191,8 +240,16 @@ def verified_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for every id of a group of two or more; root is the smallest id of the group."""
     sk = keep(sketches(docs, id_col, text_col), "sketches")
-    pairs = keep(candidate_pairs(sk), "pairs")
-    return components(verified_links(docs, pairs, id_col, text_col, similarity))
+    pairs, buckets, sig = candidate_pairs(sk)
+    tried = keep(pairs, "pairs")
+    links = keep(verified_links(docs, tried, id_col, text_col, similarity), "links")
+    for every in (False, True):
+        more = keep(open_pairs(buckets, sig, keep(components(links), "groups"), every).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(keep(verified_links(docs, more, id_col, text_col, similarity), "links"))
+        tried = tried.unionByName(more)
+    return components(links)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

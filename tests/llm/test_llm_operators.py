@@ -523,6 +523,23 @@ def test_near_dedup_stage(spark):
     assert left == jaccard_roots(list(range(len(texts))), texts)
 
 
+def test_near_dedup_verifies_every_open_candidate(spark, monkeypatch):
+    """Large groups whose members lie on both sides of the threshold, in pieces smaller than a bucket."""
+    monkeypatch.setattr(near_dedup, "PIECE", 20, raising=False)
+    rng = np.random.default_rng(31)
+    texts = []
+    for b in range(4):
+        base = vocabulary(40 + b, 150).split()
+        for _ in range(100):
+            w = list(base)
+            for k in rng.choice(len(w), rng.integers(1, 6), replace=False):
+                w[k] = f"edit{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    left = {r["doc_id"] for r in near_dedup.keep_one(docs).collect()}
+    assert left == jaccard_roots(list(range(len(texts))), texts)
+
+
 def test_near_dedup_odd_rows(spark):
     kept = near_dedup.keep_one(wide(spark))
     assert kept.columns == wide(spark).columns
