@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +34,9 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CHROME_TAGS = frozenset("head nav footer aside form button select svg canvas audio video object dialog menu fieldset datalist script style noscript template textarea title iframe".split())
+#: Chrome tags that a page may wrap around its article, by habit or by a missing end tag.
+WRAPPERS = frozenset("nav footer aside form dialog menu fieldset header".split())
+HEAD = frozenset("title meta link style script noscript template base head html body".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice "
@@ -84,6 +87,8 @@ def parse(page: str) -> Node:
                     at = at.parent
             if tag == "html":
                 continue
+        if tag not in HEAD and at.tag == "head" and at.parent is not None:
+            at = at.parent
         if tag in ENDS_P:
             up = at
             while up is not None and up.tag != "p" and up.tag not in CONTAINER and up.tag not in ("li", "button"):
@@ -152,13 +157,49 @@ def is_chrome(node: Node, in_article: bool) -> bool:
     return not holds_article(node) or first in ("comment", "comments", "commentlist", "replies", "related", "recommended", "sidebar")
 
 
+def wraps_article(root: Node) -> Callable[[Node, bool], bool]:
+    """A test of chrome, by tag or name, for being a wrapper of the article: no article lies outside it, and it holds one or most of the page's paragraph points."""
+    nodes = in_order(root)
+    measure(nodes)
+    points, articles = {}, {}
+    for node in reversed(nodes):
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        own = (1 + node.commas + min(node.size / 100, 3)) * (1 - link_density(node)) if node.size and is_paragraph(node) else 0.0
+        points[node] = max(own, sum(points[k] for k in kids))
+        articles[node] = (node.tag in ("article", "main")) + sum(articles[k] for k in kids)
+
+    def test(node: Node, in_article: bool) -> bool:
+        if in_article or articles[node] < articles[root]:
+            return False
+        a = attributes(node)
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "").lower() in CHROME_ROLES:
+            return False
+        if node.tag in CHROME_TAGS and node.tag not in WRAPPERS:
+            return False
+        named = [w.lower() for w in WORD.findall(a.get("class", "") + " " + a.get("id", ""))]
+        if node.tag not in WRAPPERS and node.tag not in ("article", "main") and any(w.startswith("comment") for w in named) and not any(w in CONTENT_WORDS for w in named):
+            return False
+        return articles[node] > 0 or points[node] > 0.5 * points[root]
+
+    return test
+
+
 def prune(root: Node) -> None:
-    """Take chrome out of the tree."""
+    """Take chrome out of the tree; chrome that wraps the article becomes a plain container."""
+    wraps = wraps_article(root)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in ("article", "main")
-        node.kids = [k for k in node.kids if isinstance(k, str) or not is_chrome(k, inside)]
+        kept: list[Node | str] = []
+        for k in node.kids:
+            if isinstance(k, Node) and is_chrome(k, inside):
+                if not wraps(k, inside):
+                    continue
+                if k.tag in WRAPPERS:
+                    k.tag = "div"
+            kept.append(k)
+        node.kids = kept
         todo += [(k, inside) for k in node.kids if isinstance(k, Node)]
 
 

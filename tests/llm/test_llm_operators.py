@@ -203,6 +203,17 @@ def test_html_pages(page, text):
         assert got == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form action=x>{}</form></body>", "<body><form>{}</body>", "<body><nav><a href=1>Home</a><div>{}</div></body>", "<body><aside><div>{}</div></body>", "<head><title>T</title>{}",
+        "<body><div id=content class='with-sidebar'>{}</div></body>", "<body><article class='hentry comments-open'>{}</article></body>",
+    ],
+)
+def test_html_wrapped_articles(page):
+    assert html_extract.extract(page.format(f"<p>{PROSE}</p><p>{PROSE}</p>")).endswith(f"{PROSE}{PROSE}".strip())
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (None, "u", "<p>" * 3000 + "deep", "z"), (3, "u", "<article>" + f"<p>{PROSE}</p>" * 3000, "z")], "page_id long, url string, html string, n_chars string")
     got = html_extract.main_text(pages).collect()
