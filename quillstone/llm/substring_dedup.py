@@ -1,24 +1,31 @@
 """Substring dedup: bytes covered by a string of LENGTH bytes that starts anywhere else.
 
-Strings of LENGTH bytes are compared in aligned collections. Every such string has one
-anchor, its least-hashed run of GRAM bytes (the leftmost on ties), so equal strings have
+Multi-document column-wise construction. Every string has one anchor, the least-hashed
+run of GRAM bytes (the leftmost on ties) in its first SHORT bytes, so equal strings have
 equal anchors at equal offsets; anchors that occur once in the corpus rule their strings
-out. The text around each remaining anchor joins the collection of that anchor, where all
-members are aligned. A collection is put in order column by column as in multi-document
-construction of a Burrows-Wheeler transform: each round inserts one symbol per member
-before its suffix and re-sorts stably by that symbol, so that after the last round the
-members stand in suffix order; common prefixes of neighbours bound the matches, to the
-right of the anchor and, mirrored, to the left. A string at offset c repeats when another
-member shares its range in both orders.
+out. The text around each place of a remaining anchor is a member of that anchor's
+collection, where all members are aligned. A task reads its collections one after the
+other from a sorted table in the shared folder and builds them column by column: each
+round inserts one symbol before the suffix of every member. The symbols in suffix order
+are the round's column of the Burrows-Wheeler transform; sorting them stably gives the
+next order, and the common prefix of two new neighbours is one more than the least prefix
+between their old places. After the last round the members stand in suffix order with
+their common prefixes, to the right of the anchor and, mirrored, to the left. A string at
+offset c repeats when another member shares its range in both orders. Texts are compared
+byte by byte there; hashes only bring members together.
 
 Copies of a whole text count once, as one representative with its number of copies.
 Strings repeated inside one text are found in the text itself, so periodic texts do not
-swell the collections. An anchor in more than HOT texts is not gathered: its strings are
-counted by two 64-bit hashes with partial aggregation. Every task holds one slice of texts
-or collections of at most HOT members each.
+swell the collections. An anchor with more than HOT places is not gathered: its strings
+are counted by their 128-bit BLAKE2 digests (as texts are told apart by digests too) with
+partial aggregation. So a task holds a slice of texts or collections of at most HOT members.
 
-Texts are UTF-8 bytes; null is empty; matches never cross texts; repeated rows are copies;
-an empty table gives none.
+Strings of SHORT bytes that another text holds too are reported beside (n_shared): they
+show passages that repeat across documents but are too short to be removed.
+
+Texts are UTF-8 bytes of any length; null is empty; matches never cross texts; repeated
+rows are copies; ids may be null or repeat; an empty table gives none. Other columns are
+not read, whatever their names, and equal strings tie in nothing: all of them count.
 """
 
 from __future__ import annotations
@@ -35,11 +42,16 @@ from quillstone.llm.common import keep, partitions
 from quillstone.llm.decontaminate import scramble
 
 LENGTH = 400
+#: Bytes of a string that is reported when another text holds it, and of the part of any string that its anchor is drawn from.
+SHORT = 256
 GRAM = 32
+#: Places of an anchor from which its strings are counted instead of gathered.
 HOT = 4_000
 #: Bytes of text hashed at a time, and members of collections ordered at a time.
 SLICE = 1 << 22
 MEMBERS = 30_000
+#: Low bits of a sort key that hold a place.
+PLACE_BITS = np.uint64(31)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 LETTERS = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -82,16 +94,15 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = SHORT, gram: int = GRAM):
     """Of texts laid end to end: per anchor its row, place, first and last string and the hash of its gram."""
     none = np.empty(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
         return none, none, none, none, none
     grams = Rolling(data, BASES[0]).at(slice(0, len(data) - gram + 1), gram)
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
-    key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-    place = (sliding_min(key, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)[:n]
+    key = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
+    place = (sliding_min(key, length - gram + 1) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)[:n]
     row = np.searchsorted(starts, np.arange(n), side="right") - 1 if len(starts) > 2 else np.zeros(n, np.int64)
     valid = np.arange(n) + length <= starts[1:][row]
     s = np.flatnonzero(valid)
@@ -131,28 +142,34 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             order = np.lexsort((fp, row))
             row, fp = row[order], fp[order]
             first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (fp[1:] != fp[:-1])])
-            many = np.diff(np.r_[first, len(row)]) > 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first] + a)), pa.array(fp[first]), pa.array(many)], ["tid", "fp", "many"])
+            places = np.diff(np.r_[first, len(row)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first] + a)), pa.array(fp[first]), pa.array(places, pa.int32())], ["tid", "fp", "places"])
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """texts(tid, text), copies allowed -> (tid, fps, hots): per text the anchors that occur elsewhere, and which are hot."""
-    seen = texts.mapInArrow(_anchor_batches, "tid binary, fp long, many boolean").groupBy("fp", "tid").agg(F.max("many").alias("many"))
+    """texts(tid, text), copies allowed -> (tid, fps): per text the anchors with more than one place, and which are hot."""
+    seen = texts.mapInArrow(_anchor_batches, "tid binary, fp long, places int").groupBy("fp", "tid").agg(F.max("places").alias("places"))
     seen = keep(seen, "anchors")
-    counted = seen.groupBy("fp").agg(F.count("*").alias("n"), F.max("many").alias("_m")).filter("n > 1 OR _m")
-    return seen.join(counted, "fp").groupBy("tid").agg(F.collect_list(F.struct("fp", (F.col("n") > HOT).alias("hot"))).alias("fps"))
-
-
-def local_repeats(s: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of strings s of one text with hashes h: which are repeated in it, and which are the first of their kind."""
-    _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-    first = np.full(len(counts), len(s), np.int64)
-    np.minimum.at(first, inverse, np.arange(len(s)))
-    return counts[inverse] > 1, first[inverse] == np.arange(len(s))
-
-
-def members_of(data: np.ndarray, fps: np.ndarray, hots: np.ndarray) -> tuple[list, list, list]:
-    """Of one text: (fp, anchor, first, last, bytes) for the collections; (h1, h2, place) to count; local repeats as places."""
+    counted = seen.groupBy("fp").agg(F.sum("places").alias("_n")).filter("_n > 1")
+    return seen.join(counted, "fp").groupBy("tid").agg(F.collect_list(F.struct("fp", (F.col("_n") > HOT).alias("hot"))).alias("fps"))
+
+
+def kinds_of(data: np.ndarray, s: np.ndarray, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings of a text at s, with hashes h: which occur more than once, and which are the first of their kind."""
+    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    for a in range(0, len(s), SLICE // length):
+        mine, least = s[a : a + SLICE // length], s[first[kind[a : a + SLICE // length]]]
+        far = np.flatnonzero(mine != least)
+        each = np.arange(length)
+        if len(far) and (data[mine[far][:, None] + each] != data[least[far][:, None] + each]).any():
+            # Two strings with one hash: tell the kinds apart by their bytes.
+            _, first, kind = np.unique([data[x : x + length].tobytes() for x in s.tolist()], return_index=True, return_inverse=True)
+            break
+    return np.bincount(kind)[kind] > 1, first[kind] == np.arange(len(s))
+
+
+def members_of(data: np.ndarray, fps: np.ndarray, hots: np.ndarray) -> tuple[list, list, np.ndarray]:
+    """Of one text: (fp, anchor, first, last, bytes) for the collections; (length, digest, place) to count; places of long strings repeated in it."""
     _, place, low, high, fp = anchors(data, np.array([0, len(data)]))
     order = np.argsort(fps)
     at = np.searchsorted(fps[order], fp)
@@ -160,15 +177,16 @@ def members_of(data: np.ndarray, fps: np.ndarray, hots: np.ndarray) -> tuple[lis
     place, low, high, fp = place[asked], low[asked], high[asked], fp[asked]
     hot = hots[order][at[asked]]
     if not len(fp):
-        return [], [], []
+        return [], [], np.empty(0, np.int64)
     each = high - low + 1
     owner = np.repeat(np.arange(len(fp)), each)
     s = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + low[owner]
-    h1, h2 = (Rolling(data, base).at(s, LENGTH) for base in BASES)
-    again, first = local_repeats(s, h1 ^ (h2 << np.uint64(1)))
-    local = s[again].tolist()
-    keep_s = first & ~hot[owner]
-    runs = np.flatnonzero(keep_s)
+    long = s + LENGTH <= len(data)
+    hashed = [Rolling(data, base) for base in BASES]
+    kinds = lambda t, size: kinds_of(data, t, size, hashed[0].at(t, size) ^ (hashed[1].at(t, size) << np.uint64(1)))
+    again, first = (np.zeros(len(s), bool), np.ones(len(s), bool))
+    again[long], first[long] = kinds(s[long], LENGTH)
+    runs = np.flatnonzero(first & ~hot[owner])
     cold = []
     if len(runs):
         cut = np.flatnonzero(np.r_[True, (np.diff(runs) > 1) | (owner[runs[1:]] != owner[runs[:-1]])])
@@ -176,17 +194,22 @@ def members_of(data: np.ndarray, fps: np.ndarray, hots: np.ndarray) -> tuple[lis
         for a, b in zip(runs[cut], runs[ends], strict=True):
             k = owner[a]
             cold.append((int(fp[k]), int(place[k]), int(s[a]), int(s[b]), data[s[a] : s[b] + LENGTH].tobytes()))
-    hot_s = np.flatnonzero(first & hot[owner])
-    counted = list(zip(h1[hot_s].view(np.int64).tolist(), h2[hot_s].view(np.int64).tolist(), s[hot_s].tolist(), strict=True))
-    return cold, counted, local
+    counted = []
+    if hot.any():
+        raw = data.tobytes()
+        heat = hot[owner]
+        short = s[heat]
+        for size, t in ((LENGTH, s[first & long & heat]), (SHORT, short[kinds(short, SHORT)[1]])):
+            counted += [(size, hashlib.blake2b(raw[x : x + size], digest_size=16).digest(), x) for x in t.tolist()]
+    return cold, counted, s[again]
 
 
-MEMBER = "tid binary, fp long, place int, low int, high int, context binary, h1 long, h2 long"
+MEMBER = "tid binary, fp long, place int, low int, high int, context binary, size int, digest binary"
 
 
 def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp null marks what is not for a collection: a string to count (h1), or repeated locally (no h1, place as low to high)."""
-    schema = pa.schema([("tid", pa.binary()), ("fp", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """fp null marks what is not for a collection: a string to count (size and digest), or long strings repeated in the text (low to high)."""
+    schema = pa.schema([("tid", pa.binary()), ("fp", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary()), ("size", pa.int32()), ("digest", pa.binary())])
     for batch in batches:
         data, starts = bytes_of(batch.column(1))
         fps = batch.column(2).to_pylist()
@@ -196,8 +219,8 @@ def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             hots = np.array([x["hot"] for x in fps[i]], bool)
             cold, counted, local = members_of(data[starts[i] : starts[i + 1]], asked, hots)
             rows += [(tid, fp, place, low, high, text, None, None) for fp, place, low, high, text in cold]
-            rows += [(tid, None, None, s, s, None, a, b) for a, b, s in counted]
-            rows += [(tid, None, None, a, b, None, None, None) for a, b in spans_of(np.array(sorted(local), np.int64))]
+            rows += [(tid, None, None, s, s, None, size, digest) for size, digest, s in counted]
+            rows += [(tid, None, None, a, b, None, None, None) for a, b in spans_of(np.sort(local))]
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
                 rows = []
@@ -214,87 +237,102 @@ def spans_of(s: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[cut].tolist(), s[ends].tolist(), strict=True))
 
 
-def column_order(columns: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of members by group and then by their rows, one column inserted a round from the last to the first."""
-    order = np.arange(len(columns))
-    for c in range(columns.shape[1] - 1, -1, -1):
-        symbols = columns[order, c]
-        if (symbols == symbols[0]).all():
-            continue
-        order = order[np.argsort(symbols, kind="stable")]
-    return order[np.argsort(group[order], kind="stable")]
-
-
-def common_prefix(columns: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Common prefix of each member in order with the one before; -1 at the start of a group."""
-    out = np.full(len(order), -1, np.int64)
-    a, b = order[:-1], order[1:]
-    differ = columns[a] != columns[b]
-    size = np.where(differ.any(axis=1), differ.argmax(axis=1), columns.shape[1]) if len(a) else np.empty(0, np.int64)
-    out[1:] = np.where(group[a] == group[b], size, -1)
-    return out
-
+def column_wise(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the members by group and suffix, and the common prefix of each with the one before (-1 at the start of a group).
 
-def repeated_offsets(group: np.ndarray, left: np.ndarray, right: np.ndarray, left_len: np.ndarray, right_len: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Members x (length - GRAM + 1): whether the string that starts so many bytes before the anchor repeats in the group."""
+    Round by round one symbol is inserted before every member's suffix, from the last column to the first.
+    """
+    order = np.argsort(group, kind="stable")
+    group = group[order].astype(np.int64)
+    start = np.r_[True, group[1:] != group[:-1]] if len(group) else np.empty(0, bool)
+    prefix = np.where(start, -1, 0)
+    symbols = np.ascontiguousarray(columns.T)
+    inner = ~start
+    for c in range(columns.shape[1] - 1, -1, -1):
+        # The round's column of the transform: the symbol before each suffix, in suffix order.
+        bwt = symbols[c][order]
+        differ = np.flatnonzero((bwt[1:] != bwt[:-1]) & inner[1:])
+        if len(differ):
+            moved = np.zeros(int(group[-1]) + 1, bool)
+            moved[group[differ]] = True
+            at = np.flatnonzero(moved[group])
+            key = group[at] << 8 | bwt[at]
+            new = np.argsort(key, kind="stable")
+            key, old = key[new], prefix[at]
+            kin = np.flatnonzero(key[1:] == key[:-1]) + 1
+            least = np.where(start[at], -1, -2)
+            if len(kin):
+                bounds = np.stack([new[kin - 1] + 1, new[kin] + 1], axis=1).reshape(-1)
+                # The least prefix between the old places of two neighbours with one symbol.
+                least[kin] = np.minimum.reduceat(np.r_[old, 0], bounds)[::2]
+            order[at] = order[at][new]
+            rest = inner.copy()
+            rest[at] = False
+            prefix[rest] += 1
+            prefix[at] = np.where(least == -2, 0, np.where(least == -1, -1, least + 1))
+        else:
+            prefix[inner] += 1
+    return order, prefix
+
+
+def repeated_offsets(group: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray, left_len: np.ndarray, right_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members x offsets: whether the string of LENGTH, and the one of SHORT bytes that another text holds, that starts so many bytes before the anchor repeats."""
     n = len(group)
-    out = np.zeros((n, left.shape[1] + 1), bool)
-    ro, lo = column_order(right, group), column_order(left, group)
-    rp, lp = common_prefix(right, ro, group), common_prefix(left, lo, group)
+    long, short = np.zeros((n, left.shape[1] + 1), bool), np.zeros((n, left.shape[1] + 1), bool)
+    (ro, rp), (lo, lp) = column_wise(right, group), column_wise(left, group)
     for back in range(left.shape[1] + 1):
-        valid = (left_len >= back) & (right_len >= length - back)
-        if valid.sum() < 2:
-            continue
-        rc, lc = np.empty(n, np.int64), np.empty(n, np.int64)
-        rc[ro] = np.cumsum(rp < length - back)
+        lc = np.empty(n, np.int64)
         lc[lo] = np.cumsum(lp < back)
-        at = np.flatnonzero(valid)
-        key = rc[at] * (n + 1) + lc[at]
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        hit = np.r_[False, same] | np.r_[same, False]
-        out[at[order[hit]], back] = True
-    return out
+        for size, out in ((LENGTH, long), (SHORT, short)):
+            at = np.flatnonzero((left_len >= back) & (right_len >= size - back))
+            if len(at) < 2:
+                continue
+            rc = np.empty(n, np.int64)
+            rc[ro] = np.cumsum(rp < size - back)
+            key = rc[at] * (n + 1) + lc[at]
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            own = text[at[order]]
+            apart = np.diff(np.r_[first, len(at)]) > 1 if size == LENGTH else np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+            out[at[order], back] = np.repeat(apart, np.diff(np.r_[first, len(at)]))
+    return long, short
 
 
 def _solve(rows: pa.Table) -> pa.RecordBatch | None:
     """Repeated strings among whole collections."""
     fp = rows.column("fp").to_numpy()
-    tid = rows.column("tid").to_pylist()
+    tid = rows.column("tid").combine_chunks().dictionary_encode()
+    text = tid.indices.to_numpy().astype(np.int64)
     place, low, high = (rows.column(c).to_numpy().astype(np.int64) for c in ("place", "low", "high"))
     # A row that was read twice (a repeated input row) is one member.
-    seen: dict[tuple, int] = {}
-    for i in range(len(tid)):
-        seen.setdefault((fp[i], tid[i], int(low[i])), i)
-    at = np.array(sorted(seen.values()), np.int64)
-    contexts = rows.column("context").take(pa.array(at)).to_pylist()
-    fp, place, low, high = fp[at], place[at], low[at], high[at]
-    tid = [tid[i] for i in at]
-    group = np.unique(fp, return_inverse=True)[1]
-    sizes = np.bincount(group)
-    some = np.flatnonzero(sizes[group] > 1)
-    if not len(some):
+    order = np.lexsort((low, text, fp))
+    same = (fp[order][1:] == fp[order][:-1]) & (text[order][1:] == text[order][:-1]) & (low[order][1:] == low[order][:-1])
+    at = np.sort(order[np.r_[True, ~same]])
+    group = np.unique(fp[at], return_inverse=True)[1]
+    at = at[np.bincount(group)[group] > 1]
+    if not len(at):
         return None
-    left = np.zeros((len(some), LENGTH - GRAM), np.uint8)
-    right = np.zeros((len(some), LENGTH), np.uint8)
-    for r, i in enumerate(some):
-        text = np.frombuffer(contexts[i], np.uint8)
-        k = place[i] - low[i]
-        left[r, :k] = text[:k][::-1]
-        part = text[k : k + LENGTH]
+    contexts = rows.column("context").take(pa.array(at)).to_pylist()
+    fp, text, place, low, high = fp[at], text[at], place[at], low[at], high[at]
+    left, right = np.zeros((len(at), SHORT - GRAM), np.uint8), np.zeros((len(at), LENGTH), np.uint8)
+    right_len = np.empty(len(at), np.int64)
+    for r, context in enumerate(contexts):
+        whole = np.frombuffer(context, np.uint8)
+        k = place[r] - low[r]
+        left[r, :k] = whole[:k][::-1]
+        part = whole[k : k + LENGTH]
         right[r, : len(part)] = part
-    right_len = np.minimum(high - place + LENGTH, LENGTH)[some]
-    hit = repeated_offsets(group[some], left, right, (place - low)[some], right_len)
-    # A member has no string nearer to the anchor than its last one.
-    out_tid, out_low, out_high = [], [], []
-    for r in np.flatnonzero(hit.any(axis=1)):
-        i = some[r]
-        s = np.sort(place[i] - np.flatnonzero(hit[r]))
-        for a, b in spans_of(s[(s >= low[i]) & (s <= high[i])]):
-            out_tid.append(tid[i])
-            out_low.append(a)
-            out_high.append(b)
-    return pa.RecordBatch.from_arrays([pa.array(out_tid, pa.binary()), pa.array(out_low, pa.int32()), pa.array(out_high, pa.int32())], ["tid", "low", "high"])
+        right_len[r] = len(part)
+    hits = repeated_offsets(np.unique(fp, return_inverse=True)[1], text, left, right, place - low, right_len)
+    out: list[list] = [[], [], [], []]
+    for size, hit in zip((LENGTH, SHORT), hits, strict=True):
+        for r in np.flatnonzero(hit.any(axis=1)):
+            s = np.sort(place[r] - np.flatnonzero(hit[r]))
+            # A member has no string nearer to the anchor than its last one.
+            for a, b in spans_of(s[(s >= low[r]) & (s <= high[r])]):
+                for column, value in zip(out, (text[r], a, b, size), strict=True):
+                    column.append(value)
+    return pa.RecordBatch.from_arrays([tid.dictionary.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int32()) for x in out[1:])], ["tid", "low", "high", "size"])
 
 
 def _collection_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,38 +358,59 @@ def _collection_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield done
 
 
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in a range."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(ends, n), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def shared_bytes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
+    """Bytes covered by short strings that other texts hold: those that start in the ranges, and their repeats in the text."""
+    if not len(starts):
+        return 0
+    found = covered(len(text) - SHORT + 1, starts, ends)
+    rolling = [Rolling(text, base) for base in BASES]
+    h = rolling[0].at(slice(0, len(found)), SHORT) ^ (rolling[1].at(slice(0, len(found)), SHORT) << np.uint64(1))
+    s = np.flatnonzero(np.isin(h, h[found]))
+    return int(covered(len(text), s, s + SHORT).sum())
+
+
 def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, starts = bytes_of(batch.column(1))
-        lows, highs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        removed, spans, hashes = [], [], []
+        runs = batch.column(2).to_pylist()
+        removed, spans, hashes, shared = [], [], [], []
         for i in range(batch.num_rows):
             text = data[starts[i] : starts[i + 1]]
-            edge = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edge, np.array(lows[i]), 1)
-            np.add.at(edge, np.minimum(np.array(highs[i]) + LENGTH, len(text)), -1)
-            gone = np.cumsum(edge)[:-1] > 0
+            lows, highs, sizes = (np.array([r[k] for r in runs[i]], np.int64) for k in ("low", "high", "size"))
+            long = sizes == LENGTH
+            gone = covered(len(text), lows[long], highs[long] + LENGTH)
             removed.append(int(gone.sum()))
             spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
             hashes.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes)], ["tid", "n_removed", "n_spans", "kept_sha256"])
+            shared.append(shared_bytes(text, lows[~long], highs[~long] + 1))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(x, pa.int64()) for x in (removed, spans, shared)), pa.array(hashes)], ["tid", "n_removed", "n_spans", "n_shared", "kept_sha256"]
+        )
 
 
 def removed_spans(texts: DataFrame, held: DataFrame) -> DataFrame:
-    """held(tid, text, fps) -> (tid, low, high): runs of starts of repeated strings."""
+    """held(tid, text, fps) -> (tid, low, high, size): runs of starts of repeated strings."""
     members = keep(held.mapInArrow(_member_batches, MEMBER), "members")
     spark = texts.sparkSession
     gathered = members.filter("fp IS NOT NULL").select("fp", "tid", "place", "low", "high", "context")
-    solved = gathered.repartition(partitions(spark), "fp").sortWithinPartitions("fp").mapInArrow(_collection_batches, "tid binary, low int, high int")
-    counted = members.filter("h1 IS NOT NULL").select("tid", "low", "h1", "h2").dropDuplicates(["tid", "low"])
-    often = counted.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1")
-    hot = counted.join(often, ["h1", "h2"]).select("tid", "low", F.col("low").alias("high"))
-    local = members.filter("fp IS NULL AND h1 IS NULL").select("tid", "low", "high")
+    solved = gathered.repartition(partitions(spark), "fp").sortWithinPartitions("fp").mapInArrow(_collection_batches, "tid binary, low int, high int, size int")
+    counted = members.filter("digest IS NOT NULL").select("tid", "low", "size", "digest").dropDuplicates(["tid", "low", "size"])
+    often = counted.groupBy("size", "digest").agg(F.count("*").alias("_n")).filter("_n > 1")
+    hot = counted.join(often, ["size", "digest"]).select("tid", "low", F.col("low").alias("high"), "size")
+    local = members.filter("fp IS NULL AND digest IS NULL").select("tid", "low", "high", F.lit(LENGTH).alias("size"))
     return solved.unionByName(hot).unionByName(local)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans and kept_sha256."""
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("_id"), text_id(F.col(text_col)).alias("tid"), text.alias("_text"))
     slim = keep(named.select("_id", "tid", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha")), "texts")
@@ -361,16 +420,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row of each text is read for its bytes: joining on the id too keeps a text with many copies from meeting in one task.
     held = named.join(asked.select(F.col("tid").alias("_t"), "_first", "fps"), (F.col("tid") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_first")))
     held = keep(held.select("tid", "_text", "fps"), "held")
-    spans = removed_spans(named, held).groupBy("tid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    whole = groups.filter((F.col("_copies") > 1) & (F.col("_n") >= LENGTH)).select("tid", F.lit(True).alias("_gone"))
-    partly = held.join(spans, "tid").select("tid", "_text", "lows", "highs").mapInArrow(_kept_batches, "tid binary, n_removed long, n_spans long, kept_sha256 string")
+    spans = removed_spans(named, held).groupBy("tid").agg(F.collect_list(F.struct("low", "high", "size")).alias("runs"))
+    copied = groups.filter((F.col("_copies") > 1) & (F.col("_n") >= SHORT)).select("tid", F.lit(True).alias("_copied"))
+    partly = held.join(spans, "tid").select("tid", "_text", "runs").mapInArrow(_kept_batches, "tid binary, n_removed long, n_spans long, n_shared long, kept_sha256 string")
     partly = partly.dropDuplicates(["tid"])
-    rows = slim.join(partly, "tid", "left").join(whole, "tid", "left")
-    gone = F.coalesce("_gone", F.lit(False))
+    rows = slim.join(partly, "tid", "left").join(copied, "tid", "left")
+    copied = F.coalesce("_copied", F.lit(False))
+    gone = copied & (F.col("n_bytes") >= LENGTH)
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return rows.select(
         F.col("_id").alias(id_col), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, empty).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("long").alias("n_shared"),
     )

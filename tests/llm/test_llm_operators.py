@@ -363,48 +363,81 @@ def test_decontamination_odd_rows(spark, sf):
 # --- 8 -----------------------------------------------------------------------
 
 
-def check_substrings(docs, got, length):
-    seen = Counter()
-    for _, t in docs:
-        b = (t or "").encode()
-        seen.update(b[s : s + length] for s in range(len(b) - length + 1))
+def check_substrings(docs, got, length=400, short=256):
+    """Every string of either length counted over whole texts, against all columns of the result."""
+    texts = [(t or "").encode() for _, t in docs]
+    seen, holders = Counter(), defaultdict(set)
+    for k, b in enumerate(texts):
+        seen.update(hash(b[s : s + length]) for s in range(len(b) - length + 1))
+        for s in range(len(b) - short + 1):
+            held = holders[hash(b[s : s + short])]
+            if len(held) < 2:
+                held.add(k)
     want = Counter()
-    for i, t in docs:
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
+    for (i, _), b in zip(docs, texts, strict=True):
+        gone, shared = np.zeros(len(b), bool), np.zeros(len(b), bool)
         for s in range(len(b) - length + 1):
-            if seen[b[s : s + length]] > 1:
+            if seen[hash(b[s : s + length])] > 1:
                 gone[s : s + length] = True
+        for s in range(len(b) - short + 1):
+            if len(holders[hash(b[s : s + short])]) > 1:
+                shared[s : s + short] = True
         starts = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
-        want[(i, len(b), int(gone.sum()), starts, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
+        want[(i, len(b), int(gone.sum()), starts, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(shared.sum()))] += 1
     assert Counter(tuple(r) for r in got) == want
 
 
+SPANS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
+
+
 @pytest.mark.parametrize("hot", [4_000, 1])
 def test_substring_dedup_is_exact(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     passage = vocabulary(1, 120)
     docs = [(i, vocabulary(10 + i, 60 + 10 * i)) for i in range(12)]
     docs += [(100 + i, vocabulary(30 + i, 5 * i) + " " + passage[i : 700 - i] + " " + vocabulary(60 + i, 40)) for i in range(8)]
+    docs += [(120 + i, vocabulary(80 + i, 9) + passage[200 + i : 470 + 20 * i] + vocabulary(90 + i, 9)) for i in range(8)]
     docs += [(200, "ab" * 600), (201, "x" + "ab" * 230), (202, "ab" * 199), (203, "For " * 800 + passage[:50]), (204, passage + passage), (205, "é" * 450 + "a"), (206, "é" * 300)]
-    docs += [(300 + i, docs[3][1]) for i in range(3)] + [(301, docs[3][1]), (400, None), (401, ""), (402, "z" * 400), (403, "z" * 399), (404, "y" * 400), (405, "y" * 401)]
-    got = substring_dedup.substring_dedup(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    check_substrings(docs, got, 400)
+    docs += [(300 + i, docs[3][1]) for i in range(3)] + [(301, docs[3][1]), (400, None), (401, ""), (402, "z" * 400), (403, "z" * 399), (404, "y" * 400), (405, "y" * 401), (406, "q" * 300), (407, "q" * 300), (408, "q" * 256)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)).select(SPANS).collect()
+    check_substrings(docs, got)
+
+
+def test_substring_hot_anchor(spark, monkeypatch):
+    """One passage in more than HOT texts, cut at many places, so that its anchors have more places than a task may gather."""
+    monkeypatch.setattr(substring_dedup, "HOT", 400)
+    passage = vocabulary(2, 100)
+    rng = random.Random(3)
+    docs = [(i, f"{rng.random()}{passage[rng.randrange(150) : 600 - rng.randrange(150)]}{rng.random()}") for i in range(900)]
+    docs += [(1000 + i, "".join(f"{rng.random()}{passage[:300]}" for _ in range(20))) for i in range(30)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)).select(SPANS).collect()
+    check_substrings(docs, got)
 
 
 def test_substring_odd_rows(spark):
-    got = substring_dedup.substring_dedup(wide(spark)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    check_substrings([(r[0], r[1]) for r in ODD], got, 400)
+    got = substring_dedup.substring_dedup(wide(spark)).select(SPANS).collect()
+    check_substrings([(r[0], r[1]) for r in ODD], got)
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
-def test_column_order_is_suffix_order():
+@pytest.mark.parametrize("symbols", [2, 3, 40])
+def test_column_wise_construction_gives_suffix_order_and_prefixes(symbols):
     rng = np.random.default_rng(3)
-    columns, group = rng.integers(0, 3, (200, 12)).astype(np.uint8), rng.integers(0, 4, 200)
-    order = substring_dedup.column_order(columns, group)
+    columns, group = rng.integers(0, symbols, (300, 12)).astype(np.uint8), rng.integers(0, 4, 300)
+    order, prefix = substring_dedup.column_wise(columns, group)
     keys = [(group[i], columns[i].tobytes()) for i in order]
     assert keys == sorted(keys)
-    assert substring_dedup.common_prefix(columns, order, group)[0] == -1
+    for k, i in enumerate(order):
+        same = -1
+        if k and group[order[k - 1]] == group[i]:
+            same = int(np.r_[columns[i] != columns[order[k - 1]], True].argmax())
+        assert prefix[k] == same
+
+
+def test_strings_with_one_hash_are_told_apart():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    again, first = substring_dedup.kinds_of(data, np.array([0, 3, 6]), 3, np.zeros(3, np.uint64))
+    assert again.tolist() == [True, False, True] and first.tolist() == [True, True, False]
 
 
 # --- 9 -----------------------------------------------------------------------
