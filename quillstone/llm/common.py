@@ -5,8 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -28,21 +28,59 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: Folders of the runs that are under way, the innermost last.
+_runs: list[str] = []
+#: Attribute of a kept table that names its folder.
+_FOLDER = "_quill_folder"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local master may do without: it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """Tables kept inside share one folder, which goes at the end: write the result elsewhere before that."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _runs.append(path)
+    try:
+        yield path
+    finally:
+        _runs.remove(path)
+        _delete(spark, path)
+
+
+def keep(df: DataFrame, label: str, apart: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A lazy result reads such tables, so they stay until the caller's run_folder ends, or discard is called for one.
+    apart: outside of the run's folder, to outlast it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_runs[-1] if _runs and not apart else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    setattr(kept, _FOLDER, path)
+    return kept
+
+
+def discard(*kept: DataFrame | None) -> None:
+    """Delete tables that keep wrote and nothing reads any more."""
+    for df in kept:
+        if path := getattr(df, _FOLDER, None):
+            _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

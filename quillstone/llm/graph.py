@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import keep
+from quillstone.llm.common import discard, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = keep(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, keep(_small_star(_large_star(edges)), "edges")
+        discard(last)
         now = _state(edges)
         if now == before:
             break

@@ -15,7 +15,9 @@ pieces of bounded size: first for some pairs that may join two groups, then, whe
 verified and joined, for every candidate pair of texts that are still in different groups. So
 no pair at or above CANDIDATE in a bucket stays unverified unless its texts are joined
 already; the leaders only save work. Null ids are never compared and
-stay; rows that share an id stand or fall together; texts without words are alike.
+stay; rows that share an id stand or fall together; texts without words are alike; texts are
+read whole, of any length; an empty table gives none. All columns of docs come back, whatever
+their names but for _quill_*.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, keep, sieve, words
+from quillstone.llm.common import ascii_lower, discard, keep, sieve, words
 from quillstone.llm.decontaminate import grams, inside, scramble
 from quillstone.llm.graph import components
 from quillstone.llm.simhash import group_prints, lists_of, majority, shingles, sliced
@@ -212,9 +214,9 @@ def candidate_pairs(sk: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         # The bucket goes on under the member most like its leader; without one the least id left leads.
         heir = F.max(F.when(alike, F.struct("agree", "_id")))["_id"]
         lead = placed.groupBy("key").agg(F.coalesce(heir, F.min_by("_id", F.when(~alike, F.xxhash64("_id", "key")))).alias("lead"), F.count_if(~alike).alias("_n"), heir.isNull().cast("int").alias("_own"))
-        lead = lead.filter("_n > _own").select("key", "lead")
-        members = keep(rest.join(lead.select("key"), "key", "left_semi"), "members")
-        lead = keep(lead, "leads")
+        lead = keep(lead.filter("_n > _own").select("key", "lead"), "leads")
+        last, members = members, keep(rest.join(lead.select("key"), "key", "left_semi"), "members")
+        discard(last, placed)
         left = members.count()
         if left <= 0.02 * first:
             break
