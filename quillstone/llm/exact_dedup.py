@@ -1,11 +1,15 @@
 """Exact dedup by a heavy-hitter split over text digests.
 
 Misra-Gries (Spark's ``freqItems``) names at most ``1/support`` digests that may be
-frequent; an exact count verifies them and that bounded table of winners is broadcast,
-so hot groups never meet in one task. All other digests take an ordinary shuffle.
-
-Null text counts as the empty text. Rows that repeat id and text tie: exactly one of
-them is kept. A null id loses against any id; an empty table gives an empty result.
+frequent; those whose exact count reaches support x rows are frequent, and that bounded
+table of winners is broadcast, so hot groups never meet in one task. All other digests
+take an ordinary shuffle.
+
+Null text counts as the empty text; texts may be of any length, as only digests move.
+Rows that repeat id and text tie: exactly one of them is kept, of rows that differ in
+other columns the one with the greatest hash of the whole row. A null id loses against any
+id; an empty table gives an empty result. exact_dedup returns its own columns alone;
+keep_one returns all columns of docs, whatever their names but for _quill_*.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ def digest(text) -> F.Column:
 
 
 def frequent(slim: DataFrame, support: float) -> list[str]:
-    """Misra-Gries candidates: at most 1/support digests, whatever the input.
-
-    Which ones are named may differ from call to call, as partial tables merge in any order: call it once.
-    """
+    """Digests of at least support x rows: Misra-Gries candidates, verified by exact counts; at most 1/support."""
     found = slim.freqItems(["text_sha256"], support).first()
-    return sorted(x for x in (found[0] or []) if x is not None) if found else []
+    named = [x for x in (found[0] or []) if x is not None] if found else []
+    if not named:
+        return []
+    counts = slim.agg(F.count("*").alias("n")).first()["n"]
+    sure = slim.filter(F.col("text_sha256").isin(named)).groupBy("text_sha256").agg(F.count("*").alias("_n")).filter(F.col("_n") >= support * counts)
+    return sorted(r["text_sha256"] for r in sure.collect())
 
 
 def winners(slim: DataFrame, top: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -92,5 +98,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     tied = hot_groups.unionByName(rest_groups).filter("_n_top > 1").select(F.col("text_sha256").alias("_quill_sha"))
     if not tied.take(1):
         return staying.select(docs.columns)
-    once = staying.join(tied, "_quill_sha", "left_semi").dropDuplicates(["_quill_sha"])
-    return staying.join(tied, "_quill_sha", "left_anti").unionByName(once).select(docs.columns)
+    whole = F.struct(*docs.columns)
+    once = staying.join(tied, "_quill_sha", "left_semi").groupBy("_quill_sha").agg(F.max_by(whole, F.xxhash64(F.to_json(whole))).alias("_quill_row"))
+    return staying.join(tied, "_quill_sha", "left_anti").select(docs.columns).unionByName(once.select("_quill_row.*"))
