@@ -6,9 +6,14 @@ are built for the trigrams that the queries use, intersected per alternative by
 and the candidates alone are verified with the regex. A rule without mandatory trigrams
 (such as a run of hexadecimal digits) scans every text.
 
+Postings name a row by a hash of its id and text, so rows with null or repeated ids spread;
+rows that share a hash are candidates together, which the regex decides.
+
 Positions are code points, end exclusive: the pieces between matches (split) and the
-matches (extract) are laid end to end. Null text is empty; ids may be null or repeated
-(candidates are only a superset for the regex); an empty table gives an empty result.
+matches (extract) are laid end to end. Null text is empty; texts are scanned whole, of any
+length; repeated rows are scanned each; spans that start alike stand in the order of the
+rules; an empty table gives an empty result. A column _spans of docs is replaced; all
+others stay, whatever their names but for _quill_*.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import ascii_lower
 
 
-
 @dataclass(frozen=True)
 class Rule:
     """regex in the common syntax of Java and Python; only matches whose group has min_len characters or more count."""
@@ -112,23 +116,27 @@ def queries_of(rules=RULES) -> dict[str, list[frozenset[str]]]:
     return {r.kind: trigram_query(r.regex) for r in rules}
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]) -> DataFrame:
-    """The inverted index over the given trigrams: (trigram, _id)."""
+    """The inverted index over the given trigrams: (trigram, _key)."""
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     held = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in vocabulary]))
-    return docs.select(F.col(id_col).alias("_id"), low.alias("_low")).select("_id", F.explode(held).alias("trigram"))
+    return docs.select(row_key(id_col, text_col).alias("_key"), low.alias("_low")).select("_key", F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """Intersected postings: one row per document id that satisfies some query, with the kinds to verify."""
+    """Intersected postings: (_key, _kinds), one row per row key that satisfies some query, with the kinds to verify."""
     queries = {k: q for k, q in queries_of(rules).items() if q}
     rows = [(kind, n, len(grams), t) for kind, q in queries.items() for n, grams in enumerate(q) for t in sorted(grams)]
     spark = docs.sparkSession
     wanted = spark.createDataFrame(rows, "kind string, alternative int, need int, trigram string")
     index = postings(docs, id_col, text_col, sorted({r[3] for r in rows}))
     # The rules are literals of this module: a few dozen rows are broadcast.
-    met = index.join(F.broadcast(wanted), "trigram").groupBy("_id", "kind", "alternative", "need").agg(F.count_distinct("trigram").alias("_n"))
-    return met.filter("_n >= need").groupBy("_id").agg(F.collect_set("kind").alias("_kinds"))
+    met = index.join(F.broadcast(wanted), "trigram").groupBy("_key", "kind", "alternative", "need").agg(F.count_distinct("trigram").alias("_n"))
+    return met.filter("_n >= need").groupBy("_key").agg(F.collect_set("kind").alias("_kinds"))
 
 
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
@@ -150,16 +158,17 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """docs with _spans: array of (start, place in rules, end), sorted."""
-    found = candidates(docs, id_col, text_col, rules).withColumnRenamed("_id", "_quill_id")
+    docs = docs.drop("_spans")
+    found = candidates(docs, id_col, text_col, rules).select(F.col("_key").alias("_quill_key"), F.col("_kinds").alias("_quill_kinds"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_quill_id")), "left").drop("_quill_id")
+    rows = docs.withColumn("_quill_key", row_key(id_col, text_col)).join(found, "_quill_key", "left").drop("_quill_key")
     none = F.array().cast("array<struct<start:int,place:int,end:int>>")
     queries = queries_of(rules)
     parts = []
     for place, rule in enumerate(rules):
-        asked = F.array_contains("_kinds", rule.kind) if queries[rule.kind] else text.rlike(rule.java)
+        asked = F.array_contains("_quill_kinds", rule.kind) if queries[rule.kind] else text.rlike(rule.java)
         parts.append(F.when(asked, spans_of(text, rule, place)).otherwise(none))
-    return rows.withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_kinds")
+    return rows.withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_quill_kinds")
 
 
 def written(spans: Column, rules=RULES) -> Column:
