@@ -13,11 +13,12 @@ frequent n-grams cost one entry per block, nothing is skewed, and every task hol
 block or one bucket. What returns to the driver are counts of events by quantised
 probabilities (HALF-octave levels), which the weights are learned from.
 
-Hashes of n-grams are cut to 12 bits more than the corpus has n-grams (a chance of 2**-12
-that one meets another at any corpus size); words keep 64 bits.
+Words and n-grams are told apart by 64-bit hashes at any corpus size.
 
-Null and empty texts are an end alone; rows may repeat; ids may be null (the id's text is
-then empty for the split). Without training rows every text gets the uniform floor.
+Null and empty texts are an end alone; texts are read whole, of any length; rows may repeat;
+ids may be null (the id's text is then empty for the split); ties play no part. Without
+training rows every text gets the uniform floor; an empty table gives none. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ FOLDS, TEST_FOLD, MIX_FOLD = 7, 2, 3
 BLOCK = 1_000_000
 #: n-gram entries that one bucket should hold.
 BUCKET = 1_500_000
-SPARE_BITS = 10
 CONTEXTS = 12
 LEVELS = 2  # per octave
 COUNT, MIX_SET, TEST = 0, 1, 2
@@ -143,32 +143,25 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.mapInArrow(run, f"block long, part int, n long, ids array<{id_type}>, lens binary, words binary, vocab binary")
 
 
-def hashes_of(row: dict, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def hashes_of(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     """Document lengths of a block, and the n-gram hashes that end at each token, by order."""
     lens = unpack(row["lens"], np.uint32).astype(np.int64)
     tokens = unpack(row["vocab"], np.uint64)[unpack(row["words"], np.uint32)]
-    found = n_grams(tokens, lens)
-    for order in (1, 2):
-        found[order] >>= np.uint64(64 - bits)
-    return lens, found
+    return lens, n_grams(tokens, lens)
 
 
-def width(order: int, bits: int) -> int:
-    return 64 if order == 0 else bits
-
-
-def totals(blocks: DataFrame, bits: int, split: int) -> DataFrame:
+def totals(blocks: DataFrame, split: int) -> DataFrame:
     """(block, slot, counted, all): totals of the block's n-grams, in the order of slot; block -1 has sums over the corpus."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, found = hashes_of(row, bits)
+                _, found = hashes_of(row)
                 for order in range(3):
                     table, counts = sorted_kinds(found[order])
                     found[order] = None
                     counts = counts.astype(np.uint32) if row["part"] != TEST else np.zeros(len(table), np.uint32)
-                    cuts = np.searchsorted(table, np.arange(1, 1 << split, dtype=np.uint64) << np.uint64(width(order, bits) - split)) if split else np.empty(0, np.int64)
+                    cuts = np.searchsorted(table, np.arange(1, 1 << split, dtype=np.uint64) << np.uint64(64 - split)) if split else np.empty(0, np.int64)
                     cuts = np.r_[0, cuts, len(table)]
                     slots = [b for b in range(1 << split) if cuts[b] < cuts[b + 1]]
                     step = lambda a: np.diff(a, prepend=np.uint64(0))
@@ -214,9 +207,9 @@ def bucket_of(c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
 BUCKETS = 2 * CONTEXTS + 1
 
 
-def estimates(row: dict, bits: int, counts: list[np.ndarray], docs: int, tokens: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def estimates(row: dict, counts: list[np.ndarray], docs: int, tokens: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Lengths of a block's documents and per token: context bucket, trigram, bigram and unigram estimates, own count."""
-    lens, found = hashes_of(row, bits)
+    lens, found = hashes_of(row)
     seen = []
     for order in range(3):
         seen.append(counts[order][ranks(found[order])[1]].astype(np.float64))
@@ -269,9 +262,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     blocks = keep(blocks_of(docs, id_col, text_col), "blocks")
     by_part = {r["part"]: (r["d"], r["n"]) for r in blocks.groupBy("part").agg(F.sum(F.size("ids")).alias("d"), F.sum("n").alias("n")).collect()}
     everything = sum(n for _, n in by_part.values())
-    bits = min(64, max(1, everything).bit_length() + 2 + SPARE_BITS)
     split = max(0, (everything // BUCKET).bit_length())
-    answers = keep(totals(blocks, bits, split), "totals")
+    answers = keep(totals(blocks, split), "totals")
     corpus = answers.filter("block = -1").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     tokens, kinds = int(corpus["n"] or 0), int(corpus["v"] or 0)
     train_docs = sum(by_part.get(p, (0, 0))[0] for p in (COUNT, MIX_SET))
@@ -281,7 +273,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def events(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, n = [], []
         for row in left.to_pylist():
-            _, bucket, p, _ = estimates(row, bits, replies(right, "counted", split), count_docs, count_tokens)
+            _, bucket, p, _ = estimates(row, replies(right, "counted", split), count_docs, count_tokens)
             l3, l2, l1 = map(level, p)
             c, m = sorted_kinds(bucket << 21 | l3 << 14 | l2 << 7 | l1)
             cells.append(c)
@@ -299,7 +291,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for i, row in enumerate(left.select(["part", "lens", "words", "vocab"]).to_pylist()):
-            lens, bucket, p, c = estimates(row, bits, replies(right, "total", split), train_docs, tokens)
+            lens, bucket, p, c = estimates(row, replies(right, "total", split), train_docs, tokens)
             log = np.log10(sum(weights[:, k][bucket] * p[k] for k in range(3)) + weights[:, 3][bucket] * floor)
             base = np.log10((c + 1) / (tokens + 1 * (kinds + 1)))
             first = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
