@@ -9,8 +9,11 @@
    the posterior labels, calibrated on the sample, and scores every whole text.
 
 Only the text is an input of a score. Null and empty texts get the score of a text
-without evidence. Rows repeat freely; labels for unknown documents, null labels and
-training sets without a toxic row are fine (the score is then the base rate).
+without evidence; texts are scored whole, of any length. Rows repeat freely: equal texts
+count once in training, as toxic if any of them is; features with equal odds stand in the
+order of their spelling. Labels for unknown documents, null labels and training sets without
+a toxic row are fine (the score is then the base rate). A column of the score's name is
+replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -29,9 +32,7 @@ from quillstone.llm.common import keep
 
 #: The classifier is fitted on at most so many labelled rows, the ones with the least id hash.
 LABELLED = 12_000
-#: Voters, and features of the classifier, at most; rows that a feature must be seen in.
-VOTERS = 400
-FEATURES = 300
+#: Rows of the sample that a feature must be seen in; all that then pass the bars below are used.
 SUPPORT = 4
 #: The accuracy of a word, and of a prefix, must be so high at the lower end of a Wilson interval of so many deviations.
 ACCURATE, ACCURATE_PREFIX, SURE = 0.6, 0.85, 2.0
@@ -132,12 +133,14 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.05, steps: int = 12)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
-    """labels: the rows to learn from (id, label 0/1). All that comes to the driver is bounded by labelled, VOTERS and FEATURES."""
+    """labels: the rows to learn from (id, label 0/1). All that comes to the driver is bounded by the labelled rows."""
     y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.max(label_col).cast("int").alias("_y"))
     # At most `labelled` rows of two numbers are broadcast.
     y = y.orderBy(F.xxhash64("_key"), "_key").limit(labelled)
     drawn = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(y), "_key")
-    drawn = drawn.withColumn("_copy", F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256)).dropDuplicates(["_copy"]).select("_key", "_y", "_text")
+    copy = F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256)
+    # Equal texts count once, as toxic if any of them is.
+    drawn = drawn.groupBy(copy.alias("_copy")).agg(F.min("_key").alias("_key"), F.max("_y").alias("_y"), F.first("_text").alias("_text")).select("_key", "_y", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keep(drawn.mapInArrow(_feature_batches, f"_key {kind}, _y int, feature array<string>"), "labelled")
     totals = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -149,11 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     seen = seen.filter(F.col("p") + F.col("n") >= SUPPORT).withColumn("odds", odds)
     seen = seen.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5)))
-    top = seen.filter(F.abs("z") >= FEATURE_Z).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).toPandas()
+    top = seen.filter(F.abs("z") >= FEATURE_Z).orderBy(F.desc(F.abs("z")), "f").toPandas()
     m = F.col("p") + F.col("n")
     rate, sq = F.col("p") / m, SURE**2
     sure = (rate + sq / (2 * m) - SURE * F.sqrt(rate * (1 - rate) / m + sq / (4 * m * m))) / (1 + sq / m)
-    lexicon = seen.withColumn("sure", sure).filter(F.col("sure") >= F.when(F.endswith("f", F.lit("*")), ACCURATE_PREFIX).otherwise(ACCURATE)).orderBy(F.desc("sure"), "f").limit(VOTERS).toPandas()
+    lexicon = seen.withColumn("sure", sure).filter(F.col("sure") >= F.when(F.endswith("f", F.lit("*")), ACCURATE_PREFIX).otherwise(ACCURATE)).orderBy(F.desc("sure"), "f").toPandas()
     names = list(dict.fromkeys([*lexicon["f"], *top["f"]]))
     place = {f: i for i, f in enumerate(names)}
     wanted = F.array(*[F.lit(f) for f in names]) if names else F.array().cast("array<string>")
