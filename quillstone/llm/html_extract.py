@@ -9,13 +9,16 @@ siblings that score alike or read as prose. Lists of links inside it count as me
 
 Text: character references decoded, white space in a block turned into one space, blocks
 joined in page order by one space. Null or empty html, or a page without text, gives the
-empty string. Every row of the input gives one row; nothing is capped.
+empty string. Every row of the input gives one row, repeated ones too; pages may be of any
+length and depth; nothing is capped. Of containers that score alike the first of the page
+counts. An empty table gives none.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -63,6 +66,16 @@ class Node:
 
 def parse(page: str) -> Node:
     root = at = Node("html", None)
+    #: How many of the open tags are of a kind, so that nothing climbs for a tag that is not open.
+    opened = Counter(["html"])
+
+    def climb(to: Node) -> Node:
+        up = at
+        while up is not to:
+            opened[up.tag] -= 1
+            up = up.parent
+        return to
+
     pos = 0
     lower = None
     for m in iter(lambda: TOKEN.search(page, pos), None):
@@ -73,36 +86,36 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
+            up = at if opened[tag] else None
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = climb(up.parent)
             elif tag in ("p", "br"):
                 at.kids.append(Node("br", at))
             continue
         if tag in ("html", "body"):
             if tag == "body":
                 while at.parent is not None and at.tag in ("head", "p", "title"):
-                    at = at.parent
+                    at = climb(at.parent)
             if tag == "html":
                 continue
         if tag not in HEAD and at.tag == "head" and at.parent is not None:
-            at = at.parent
+            at = climb(at.parent)
         if tag in ENDS_P:
-            up = at
+            up = at if opened["p"] else None
             while up is not None and up.tag != "p" and up.tag not in CONTAINER and up.tag not in ("li", "button"):
                 up = up.parent
             if up is not None and up.tag == "p":
-                at = up.parent
+                at = climb(up.parent)
         elif tag in ENDS:
-            up = at
+            up = at if any(opened[t] for t in ENDS[tag]) else None
             while up is not None and up.tag not in ENDS[tag] and up.tag not in ("ul", "ol", "dl", "table", "div", "section", "article"):
                 up = up.parent
             if up is not None and up.tag in ENDS[tag] and up.parent is not None:
-                at = up.parent
+                at = climb(up.parent)
                 if tag == "tr" and at.tag == "tr":
-                    at = at.parent
+                    at = climb(at.parent)
         node = Node(tag, at, m[3])
         at.kids.append(node)
         if tag in RAW:
@@ -111,6 +124,7 @@ def parse(page: str) -> Node:
             close = page.find(">", end) if end >= 0 else -1
             pos = len(page) if end < 0 or close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/"):
+            opened[tag] += 1
             at = node
     if pos < len(page):
         at.kids.append(page[pos:])
@@ -121,18 +135,8 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attrs)} if node.attrs and "=" in node.attrs or "hidden" in node.attrs else {}
 
 
-def holds_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        for k in todo.pop().kids:
-            if isinstance(k, Node):
-                if k.tag in ("article", "main"):
-                    return True
-                todo.append(k)
-    return False
-
-
-def is_chrome(node: Node, in_article: bool) -> bool:
+def is_chrome(node: Node, in_article: bool, holds_article: bool) -> bool:
+    """Whether a node falls away by its tag, role, class or id. holds_article: an article or main lies inside it."""
     if node.tag in CHROME_TAGS:
         return True
     if node.tag == "header":
@@ -152,21 +156,26 @@ def is_chrome(node: Node, in_article: bool) -> bool:
     if not words:
         return False
     first = words[0]
-    if first not in ("comment", "comments") and any(w in CONTENT_WORDS for w in named) and holds_article(node):
+    if first not in ("comment", "comments") and any(w in CONTENT_WORDS for w in named) and holds_article:
         return False
-    return not holds_article(node) or first in ("comment", "comments", "commentlist", "replies", "related", "recommended", "sidebar")
+    return not holds_article or first in ("comment", "comments", "commentlist", "replies", "related", "recommended", "sidebar")
 
 
-def wraps_article(root: Node) -> Callable[[Node, bool], bool]:
+def article_counts(nodes: list[Node]) -> dict[Node, int]:
+    """Articles and mains of each node and what lies under it, counted once from the leaves up."""
+    out: dict[Node, int] = {}
+    for node in reversed(nodes):
+        out[node] = (node.tag in ("article", "main")) + sum(out[k] for k in node.kids if isinstance(k, Node))
+    return out
+
+
+def wraps_article(root: Node, nodes: list[Node], articles: dict[Node, int]) -> Callable[[Node, bool], bool]:
     """A test of chrome, by tag or name, for being a wrapper of the article: no article lies outside it, and it holds one or most of the page's paragraph points."""
-    nodes = in_order(root)
     measure(nodes)
-    points, articles = {}, {}
+    points: dict[Node, float] = {}
     for node in reversed(nodes):
-        kids = [k for k in node.kids if isinstance(k, Node)]
         own = (1 + node.commas + min(node.size / 100, 3)) * (1 - link_density(node)) if node.size and is_paragraph(node) else 0.0
-        points[node] = max(own, sum(points[k] for k in kids))
-        articles[node] = (node.tag in ("article", "main")) + sum(articles[k] for k in kids)
+        points[node] = max(own, sum(points[k] for k in node.kids if isinstance(k, Node)))
 
     def test(node: Node, in_article: bool) -> bool:
         if in_article or articles[node] < articles[root]:
@@ -186,14 +195,16 @@ def wraps_article(root: Node) -> Callable[[Node, bool], bool]:
 
 def prune(root: Node) -> None:
     """Take chrome out of the tree; chrome that wraps the article becomes a plain container."""
-    wraps = wraps_article(root)
+    nodes = in_order(root)
+    articles = article_counts(nodes)
+    wraps = wraps_article(root, nodes, articles)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in ("article", "main")
         kept: list[Node | str] = []
         for k in node.kids:
-            if isinstance(k, Node) and is_chrome(k, inside):
+            if isinstance(k, Node) and is_chrome(k, inside, articles[k] > (k.tag in ("article", "main"))):
                 if not wraps(k, inside):
                     continue
                 if k.tag in WRAPPERS:
