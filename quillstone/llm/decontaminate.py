@@ -15,8 +15,10 @@ a band of diagonals is aligned with the words of that band.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each sent to
 all tasks, so its size is never assumed. Documents are not shuffled, whatever repeats.
-Null texts are empty; repeated ids give one row per (id, item) with the best score; null
-ids group together; empty tables give no rows.
+Null texts are empty; texts are read whole, of any length; repeated ids give one row per
+(id, item) with the best score; null ids group together; equal scores tie in nothing, as all
+pairs return; empty tables give no rows. contaminated returns its own columns alone; clean
+returns all columns of docs, whatever their names but for _quill_*.
 """
 
 from __future__ import annotations
@@ -200,13 +202,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     """(id, item id, score from 0 to 1): the pairs of a document and an item that it holds."""
     spark = docs.sparkSession
     tokens = docs.select(F.col(id_col).alias("_id"), token_hashes(F.col(text_col)).alias("t"))
-    items = benchmark.select(F.col(item_id_col).alias("item"), token_hashes(F.col(item_text_col)).alias("t"))
+    # Items that repeat count once, so that a block is bounded whatever repeats.
+    items = benchmark.select(F.col(item_id_col).alias("item"), token_hashes(F.col(item_text_col)).alias("t")).distinct()
     total = items.agg(F.sum(F.size("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_words))
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()
     found = None
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()
+        rows = items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
         block = Block([(r["item"], np.array(r["t"], np.int64).astype(np.uint64)) for r in rows])
         if not block.parts:
             continue
