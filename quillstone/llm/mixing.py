@@ -8,7 +8,10 @@ makes the sample stratified, so the words taken stay near the target.
 The running sum is never made in one task: counts of (source, size), of hash buckets in
 them and ranks in a bucket are summed separately, so a source or a size with a third of
 all rows spreads over many tasks. Null text has size 0, a null source is a source of its
-own (last in order); repeated rows are separate documents; an empty table gives none.
+own (last in order); texts are counted whole, of any length; repeated rows are separate
+documents, and which of rows with one id, size and source is taken more often makes no
+difference to the words taken; an empty table gives none. mix returns all columns of docs,
+whatever their names but for _quill_*.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ listed. Components of the whole come from star contraction over (point, local ro
 
 Null text is empty; a text without words has fingerprint zero and links like any other;
 fewer words than a shingle give one shingle of all words. Repeated rows are one point
-and null ids never become a component id unless all ids of it are null. Empty tables
-give empty results.
+and null ids never become a component id unless all ids of it are null. Texts are read
+whole, of any length; a bit that is set in exactly half the hashes is 0. Empty tables give
+empty results. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,13 +111,18 @@ class Tree:
 
     def _grow(self, points: np.ndarray, leaves: int, rng) -> int:
         split = best_split(points, self.radius, rng) if leaves > 1 and len(points) > 3 else None
+        drawn = split is None and leaves > 1
+        if drawn:
+            # The sample is used up: a drawn vantage point with half of all fingerprints within 31 bits goes on from there.
+            vantage = rng.integers(-(1 << 63), 1 << 63)
+            split = vantage, 31, distance(points, vantage) <= 31
         if split is None:
             self.shards += 1
             return ~(self.shards - 1)
         vantage, mu, near = split
         at = len(self.nodes)
         self.nodes.append(())
-        half = max(1, round(leaves * near.mean()))
+        half = max(1, round(leaves * (0.5 if drawn else near.mean())))
         left, right = self._grow(points[near], half, rng), self._grow(points[~near], max(1, leaves - half), rng)
         self.nodes[at] = (int(vantage), mu, left, right)
         return at
