@@ -45,8 +45,8 @@ LENGTH = 400
 #: Bytes of a string that is reported when another text holds it, and of the part of any string that its anchor is drawn from.
 SHORT = 256
 GRAM = 32
-#: Places of an anchor from which its strings are counted instead of gathered.
-HOT = 4_000
+#: Places of an anchor above which its strings are counted instead of gathered: so many members take about 40 MB.
+HOT = 20_000
 #: Bytes of text hashed at a time, and members of collections ordered at a time.
 SLICE = 1 << 22
 MEMBERS = 30_000
