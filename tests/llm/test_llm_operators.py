@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,7 +33,7 @@ def odd(spark):
 
 def wide(spark):
     """The odd rows with extra columns whose names clash with the operators' own."""
-    names = ["size", "target", "host", "path", "rule", "verdict", "keep_id", "kept", "group_size", "score", "component_id", "fp", "root", "node", "_id", "item", "tid"]
+    names = ["_kinds", "_spans", "_key", "text_sha256", "n_bytes", "pages", "size", "target", "host", "path", "rule", "verdict", "keep_id", "kept", "group_size", "score", "component_id", "fp", "root", "node", "_id", "item", "tid"]
     return odd(spark).select("*", *[F.lit("x").alias(n) for n in names])
 
 
@@ -116,7 +117,7 @@ def judge(url):
 
 def test_url_rules_match_a_loop_over_rules(spark):
     hosts = ["example.com", "x.example.com", "y.x.example.com", "EXAMPLE.com", "notexample.com", "a.net", "com", "org", ""]
-    paths = ["", "/", "/a", "/a/", "/a/b", "/a/b/c", "/a/bc?q=1", "/a/#f", "/A/", "?/a/", "/ab"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/a/b/c", "/a/bc?q=1", "/a/#f", "/A/", "?/a/", "/ab", "/a\U0010ffffy", "/a/b\U0010ffff", "/a/b" + "c" * 50_000]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme.com/a", "x://", "a://b://example.com/a"] + ["http://example.com/a/"] * 50
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id int, url string, host string, rule string")
@@ -125,6 +126,10 @@ def test_url_rules_match_a_loop_over_rules(spark):
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"]), r["url"]
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    spread = url_filter.filter_urls(pages, rules, parts=1).collect()
+    assert sorted(spread, key=str) == sorted(got, key=str)
+    broken = rules.unionByName(spark.createDataFrame([(None, "block"), ("example.com", "block")], rules.schema))
+    assert {r["rule"] for r in url_filter.filter_urls(pages, broken).collect()} == {r["rule"] for r in got}
     assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
@@ -151,6 +156,57 @@ def test_lm_base_scores_and_gain(spark, sf, rows, monkeypatch):
     assert all(math.isclose(small[i], r["score"], rel_tol=1e-6) for i, r in got.items())
 
 
+def test_lm_scores_match_a_loop(spark, sf, rows):
+    """Counts, context buckets and expectation-maximisation over every token by hand; quantised events change a score by less than 5 % even here."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    docs = {i: [None, None, *words(t), "\n"] for i, t, _ in rows}
+
+    def counts(ids):
+        grams = [Counter(), Counter(), Counter()]
+        for i in ids:
+            for k in range(2, len(docs[i])):
+                for n in range(3):
+                    grams[n][tuple(docs[i][k - n : k + 1])] += 1
+            grams[0][(None,)] += 1
+            grams[1][(None, None)] += 1
+        return grams, sum(len(docs[i]) - 2 for i in ids)
+
+    def log2(c):
+        return min(lm_score.CONTEXTS - 1, int(math.log2(max(c, 1))))
+
+    def events(i, grams, total):
+        for k in range(2, len(docs[i])):
+            u, v, w = docs[i][k - 2 : k + 1]
+            h1, h2 = grams[0][(v,)], grams[1][(u, v)]
+            bucket = lm_score.CONTEXTS + 1 + log2(h2) if h2 else 1 + log2(h1) if h1 else 0
+            yield bucket, [grams[2][(u, v, w)] / max(h2, 1), grams[1][(v, w)] / max(h1, 1), grams[0][(w,)] / max(total, 1)]
+
+    train = [i for i in docs if fold(i) != lm_score.TEST_FOLD]
+    everything, total = counts(train)
+    floor = 1 / (len(everything[0]) - 1 + 1)
+    rest = counts([i for i in train if fold(i) != lm_score.MIX_FOLD])
+    seen = list(zip(*[e for i in train if fold(i) == lm_score.MIX_FOLD for e in events(i, *rest)], strict=True))
+    bucket, exact = np.array(seen[0]), np.minimum(np.array(seen[1]), 1)
+    got = {r["doc_id"]: r["score"] for r in queries.op3_lm_score(spark, sf).collect()}
+    steps = np.round(-lm_score.LEVELS * np.log2(np.maximum(exact, 1e-300)))
+    for p, tolerance in ((np.where(exact > 0, 2.0 ** (-np.minimum(steps, 126) / lm_score.LEVELS), 0), 1e-6), (exact, 0.05)):
+        p = np.c_[p, np.full(len(p), floor)]
+        w = np.tile([0.3, 0.3, 0.3, 0.1], (lm_score.BUCKETS, 1))
+        w[: lm_score.CONTEXTS + 1, 0] = w[0, 1] = 0
+        w /= w.sum(1, keepdims=True)
+        prior = w.copy()
+        for _ in range(60):
+            share = w[bucket] * p
+            share /= share.sum(1, keepdims=True)
+            w = np.stack([np.bincount(bucket, share[:, k], lm_score.BUCKETS) for k in range(4)], axis=1) + 2 * prior
+            w /= w.sum(1, keepdims=True)
+        w = np.maximum(w, np.where(prior > 0, 1e-5, 0))
+        w /= w.sum(1, keepdims=True)
+        for i in docs:
+            want = sum(math.log10(sum(w[b, k] * min(x, 1) for k, x in enumerate(ps)) + w[b, 3] * floor) for b, ps in events(i, everything, total))
+            assert math.isclose(got[i], want, rel_tol=tolerance), (i, tolerance)
+
+
 def test_lm_probabilities_sum_to_at_most_one(spark):
     """Over all known words after one context, with the floor standing for an unseen one."""
     vocabulary = ["a", "b", "c"]
@@ -214,6 +270,19 @@ def test_html_wrapped_articles(page):
     assert html_extract.extract(page.format(f"<p>{PROSE}</p><p>{PROSE}</p>")).endswith(f"{PROSE}{PROSE}".strip())
 
 
+def test_html_takes_the_first_of_equal_containers():
+    half = f"<div><p>{PROSE}</p></div>"
+    assert html_extract.extract(f"<body><section>{half}</section><section>{half}</section></body>").startswith(PROSE.strip())
+
+
+@pytest.mark.parametrize("unit", ["<div class=share>", "<b>", "<span>", "<ul><li>", "<div class='sidebar content'>"])
+@pytest.mark.parametrize("tail", ["<p>x</p>", "</i>", "<p>a", "<li>x", "<article>a</article>"])
+def test_html_takes_time_in_proportion(unit, tail):
+    start = time.process_time()
+    html_extract.extract(unit * 20_000 + tail * 20_000)
+    assert time.process_time() - start < 20
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (None, "u", "<p>" * 3000 + "deep", "z"), (3, "u", "<article>" + f"<p>{PROSE}</p>" * 3000, "z")], "page_id long, url string, html string, n_chars string")
     got = html_extract.main_text(pages).collect()
@@ -240,6 +309,18 @@ def test_exact_dedup(spark, support):
         assert [r["doc_id"] for r in mine if r["kept"]] == [top]
 
 
+def test_only_digests_of_the_support_are_frequent(spark):
+    rows = [(i, str(i) if i % 4 else "often") for i in range(400)]
+    slim = spark.createDataFrame(rows, "_id long, text_sha256 string")
+    assert exact_dedup.frequent(slim, 0.2) == ["often"] and exact_dedup.frequent(slim.limit(0), 0.2) == []
+
+
+def test_exact_dedup_breaks_ties_by_the_whole_row(spark):
+    rows = [(1, "same", lang, "a", 4) for lang in ("en", "de", "fr", "es")]
+    kept = {tuple(exact_dedup.keep_one(spark.createDataFrame(random.Random(s).sample(rows, 4), DOCS)).first()) for s in range(3)}
+    assert len(kept) == 1
+
+
 def test_exact_dedup_keeps_one_row_with_its_columns(spark):
     kept = exact_dedup.keep_one(wide(spark))
     assert kept.columns == wide(spark).columns
@@ -286,6 +367,7 @@ def test_trigram_queries():
 def test_secret_odd_rows(spark):
     docs = wide(spark)
     assert secret_scan.scan(docs).count() == len(ODD) and secret_scan.scan(empty(spark)).count() == 0
+    assert secret_scan.scan(docs).columns[-1] == "_spans" and "_kinds" in secret_scan.scan(docs).columns
     twice = spark.createDataFrame([(1, "password=abcdefgh", None, None, None)] * 2 + [(None, "x token=abcdefghi y", None, None, None)], DOCS)
     assert sorted(r["text"] for r in secret_scan.redact(twice).collect()) == ["[SECRET]", "[SECRET]", "x [SECRET] y"]
 
@@ -460,6 +542,15 @@ def test_label_model_finds_accuracies():
     assert right[0] > 0.8 > 0.6 > right[2] and share[3] < 0.75 and q[y].mean() > q[~y].mean() + 0.2
 
 
+def test_toxicity_counts_equal_texts_as_their_worst_label(spark):
+    texts = [(i, "vile words here" if i % 2 else f"clean prose {i} of no harm", "en", "a", 1) for i in range(60)]
+    labels = [(i, int(i % 2 and i > 3)) for i in range(60)]
+    shuffled = random.Random(1).sample(texts, 60)
+    a = toxicity.fit(spark.createDataFrame(texts, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    b = toxicity.fit(spark.createDataFrame(shuffled, DOCS), spark.createDataFrame(labels[::-1], "doc_id long, toxic int"))
+    assert a == b
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (3, 0), (99, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd(spark), labels)
@@ -506,6 +597,13 @@ def test_simhash_groups(spark, monkeypatch):
     assert Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got) == want
 
 
+def test_tree_goes_on_where_the_sample_ends():
+    tree = simhash.Tree(np.arange(4, dtype=np.int64) * 77_777_777_777, 64, 2)
+    points = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, 2000)
+    rows, shards, home = tree.deal(points)
+    assert tree.shards > 40 and np.bincount(shards[home]).max() < 500 and sorted(rows[home].tolist()) == list(range(2000))
+
+
 def test_shards_lose_no_link(spark):
     rng = np.random.default_rng(2)
     points = np.unique(np.r_[rng.integers(-(1 << 63), 1 << 63, 400), rng.integers(0, 256, 60)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
@@ -12,13 +12,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 import corpus_pipeline  # noqa: E402
-from quillstone.llm import mixing, queries, toxicity  # noqa: E402
+from quillstone.llm import common, mixing, queries, toxicity  # noqa: E402
 from quillstone.llm.common import keep  # noqa: E402
 from quillstone.session import TABLES  # noqa: E402
 from tools.compare import canon  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from test_llm_operators import jaccard_roots  # noqa: E402
+from test_llm_operators import ODD, empty, jaccard_roots, wide  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,30 @@ def test_run(spark, sf, stages):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r["doc_id"] for r in stages[-1][2].collect())
 
 
+def test_a_run_leaves_one_table(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    rows = corpus_pipeline.run(spark, sf)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["stage-mixing"] and rows.count()
+
+
+#: Ids that stay of the odd rows: nothing is toxic or holds an item; of equal texts the largest id stays, of near ones the least; null ids are no near-copies.
+STAY = {
+    "exact_dedup": [7, 2, 4, 5, 6], "near_dedup": [None, None, 1, 3, 5, 6], "decontamination": [r[0] for r in ODD],
+}
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_odd_and_empty_tables(spark, sf, name, stage):
+    docs = wide(spark)
+    done = stage(spark, docs, sf)
+    assert done.columns == docs.columns
+    got = Counter(r["doc_id"] for r in done.collect())
+    if name in STAY:
+        assert got == Counter(STAY[name])
+    nothing = stage(spark, empty(spark), sf)
+    assert nothing.columns == empty(spark).columns and nothing.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
