@@ -1,7 +1,15 @@
 """The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage works on all that its predecessor kept, and its output is written as Parquet
-and read again before the next begins, so a lost executor costs no finished stage.
+and read again before the next begins, so a lost executor costs no finished stage. What a
+stage writes on its way goes when its output stands, and the output when the next stands.
+
+Every stage takes nulls in any column, empty and very long texts (read whole), ties, repeated
+rows, an empty table (which stays empty) and extra columns of any name but _quill_*, which
+all come back: null and empty texts are not toxic and hold no benchmark item; equal texts
+count as copies, whatever their ids; a null id is never a near-copy and loses against any id
+among equal texts; rows that share an id stand or fall together in the near-copy and
+benchmark stages; the mix takes rows of one id, source and size evenly.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
-from quillstone.llm.common import keep
+from quillstone.llm.common import discard, keep, run_folder
 from quillstone.llm.queries import toxicity_model
 
 
@@ -54,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed documents, read from the last stage's output, which stays for the caller."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with run_folder(spark):
+            done = stage(spark, docs, sf_dir)
+            docs = keep(done, f"stage-{name}", apart=True)
+        discard(before)
     return docs
