@@ -16,13 +16,13 @@ def files_by_language(files: DataFrame) -> DataFrame:
 
 
 def files_by_directory(files: DataFrame, k: int = 12) -> DataFrame:
-    """Top-level directories; a file at the root counts by its own name. [A2, A23]"""
+    """Top-level directories; a file at the root counts by its own name. [A2]"""
     counted = live(files).groupBy(F.substring_index("path", "/", 1).alias("directory")).agg(F.count("*").alias("files"))
     return counted.orderBy(F.desc("files"), "directory").limit(k)
 
 
 def index_totals(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Files, symbols and chunks of live files, as one row. [A3, A4]"""
+    """Files, symbols and chunks of live files, as one row. [A4]"""
     alive = live(files).select("file_id")
     one = lambda df, name: df.join(alive, "file_id", "left_semi").agg(F.count("*").alias(name))
     totals = alive.agg(F.count("*").alias("files"))
@@ -30,6 +30,22 @@ def index_totals(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> Dat
     return totals.crossJoin(one(symbols, "symbols")).crossJoin(one(chunks, "chunks"))
 
 
+def project_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Live files over all languages, and all symbols, those of deleted files too. [A3]"""
+    return files_by_language(files).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files")).join(F.broadcast(symbols.agg(F.count("*").alias("symbols"))))
+
+
+def most_common(rows: DataFrame, value: Column, seen: str, k: int = 12) -> DataFrame:
+    """(value, n): the k most frequent values; of equals the one seen first. Null and empty values are left out. [A23]"""
+    counted = rows.select(value.alias("value"), F.col(seen).alias("_seen")).filter("value <> ''").groupBy("value").agg(F.count("*").alias("n"), F.min("_seen").alias("_first"))
+    return counted.orderBy(F.desc("n"), "_first", "value").limit(k).select("value", "n")
+
+
+def extensions(paths: DataFrame, seen: str, k: int = 12) -> DataFrame:
+    """Extensions of a tree by frequency. [A23]"""
+    return most_common(paths, T.suffix(F.col("path")), seen, k)
+
+
 def vector_coverage(chunks: DataFrame, files: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
     """Chunks that deserve a vector, and those that have one of the model; deleted files count too. [A7, J8]"""
     asked = chunks.join(files.filter(T.deserves_vector(F.col("path"))).select("file_id"), "file_id", "left_semi")
@@ -132,7 +148,7 @@ def first_seen_order(rows: DataFrame, value: str, seq: str) -> DataFrame:
 
 
 def attempt_duration(attempts: DataFrame) -> DataFrame:
-    """Milliseconds over all attempts of a run. [A24, A29]"""
+    """Milliseconds over all attempts of a run. [A24]"""
     ms = F.unix_millis(F.col("finished_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))
     return attempts.groupBy("run_id").agg(F.sum(ms).alias("duration_ms"), F.count("*").alias("attempts"))
 

@@ -65,6 +65,27 @@ def needs_build(repositories: DataFrame, snapshots: DataFrame) -> DataFrame:
     return repositories.join(busy.withColumnRenamed("repository_id", "_r"), cond, "left_anti")
 
 
+def pick_up(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """requests(repository_id, commit_sha) with the snapshot to go on with and what to do: reuse a pending one, abort a cancelled one, else create. [I23]"""
+    held = snapshots.filter(F.col("status").isin("pending", "cancelled")).groupBy("repository_id", "commit_sha").agg(F.max_by(F.struct("snapshot_id", "status"), F.struct("created_at", "snapshot_id")).alias("_s"))
+    action = F.when(F.col("_s.status") == "pending", "reuse").when(F.col("_s.status") == "cancelled", "abort").otherwise("create")
+    return requests.join(held, ["repository_id", "commit_sha"], "left").select("repository_id", "commit_sha", F.col("_s.snapshot_id").alias("snapshot_id"), action.alias("action"))
+
+
+def resolve_revisions(asked: DataFrame, commits: DataFrame) -> DataFrame:
+    """asked(rev), a sha or a sha with ^ for its parent, with the commit (sha) or what is missing. commits(sha, parent). [S5]"""
+    known = commits.select(F.col("sha").alias("_base"), F.col("parent").alias("_parent"))
+    found = asked.withColumn("_want", F.regexp_replace("rev", r"\^$", "")).join(known, F.col("_want") == F.col("_base"), "left")
+    up = F.endswith("rev", F.lit("^"))
+    problem = F.when(F.col("_base").isNull(), "no commit").when(up & F.col("_parent").isNull(), "no parent")
+    return found.select("rev", F.when(up, F.col("_parent")).otherwise(F.col("_base")).alias("sha"), problem.alias("problem"))
+
+
+def choose_backends(sets: DataFrame, backends: DataFrame) -> DataFrame:
+    """sets(set_name) with the first backend(place, backend, set_name) of the same name. [R38]"""
+    return sets.join(backends.groupBy("set_name").agg(F.min_by("backend", "place").alias("backend")), "set_name", "left")
+
+
 def nested(parents: DataFrame, children: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:
     """Parents with their children as a sorted array of structs. [I24]"""
     rest = [c for c in children.columns if c != key and c not in order]

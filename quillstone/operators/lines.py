@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LINE_END = "\r\n|\r|\n"
 LARGE_BYTES, LARGE_LINES = 512 * 1024, 5000
 WINDOW_LINES = 400
 
@@ -12,7 +13,7 @@ WINDOW_LINES = 400
 def numbered_lines(files: DataFrame, text_col: str = "content") -> DataFrame:
     """One row per line, numbered from one."""
     keys = [c for c in files.columns if c != text_col]
-    return files.select(*keys, F.posexplode(F.split(text_col, "\r\n|\r|\n")).alias("_at", "line")).withColumn("number", F.col("_at") + 1).drop("_at")
+    return files.select(*keys, F.posexplode(F.split(text_col, LINE_END)).alias("_at", "line")).withColumn("number", F.col("_at") + 1).drop("_at")
 
 
 def grep(files: DataFrame, pattern: str, fixed: bool, k: int, per_file: int = 5) -> DataFrame:
@@ -45,11 +46,14 @@ def symbol_text(chunks: DataFrame) -> DataFrame:
     return chunks.filter("symbol_id IS NOT NULL").groupBy("symbol_id").agg(joined.alias("text"))
 
 
-def windows_around(lines: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
-    """Lines around each hit (path, hit), clamped to the file. An equi-join on the path with a range. [R40]"""
-    near = lines.join(hits, "path").filter((F.col("number") >= F.col("hit") - before) & (F.col("number") <= F.col("hit") + after))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n")
-    return near.groupBy("path", "hit").agg(F.min("number").alias("first_line"), F.max("number").alias("last_line"), joined.alias("text"))
+def windows_around(files: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
+    """Lines around each hit (path, hit) of files(path, content), clamped to the file: a slice of its lines. [R40]"""
+    split = files.join(hits.groupBy("path").agg(F.collect_set("hit").alias("_hits")), "path").select("path", "_hits", F.split("content", LINE_END).alias("_l"))
+    first = F.greatest(F.lit(1), F.col("hit") - before)
+    last = F.least(F.size("_l"), F.col("hit") + after)
+    return split.select("path", F.explode("_hits").alias("hit"), "_l").select(
+        "path", "hit", first.alias("first_line"), last.alias("last_line"), F.array_join(F.slice("_l", first, last - first + 1), "\n").alias("text")
+    )
 
 
 def content_window(content: Column, start: Column, end: Column | None = None) -> Column:
@@ -72,17 +76,23 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_lines: int = 6
     return both.filter(F.col("_bin") == F.greatest(F.floor(F.col("l_start") / bin_lines), F.floor(F.col("r_start") / bin_lines))).drop("_bin")
 
 
+def points_in_ranges(points: DataFrame, ranges: DataFrame, key: str, how: str = "inner", bin_lines: int = 64) -> DataFrame:
+    """points(key, at) with the ranges(key, r_start, r_end) that hold them, joined on (key, bin of lines) as in overlap_join."""
+    r = ranges.withColumn("_r_bin", F.explode(F.sequence(F.floor(F.col("r_start") / bin_lines), F.floor(F.greatest("r_end", "r_start") / bin_lines)))).withColumnRenamed(key, "_r_key")
+    inside = (F.col("at") >= F.col("r_start")) & (F.col("at") <= F.col("r_end"))
+    return points.withColumn("_bin", F.floor(F.col("at") / bin_lines)).join(r, (F.col(key) == F.col("_r_key")) & (F.col("_bin") == F.col("_r_bin")) & inside, how).drop("_bin", "_r_bin", "_r_key")
+
+
 def innermost(ranges: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """points(key, point_id, at) with the smallest range (range_id, r_start, r_end) that holds it. [J18, T5]"""
-    both = points.join(ranges, key).filter((F.col("at") >= F.col("r_start")) & (F.col("at") <= F.col("r_end")))
+    both = points_in_ranges(points, ranges, key)
     inner = F.min_by("range_id", F.struct((-F.col("r_start")).alias("s"), F.col("r_end"), F.col("range_id")))
     return both.groupBy(key, "point_id").agg(inner.alias("range_id"))
 
 
 def contained(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """Points inside some range. [J15, P8]"""
-    r = ranges.withColumnRenamed(key, "_key")
-    return points.join(r, (F.col(key) == F.col("_key")) & (F.col("at") >= F.col("r_start")) & (F.col("at") <= F.col("r_end")), "left_semi")
+    return points_in_ranges(points, ranges, key, "left_semi")
 
 
 def hunk_bounds(hunks: DataFrame) -> DataFrame:
@@ -124,6 +134,6 @@ def diff_totals(files: DataFrame) -> DataFrame:
 def find_by_path(files: DataFrame, asked: str) -> DataFrame:
     """The file of that path, else the only one that ends with it. [D3]"""
     tagged = files.withColumn("_exact", F.col("path") == asked).filter(F.col("_exact") | F.col("path").endswith("/" + asked))
-    w = Window.partitionBy(F.lit(1))
-    counted = tagged.withColumn("_e", F.count_if("_exact").over(w)).withColumn("_n", F.count("*").over(w))
+    # One row of two counts.
+    counted = tagged.join(F.broadcast(tagged.agg(F.count_if("_exact").alias("_e"), F.count("*").alias("_n"))))
     return counted.filter(F.col("_exact") | ((F.col("_e") == 0) & (F.col("_n") == 1))).drop("_exact", "_e", "_n")

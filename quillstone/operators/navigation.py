@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import constants as K
 from quillstone.functions import text as T
 from quillstone.operators import filters, graph, lines, review, search, windows
-from quillstone.operators.digests import files_by_directory, files_by_language
+from quillstone.operators.digests import files_by_directory, files_by_language, project_totals
 
 TEXT_CHARS = 4000
 
@@ -32,8 +32,11 @@ def fragments(df: DataFrame, role: str, title: Column, text: Column | None = Non
 
 def search_code(chunks: DataFrame, files: DataFrame, query: str, k: int = 10, languages=()) -> DataFrame:
     """Fragments of the first stage of a query with any hit. [R22, R6]"""
+    return staged_fragments(chunks, files, *search.query_stages(query), k, languages)
+
+
+def staged_fragments(chunks: DataFrame, files: DataFrame, exact: list[list[str]], substring: str | None, split: list[str], k: int, languages=()) -> DataFrame:
     held = chunks.join(filters.of_languages(filters.live(files), languages).select("file_id", "path"), "file_id")
-    exact, substring, split = search.query_stages(query)
     hits = search.by_staged_terms(held, "chunk_id", "content", exact, substring, split, k)
     return fragments(held.join(hits, "chunk_id").withColumn("text", F.col("content")), "match", F.col("chunk_id").cast("string"))
 
@@ -64,6 +67,16 @@ def hidden_kinds(symbols: DataFrame, edges: DataFrame, name: str, shown: str = "
     return graph.edge_kinds(edges, seeds).filter(F.col("kind") != shown).orderBy(F.desc("n"), "kind")
 
 
+def references(symbols: DataFrame, edges: DataFrame, files: DataFrame, name: str, relation: str | None = None, k: int = 20) -> DataFrame:
+    """What refers to a name by any relation, or by one. [R20, R22]"""
+    return related(symbols, edges, files, name, (relation,) if relation else (), True, k)
+
+
+def file_context(symbols: DataFrame, files: DataFrame, path: str, first: int, last: int, k: int = 60) -> DataFrame:
+    """Symbols of a file that cover a range of lines. [R13, R22]"""
+    return outline(symbols.filter(filters.overlaps(F.col("start_line"), F.col("end_line"), F.lit(first), F.lit(last))), files, path, k)
+
+
 def outline(symbols: DataFrame, files: DataFrame, path: str, k: int = 200) -> DataFrame:
     """[R17, T8]"""
     return symbols.join(files.filter(F.col("path") == path).select("file_id"), "file_id", "left_semi").orderBy("start_line", "end_line", "symbol_id").limit(k)
@@ -88,23 +101,19 @@ def list_files(files: DataFrame, pattern: str, k: int = 5) -> DataFrame:
     return filters.live(files).filter(filters.path_matches(F.col("path"), pattern)).orderBy(*windows.path_order(pattern, F.col("path"))).limit(k)
 
 
-def describe(files: DataFrame) -> DataFrame:
-    """Languages and directories of an index as (section, name, files). [R16]"""
+def describe(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Totals, languages and directories of an index as (section, name, files). [R16]"""
+    totals = project_totals(files, symbols).select(F.explode(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), F.col(c).alias("files")) for c in ("files", "symbols")])).alias("x")).select("x.*")
     by_language = files_by_language(files).select(F.lit("language").alias("section"), F.col("language").alias("name"), "files")
-    return by_language.unionByName(files_by_directory(files).select(F.lit("directory").alias("section"), F.col("directory").alias("name"), "files"))
-
+    return totals.unionByName(by_language).unionByName(files_by_directory(files).select(F.lit("directory").alias("section"), F.col("directory").alias("name"), "files"))
 
-def resolve_path(files: DataFrame, asked: str) -> str | None:
-    """The only file that a path or else its base name names; null if several do. [R23]
 
-    At most two rows come back for each needle.
-    """
+def resolve_path(files: DataFrame, asked: str) -> DataFrame:
+    """One row (path): the only file that a path or else its base name names; null if several do, or none. [R23]"""
     clean = asked.strip().lstrip("/")
-    for needle in dict.fromkeys([clean, clean.rsplit("/", 1)[-1]]):
-        hits = list_files(files, needle, 2).select("path").collect()
-        if hits:
-            return hits[0]["path"] if len(hits) == 1 else None
-    return None
+    whole, base = (F.when(filters.path_matches(F.col("path"), x), F.col("path")) for x in (clean, clean.rsplit("/", 1)[-1]))
+    counted = filters.live(files).agg(F.count(whole).alias("a"), F.min(whole).alias("one_a"), F.count(base).alias("b"), F.min(base).alias("one_b"))
+    return counted.select(F.when(F.col("a") == 1, F.col("one_a")).when((F.col("a") == 0) & (F.col("b") == 1), F.col("one_b")).alias("path"))
 
 
 def suggest_paths(files: DataFrame, asked: str, k: int = 5) -> DataFrame:
@@ -116,15 +125,25 @@ def suggest_paths(files: DataFrame, asked: str, k: int = 5) -> DataFrame:
 
 
 def grep_windows(files: DataFrame, pattern: str, kind: str = "search", k: int = 20) -> DataFrame:
-    """Windows around matching lines of a working tree. [R35, R40]"""
-    before, after = {"search": (2, 2), "definition": (1, 40), "references": (1, 1), "context": (20, 20)}[kind]
+    """Windows around matching lines of a working tree: search, definition, references, subclasses, importers, raisers or context. [R35, R40]"""
+    before, after = {"search": (2, 2), "definition": (1, 40), "context": (20, 20)}.get(kind, (1, 1))
     rows = lines.numbered_lines(files.select("path", "content"))
-    regex = rf"({'|'.join(K.DEFINITION_WORDS)})\s+{re.escape(pattern)}\b" if kind == "definition" else rf"\b{re.escape(pattern)}\b"
+    name = re.escape(pattern)
+    regex = {
+        "definition": rf"({'|'.join(K.DEFINITION_WORDS)})\s+{name}\b", "subclasses": rf"\bclass\s+\w+\s*(\([^)]*\b{name}\b|extends\s+{name}\b)",
+        "importers": rf"\b(import|from|require)\b.*\b{name}\b", "raisers": rf"\b(raise|throw)\s+(new\s+)?([\w.]+\.)?{name}\b",
+    }.get(kind, rf"\b{name}\b")
     hits = rows.filter(F.col("line").rlike(regex))
     if kind == "references":
         hits = hits.filter(~T.is_definition_line(F.col("line")))
     hits = windows.first_per_key(hits, ["path"], F.col("number"), n=5).orderBy("path", "number").limit(k)
-    return lines.windows_around(rows, hits.select("path", F.col("number").alias("hit")), before, after)
+    return lines.windows_around(files, hits.select("path", F.col("number").alias("hit")), before, after)
+
+
+def grep_outline(files: DataFrame, path: str, k: int = 60) -> DataFrame:
+    """Definition lines of a file of a working tree, without an index. [R35, R17]"""
+    rows = lines.numbered_lines(files.filter(F.col("path") == path).select("path", "content"))
+    return rows.filter(T.is_definition_line(F.col("line"))).orderBy("number").limit(k)
 
 
 def diff_context(changed: DataFrame, symbols: DataFrame, edges: DataFrame, similar: DataFrame, limit: int = 2000, each: int = 12) -> DataFrame:
@@ -148,6 +167,6 @@ def diff_context(changed: DataFrame, symbols: DataFrame, edges: DataFrame, simil
 
 #: Tools by name. [R44]
 TOOLS = {
-    "search_code": search_code, "get_definition": definition, "find_callers": related, "find_references": related, "get_file_context": outline, "read_file": read_file, "get_file_outline": outline,
+    "search_code": search_code, "get_definition": definition, "find_callers": related, "find_references": references, "get_file_context": file_context, "read_file": read_file, "get_file_outline": outline,
     "find_symbol": find_symbol, "project_docs": search_documents, "describe_repository": describe, "list_files": list_files,
 }

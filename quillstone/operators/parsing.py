@@ -1,20 +1,40 @@
-"""Code as symbols, edges and chunks: Python files by their syntax tree, other files as text."""
+"""Code as symbols, edges and chunks: Python files by their syntax tree, other files as text.
+
+Python reads one file at a time with the standard ast; texts are cut, and tables made, in Spark.
+"""
 
 from __future__ import annotations
 
 import ast
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from quillstone.functions import text as T
 from quillstone.functions.constants import BUILTIN_NAMES
+from quillstone.operators import packing
 
 MOST_TOKENS, LEAST_TOKENS, OVERLAP = 512, 48, 2
-TEXT_SOFT, TEXT_HARD, TEXT_LINES = 400, 800, 3
-SYMBOLS = "path string, kind string, name string, qualified_name string, signature string, docstring string, start_line int, end_line int"
-EDGES = "path string, source_qualified_name string, target_qualified_name string, kind string, confidence double"
-CHUNKS = "path string, symbol string, content string, token_count int, start_line int, end_line int"
+SYMBOL_FIELDS = ("kind", "name", "qualified_name", "signature", "docstring", "start_line", "end_line")
+EDGE_FIELDS = ("source_qualified_name", "target_qualified_name", "kind", "confidence")
+CHUNK_FIELDS = ("symbol", "content", "token_count", "start_line", "end_line")
+
+
+def _rows(fields: tuple[str, ...], **types: DataType) -> ArrayType:
+    return ArrayType(StructType([StructField(f, types.get(f, StringType())) for f in fields]))
+
+
+PARSED = StructType(
+    [
+        StructField("path", StringType()), StructField("content", StringType()), StructField("symbols", _rows(SYMBOL_FIELDS, start_line=IntegerType(), end_line=IntegerType())),
+        StructField("edges", _rows(EDGE_FIELDS, confidence=DoubleType())), StructField("chunks", _rows(CHUNK_FIELDS, token_count=IntegerType(), start_line=IntegerType(), end_line=IntegerType())),
+    ]
+)
 
 
 def tokens(text: str) -> int:
@@ -51,9 +71,9 @@ def definitions(tree: ast.Module, module: str, lines: list[str]) -> list[Definit
                 out.append(Definition(kind, node.name, name, node, lines, owner))
                 walk(node.body, name, kind == "class")
             else:
-                for part in ("body", "orelse", "finalbody", "handlers"):
+                for part in ("body", "orelse", "finalbody", "handlers", "cases"):
                     inner = getattr(node, part, [])
-                    walk([x for h in inner for x in (h.body if isinstance(h, ast.ExceptHandler) else [h])] if isinstance(inner, list) else [], owner, in_class)
+                    walk([x for h in inner for x in (h.body if isinstance(h, (ast.ExceptHandler, ast.match_case)) else [h])] if isinstance(inner, list) else [], owner, in_class)
 
     walk(tree.body, module, False)
     return out
@@ -117,9 +137,9 @@ def edges_of(tree: ast.Module, module: str, defs: list[Definition], is_package:
                 if isinstance(base, (ast.Name, ast.Attribute)):
                     note(d.qualified, dotted(base), "inherits", None)
         raised: set[int] = set()
-        todo = list(d.node.body)
+        todo = deque(d.node.body)
         while todo:
-            node = todo.pop(0)
+            node = todo.popleft()
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 continue
             if isinstance(node, ast.Raise) and node.exc is not None:
@@ -131,21 +151,6 @@ def edges_of(tree: ast.Module, module: str, defs: list[Definition], is_package:
     return [(s, t, k, c) for (s, t, k), c in seen.items()]
 
 
-def text_chunks(content: str) -> list[tuple[str, int, int]]:
-    """Chunks of a text file: at a blank line once large enough, at any line once too large. [I6]"""
-    out, held, start, used = [], [], 1, 0
-    for n, line in enumerate(content.split("\n"), start=1):
-        held.append(line)
-        used += len(line) + 1
-        size = max(1, round(used / 3.0))
-        if (not line.strip() and len(held) >= TEXT_LINES and size >= TEXT_SOFT) or size >= TEXT_HARD:
-            out.append(("\n".join(held), start, n))
-            held, start, used = [], n + 1, 0
-    if any(x.strip() for x in held):
-        out.append(("\n".join(held), start, start + len(held) - 1))
-    return [x for x in out if x[0].strip()]
-
-
 def by_lines(lines: list[str], start: int, end: int) -> list[tuple[int, int]]:
     """Ranges of at most MOST_TOKENS that overlap by OVERLAP lines."""
     out, a = [], start
@@ -201,41 +206,56 @@ def code_chunks(content: str, module: str, defs: list[Definition]) -> list[tuple
     return merged
 
 
-def parse_file(path: str, language: str | None, content: str) -> tuple[list, list, list]:
-    """Symbols, edges and chunks of one file; a file that does not parse is a module of text. [I2, I4, I6, I7, I8]"""
-    module = module_of(path)
-    lines = content.split("\n")
-    whole = (path, "module", module.rsplit(".", 1)[-1], module, None, None, 1, len(lines))
-    if language == "python":
-        try:
-            tree = ast.parse(content)
-        except (SyntaxError, ValueError, RecursionError):
-            tree = None
-        if tree is not None:
-            defs = definitions(tree, module, lines)
-            symbols = [whole[:5] + (ast.get_docstring(tree),) + whole[6:]] + [(path, d.kind, d.name, d.qualified, d.signature, d.docstring, d.start, d.end) for d in defs]
-            return symbols, [(path, *e) for e in edges_of(tree, module, defs, path.endswith("__init__.py"))], [(path, s, t, tokens(t), a, b) for s, t, a, b in code_chunks(content, module, defs)]
-    return [whole], [], [(path, module, t, tokens(t), a, b) for t, a, b in text_chunks(content)]
-
-
-def _parsed(files: DataFrame, which: int, schema: str) -> DataFrame:
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parse_file(path: str, content: str) -> dict | None:
+    """Symbols, edges and chunks of a Python file; nothing for one that does not parse. [I2, I4, I7, I8]"""
+    module, lines = module_of(path), content.split("\n")
+    try:
+        tree = ast.parse(content)
+        defs = definitions(tree, module, lines)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    whole = ("module", module.rsplit(".", 1)[-1], module, None, ast.get_docstring(tree), 1, len(lines))
+    named = lambda rows, fields: [dict(zip(fields, r, strict=True)) for r in rows]
+    return {
+        "symbols": named([whole, *((d.kind, d.name, d.qualified, d.signature, d.docstring, d.start, d.end) for d in defs)], SYMBOL_FIELDS),
+        "edges": named(edges_of(tree, module, defs, path.endswith("__init__.py")), EDGE_FIELDS),
+        "chunks": named([(s, t, tokens(t), a, b) for s, t, a, b in code_chunks(content, module, defs)], CHUNK_FIELDS),
+    }
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """(path, content, symbols, edges, chunks): each file parsed once; content stays where a file is text or does not parse. [I7]
+
+    Keep the result where more than one of symbols, edges and chunks is read from it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, lang, c in zip(batch["path"], batch["language"], batch["content"], strict=True) for r in parse_file(p, lang, c or "")[which]]
-            yield pd.DataFrame(rows, columns=names)
+            rows = []
+            for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                done = parse_file(path, content or "") if language == "python" else None
+                rows.append({"path": path, "content": None if done else content or "", **(done or {})})
+            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(PARSED))
 
-    return files.select("path", "language", "content").mapInPandas(run, schema)
+    return files.select("path", "language", "content").mapInArrow(run, PARSED)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    return _parsed(files, 0, SYMBOLS)
+def symbols(parsed: DataFrame) -> DataFrame:
+    """Symbols of parsed files, a module for each text. [I2]"""
+    text = F.col("content").isNotNull()
+    module = T.module_path(F.col("path"))
+    lines = F.size(F.split("content", "\n"))
+    none = F.lit(None).cast("string")
+    whole = F.struct(F.lit("module").alias("kind"), T.last_segment(module).alias("name"), module.alias("qualified_name"), none.alias("signature"), none.alias("docstring"), F.lit(1).alias("start_line"), lines.alias("end_line"))
+    return parsed.select("path", F.explode(F.when(text, F.array(whole)).otherwise(F.col("symbols"))).alias("s")).select("path", "s.*")
 
 
-def edges(files: DataFrame) -> DataFrame:
-    return _parsed(files, 1, EDGES)
+def edges(parsed: DataFrame) -> DataFrame:
+    """References of parsed files. [I4, I25]"""
+    return parsed.select("path", F.explode("edges").alias("e")).select("path", "e.*")
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    return _parsed(files, 2, CHUNKS)
+def chunks(parsed: DataFrame) -> DataFrame:
+    """Chunks of parsed files by their definitions, of texts by their lines. [I6, I8]"""
+    code = parsed.select("path", F.explode("chunks").alias("c")).select("path", "c.*")
+    return code.unionByName(packing.text_chunks(parsed.filter("content IS NOT NULL")))

@@ -15,14 +15,14 @@ def collect_evidence(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     """(draft_id, snippet, source_no, kind): snippets that some source of the file contains, by the first such source. [D10, J16]
 
     drafts(draft_id, file_path, evidence, code_fragment); sources(file_path, source_no, kind, text). A theta join within
-    a file: both sides meet on the path, so its cost is that of a file's own drafts and sources.
+    a file: each distinct snippet of a file meets each source of it once, however many drafts quote it.
     """
     parts = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("code_fragment") != "", F.col("code_fragment")))))
     asked = drafts.select("draft_id", "file_path", F.explode(F.array_distinct(F.transform(parts, T.normal_space))).alias("snippet")).filter("snippet <> ''")
     held = sources.select("file_path", "source_no", "kind", T.normal_space(F.col("text")).alias("_text"))
-    found = asked.join(held, "file_path").filter(F.contains("_text", F.col("snippet")))
-    first = found.groupBy("draft_id", "snippet").agg(F.min(F.struct("source_no", "kind")).alias("_s"))
-    return first.select("draft_id", "snippet", F.col("_s.source_no").alias("source_no"), F.col("_s.kind").alias("kind"))
+    found = asked.select("file_path", "snippet").distinct().join(held, "file_path").filter(F.contains("_text", F.col("snippet")))
+    first = found.groupBy("file_path", "snippet").agg(F.min(F.struct("source_no", "kind")).alias("_s"))
+    return asked.join(first, ["file_path", "snippet"]).select("draft_id", "snippet", F.col("_s.source_no").alias("source_no"), F.col("_s.kind").alias("kind"))
 
 
 def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: DataFrame) -> DataFrame:
@@ -63,11 +63,16 @@ def verify(drafts: DataFrame, sources: DataFrame, hunks: DataFrame, shown: DataF
 
 
 def discard_counts(verified: DataFrame) -> DataFrame:
-    """[A28, A29]"""
+    """[A28]"""
     reasons = ("outside_diff", "without_evidence", "unproven", "duplicate")
     return verified.groupBy("run_id").agg(*[F.count_if(F.col("outcome") == r).alias(r) for r in reasons], F.count_if(F.col("outcome") == "finding").alias("findings"))
 
 
+def discarded_total(counts: DataFrame) -> DataFrame:
+    """Counts per run with their sum over the four reasons. [A29]"""
+    return counts.withColumn("discarded", F.col("outside_diff") + F.col("without_evidence") + F.col("unproven") + F.col("duplicate"))
+
+
 def add_findings(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Fresh findings whose key the run has not. [D12, S18]"""
     return fresh.join(stored.select("run_id", "dedup_key"), ["run_id", "dedup_key"], "left_anti").dropDuplicates(["run_id", "dedup_key"])

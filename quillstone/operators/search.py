@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ RRF_K = 60
 CANDIDATES = 50
 LITERAL_WEIGHTS, PROSE_WEIGHTS = (1.0, 0.6), (0.6, 1.0)
 LEAST_SUBSTRING = 5
+JAVA_QUOTE = ("\\Q", "\\E")
 
 
 def lexemes(text: Column) -> Column:
@@ -27,10 +29,34 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(lexemes(F.col(text_col))).alias("pos", "term"))
 
 
+def positions(low: Column, terms: list[str]) -> Column:
+    """Positions of the asked terms among the lexemes of a lower-cased text, counted without making the lexemes.
+
+    A term of letters and digits is a lexeme wherever it is bounded by other characters, alone or in a compound; a
+    compound one where nothing of a compound goes on.
+    """
+    total = F.lit(0)
+    for term in dict.fromkeys(t.lower() for t in terms):
+        around = r"\p{L}\p{N}" if re.fullmatch(r"[^\W_]+", term) else r"\p{L}\p{N}_/.-"
+        counted = F.regexp_count(low, F.lit(rf"(?<![{around}]){JAVA_QUOTE[0]}{term}{JAVA_QUOTE[1]}(?![{around}])"))
+        total = total + F.when(F.contains(low, F.lit(term)), counted).otherwise(0)
+    return total
+
+
 def cover_rank(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
     """(id, score): a tenth for every position of an asked term; documents without one are left out. [R7, R8]"""
-    hits = F.size(F.filter(lexemes(F.col(text_col)), lambda t: t.isin(*[x.lower() for x in terms]))) if terms else F.lit(0)
-    return docs.select(id_col, F.round(hits * F.lit(0.1), 6).alias("score")).filter("score > 0")
+    return docs.select(id_col, F.round(positions(F.lower(text_col), terms) * F.lit(0.1), 6).alias("score")).filter("score > 0")
+
+
+def store_postings(docs: DataFrame, id_col: str, text_col: str, table: str, buckets: int = 64) -> None:
+    """Postings as a table bucketed and sorted by term, so that a search reads the buckets and row groups of its terms alone. [R3]"""
+    postings(docs, id_col, text_col).groupBy("term", id_col).agg(F.count("*").alias("positions")).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+
+
+def rank_postings(stored: DataFrame, id_col: str, terms: list[str]) -> DataFrame:
+    """cover_rank over stored postings(term, id, positions): the filter on terms reaches the scan. [R7, R8]"""
+    asked = stored.filter(F.col("term").isin(*{t.lower() for t in terms}))
+    return asked.groupBy(id_col).agg(F.round(F.sum("positions") * F.lit(0.1), 6).alias("score"))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -43,27 +69,26 @@ def by_staged_terms(docs: DataFrame, id_col: str, text_col: str, stages: list[li
 
     All stages are judged in one pass; the least stage of the corpus is kept by a one-row aggregate.
     """
-    lex = lexemes(F.col(text_col))
     plan: list[tuple[Column, Column]] = []
     seen: set[frozenset[str]] = set()
 
     def terms_stage(terms: list[str]) -> None:
         if terms and frozenset(terms) not in seen:
             seen.add(frozenset(terms))
-            n = F.size(F.filter(F.col("_lex"), lambda t: t.isin(*[x.lower() for x in terms])))
+            n = positions(F.col("_low"), terms)
             plan.append((n > 0, F.round(n * F.lit(0.1), 6)))
 
     for terms in stages:
         terms_stage(terms)
     if substring and len(substring) >= LEAST_SUBSTRING:
-        plan.append((F.contains(F.lower(F.col("_text")), F.lit(substring.lower())), F.lit(0.0)))
+        plan.append((F.contains(F.col("_low"), F.lit(substring.lower())), F.lit(0.0)))
     terms_stage(split)
     if not plan:
         return docs.select(id_col, F.lit(0).alias("stage"), F.lit(0.0).alias("score")).limit(0)
-    held = docs.select(id_col, F.col(text_col).alias("_text"), lex.alias("_lex"))
+    held = docs.select(id_col, F.length(text_col).alias("_len"), F.lower(text_col).alias("_low"))
     scored = [F.when(test, F.struct(F.lit(i).alias("stage"), score.alias("score"))) for i, (test, score) in enumerate(plan)]
     # A document may hit several stages, and which one counts is known only over all documents.
-    rows = held.select(id_col, F.length("_text").alias("_len"), F.explode(F.array_compact(F.array(*scored))).alias("x")).select(id_col, "_len", "x.*")
+    rows = held.select(id_col, "_len", F.explode(F.array_compact(F.array(*scored))).alias("x")).select(id_col, "_len", "x.*")
     first = rows.agg(F.min("stage").alias("_first"))
     kept = rows.join(F.broadcast(first), F.col("stage") == F.col("_first"))
     return kept.orderBy(F.desc("score"), F.when(F.col("score") == 0, F.col("_len")), id_col).limit(k).select(id_col, "stage", "score")
@@ -71,8 +96,6 @@ def by_staged_terms(docs: DataFrame, id_col: str, text_col: str, stages: list[li
 
 def query_stages(query: str) -> tuple[list[list[str]], str | None, list[str]]:
     """Exact stages, substring and split terms of one query string; a few words, handled on the driver. [R6]"""
-    import re
-
     raw = [t.translate(str.maketrans("", "", "'\"\\")).strip("()[]{},;:!?<>=+*&|~`@#$%^ .-") for t in re.split(r"[^\w/.\-]+", query)]
     raw = [t for t in raw if any(c.isalnum() for c in t)]
 

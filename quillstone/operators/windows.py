@@ -55,7 +55,8 @@ def queue_order(running: Column, place: Column) -> list[Column]:
 def capped_listing(df: DataFrame, order: str, most: int = 300) -> DataFrame:
     """At most `most` rows, each with whether there may be more. [T18]"""
     cut = df.orderBy(order).limit(most)
-    return cut.withColumn("more", F.count("*").over(Window.partitionBy(F.lit(1))) >= most)
+    # One row: whether the listing is full.
+    return cut.join(F.broadcast(cut.agg((F.count("*") >= most).alias("more"))))
 
 
 def last_messages(messages: DataFrame, n: int = 8) -> DataFrame:

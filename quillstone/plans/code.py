@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import graph, index, lines, parsing, review
+from quillstone.operators import graph, index, lines, packing, review
 from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
 from quillstone.session import table
@@ -129,23 +129,23 @@ def _(spark, sf):
 RANGES = f"WITH {B.SYMBOLS}"
 
 
-@query("j14_overlap_join", f"{RANGES}, h AS (SELECT p_brand AS file_id, p_partkey AS hunk_id, p_size AS l_start, p_size + 3 AS l_end FROM part WHERE p_retailprice < 950) SELECT hunk_id, symbol_id FROM h JOIN symbols s ON h.file_id = s.file_id AND l_start <= end_line AND l_end >= start_line WHERE kind <> 'module'")
+@query("j14_overlap_join", f"{RANGES}, h AS (SELECT p_brand AS file_id, p_partkey AS hunk_id, p_size AS l_start, p_size + 3 AS l_end FROM part) SELECT hunk_id, symbol_id FROM h JOIN symbols s ON h.file_id = s.file_id AND l_start <= end_line AND l_end >= start_line WHERE kind <> 'module'")
 def _(spark, sf):
-    h = table(spark, sf, "part").filter("p_retailprice < 950").select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("hunk_id"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end"))
+    h = table(spark, sf, "part").select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("hunk_id"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end"))
     s = B.symbols(spark, sf).filter("kind <> 'module'").select("file_id", "symbol_id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
     return lines.overlap_join(h, s, "file_id", bin_lines=16).select("hunk_id", "symbol_id")
 
 
-@query("j18_innermost", f"{RANGES}, p AS (SELECT p_brand AS file_id, p_partkey AS point_id, p_size + 5 AS place FROM part WHERE p_retailprice < 950), r AS (SELECT p.file_id, point_id, symbol_id, row_number() OVER (PARTITION BY p.file_id, point_id ORDER BY start_line DESC, end_line, symbol_id) AS rn FROM p JOIN symbols s ON p.file_id = s.file_id AND place BETWEEN start_line AND end_line) SELECT file_id, point_id, symbol_id AS range_id FROM r WHERE rn = 1")
+@query("j18_innermost", f"{RANGES}, p AS (SELECT p_brand AS file_id, p_partkey AS point_id, p_size + 5 AS place FROM part), r AS (SELECT p.file_id, point_id, symbol_id, row_number() OVER (PARTITION BY p.file_id, point_id ORDER BY start_line DESC, end_line, symbol_id) AS rn FROM p JOIN symbols s ON p.file_id = s.file_id AND place BETWEEN start_line AND end_line) SELECT file_id, point_id, symbol_id AS range_id FROM r WHERE rn = 1")
 def _(spark, sf):
-    p = table(spark, sf, "part").filter("p_retailprice < 950").select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("point_id"), (F.col("p_size") + 5).alias("at"))
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("point_id"), (F.col("p_size") + 5).alias("at"))
     s = B.symbols(spark, sf).select("file_id", F.col("symbol_id").alias("range_id"), F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
     return lines.innermost(s, p, "file_id")
 
 
-@query("s9_parse_patches")
+@query("s9_s3_parse_patches", "SELECT doc_id::VARCHAR AS patch_id, source || '/' || doc_id || '.md' AS path, 'added' AS change_type, len(string_split(text, chr(10)))::INT AS added_lines, 0 AS removed_lines, NULL::VARCHAR AS error, 1 AS hunks FROM documents")
 def _(spark, sf):
-    """Patches made of documents' lines, parsed again; unified-diff text has no SQL form."""
+    """Patches made of documents' lines, parsed again."""
     d = table(spark, sf, "documents")
     n = F.size(F.split("text", "\n"))
     body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
@@ -161,10 +161,17 @@ def _(spark, sf):
     return d.select("doc_id", T.added_code(F.col("text")).alias("added"))
 
 
-@query("i6_text_chunks")
+PACKED = f"""WITH RECURSIVE {B.FILES}, l AS (SELECT path, string_split(content, chr(10)) AS s FROM files),
+walk(path, s, n, first, used, cut) AS (SELECT path, s, 0, 1, 0::BIGINT, false FROM l UNION ALL
+  SELECT path, s, n + 1, CASE WHEN cut THEN n + 1 ELSE first END, u, greatest(1, round_even(u / 3.0, 0)) >= 800 OR (greatest(1, round_even(u / 3.0, 0)) >= 400 AND n + 2 - CASE WHEN cut THEN n + 1 ELSE first END >= 3 AND regexp_matches(s[n + 1], '^\\s*$'))
+  FROM (SELECT *, CASE WHEN cut THEN 0 ELSE used END + length(s[n + 1]) + 1 AS u FROM walk WHERE n < len(s))),
+c AS (SELECT path, first AS start_line, n AS end_line, array_to_string(s[first:n], chr(10)) AS content FROM walk WHERE n > 0 AND (cut OR n = len(s)))
+SELECT path, start_line, end_line, greatest(1, round_even(length(content) / 3.0, 0)::INT) AS token_count FROM c WHERE regexp_matches(content, '\\S')"""
+
+
+@query("i6_w5_text_chunks", PACKED)
 def _(spark, sf):
-    """Sequential packing of lines has no SQL form; tested against a round trip."""
-    return parsing.chunks(B.files(spark, sf)).select("path", "start_line", "end_line", "token_count")
+    return packing.text_chunks(B.files(spark, sf)).select("path", "start_line", "end_line", "token_count")
 
 
 DRAFTS = """drafts AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS draft_id, l_orderkey AS run_id, l_shipdate, 'f' || l_returnflag AS file_path, l_linenumber * 3 AS line_start, l_linenumber * 3 + 1 AS line_end,
@@ -190,19 +197,30 @@ SELECT run_id, count(*) FILTER (o = 'outside_diff') AS outside_diff, count(*) FI
 FROM (SELECT run_id, CASE WHEN NOT covers_line THEN 'outside_diff' WHEN displaced AND has_evidence AND proven THEN 'duplicate' WHEN NOT has_evidence THEN 'without_evidence' WHEN NOT proven THEN 'unproven' ELSE 'finding' END AS o FROM m) GROUP BY run_id"""
 
 
-@query("d8_d9_a28_verify")
-def _(spark, sf):
-    """Tested on fixtures; d8_d9_small is the form with SQL."""
+def draft_context(spark, sf):
+    """Drafts with the sources, hunks and shown files of their three files."""
     d = drafts(spark, sf)
     flags = d.select("file_path").distinct()
     sources = flags.filter("file_path <> 'fR'").select("file_path", F.lit(0).alias("source_no"), F.lit("quoted_code").alias("kind"), F.concat(F.lit("x quoted code "), F.substring("file_path", 2, 1)).alias("text"))
     hunks = flags.select("file_path", F.lit(1).alias("first"), F.lit(15).alias("last"))
-    return review.discard_counts(review.verify(d, sources, hunks, flags.filter("file_path = 'fN'")))
+    return d, sources, hunks, flags.filter("file_path = 'fN'")
+
+
+@query("d8_d9_a28_verify", VERIFIED)
+def _(spark, sf):
+    return review.discard_counts(review.verify(*draft_context(spark, sf)))
+
+
+BUDGET = """WITH RECURSIVE p AS (SELECT l_orderkey AS key, l_linenumber || '-' || l_partkey AS piece_id, min((l_linenumber, l_quantity::INT)) AS x FROM lineitem GROUP BY 1, 2),
+r AS (SELECT key, piece_id, x[2] AS tokens, row_number() OVER (PARTITION BY key ORDER BY x[1], piece_id, x[2]) AS i, count(*) OVER (PARTITION BY key) AS n FROM p),
+walk(key, i, n, used, taken, dropped) AS (SELECT DISTINCT key, 0::BIGINT, n, 0::BIGINT, '', 0 FROM r UNION ALL
+  SELECT w.key, r.i, w.n, CASE WHEN used + tokens <= 60 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 60 THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || piece_id ELSE taken END, CASE WHEN used + tokens <= 60 THEN dropped ELSE dropped + 1 END
+  FROM walk w JOIN r ON r.key = w.key AND r.i = w.i + 1)
+SELECT key, used, taken, dropped FROM walk WHERE i = n"""
 
 
-@query("r28_budget")
+@query("r28_a31_t15_budget", BUDGET)
 def _(spark, sf):
-    """A greedy fold with skips has no plain SQL form; tested against a loop."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("piece_id"), F.col("l_linenumber").alias("origin"), F.col("l_quantity").cast("int").alias("tokens"))
     return review.take_within_budget(li, "key", ["origin"], 60).withColumn("taken", F.array_join("taken", ","))
 

@@ -43,9 +43,12 @@ def _(spark, sf):
     return reused.select("chunk_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
 
 
-@query("i18_dimensions", "SELECT vec_id AS chunk_id FROM embeddings WHERE len(embedding) <> 64")
+@query("i18_dimensions", "SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 7 = 0")
 def _(spark, sf):
-    return digests.check_dimensions(B.embeddings(spark, sf), 64).select("chunk_id")
+    """Of vectors that are cut, or lost, by their ids."""
+    key = F.col("chunk_id")
+    vectors = B.embeddings(spark, sf).withColumn("embedding", F.when(key % 3 == 0, F.slice("embedding", 1, 63)).when(key % 7 != 0, F.col("embedding")))
+    return digests.check_dimensions(vectors, 64).select("chunk_id")
 
 
 @query("a10_latest_feedback", f"WITH {B.FEEDBACK} SELECT finding_id, arg_max(verdict, (created_at, feedback_id)) AS verdict, max(created_at) AS marked_at FROM feedback GROUP BY 1")

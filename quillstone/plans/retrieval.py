@@ -36,6 +36,13 @@ def _(spark, sf):
     return search.top(search.cover_rank(table(spark, sf, "documents"), "doc_id", "text", TERMS), 50, F.desc("score"), F.col("doc_id"))
 
 
+@query("r7_r3_rank_postings", f"WITH {LEX} {ranked_sql(TERMS, 50)}")
+def _(spark, sf):
+    """The same rank from postings, as a stored table of them is searched."""
+    made = search.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term", "doc_id").agg(F.count("*").alias("positions"))
+    return search.top(search.rank_postings(made, "doc_id", TERMS), 50, F.desc("score"), F.col("doc_id"))
+
+
 @query("r6_staged_search", "SELECT doc_id, 2 AS stage, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'ache_lic') OR contains(lower(text), 'ache lic') ORDER BY length(text), doc_id LIMIT 20")
 def _(spark, sf):
     return search.by_staged_terms(table(spark, sf, "documents"), "doc_id", "text", [["qqqq_none"], ["qqqq.none"]], "ache lic", ["apache"], 20)
@@ -110,9 +117,9 @@ def _(spark, sf):
 
 @query("r40_windows", f"WITH {B.FILES}, {LINES}, h AS (SELECT path, number AS hit FROM lines WHERE contains(s[number], 'Licensed')) SELECT l.path, hit::INT AS hit, min(number)::INT AS first_line, max(number)::INT AS last_line, string_agg(s[number], chr(10) ORDER BY number) AS text FROM lines l JOIN h ON l.path = h.path AND number BETWEEN hit - 2 AND hit + 2 GROUP BY 1, 2")
 def _(spark, sf):
-    rows = lines.numbered_lines(B.files(spark, sf).select("path", "content"))
-    hits = rows.filter(F.contains("line", F.lit("Licensed"))).select("path", F.col("number").alias("hit"))
-    return lines.windows_around(rows, hits, 2, 2)
+    files = B.files(spark, sf).filter(F.contains("content", F.lit("Licensed"))).select("path", "content")
+    hits = lines.numbered_lines(files).filter(F.contains("line", F.lit("Licensed"))).select("path", F.col("number").alias("hit"))
+    return lines.windows_around(files, hits, 2, 2)
 
 
 @query("r18_a21_reassembled", f"WITH {B.FILES} SELECT file_id, 1 AS first_line, len(string_split(content, chr(10)))::INT AS last_line, content AS text FROM files")

@@ -35,7 +35,11 @@ def content_at(paths: DataFrame, contents: DataFrame) -> DataFrame:
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """One row per case of JSON data sets. [S12]"""
-    sets = spark.read.schema(EVAL_SCHEMA).json(path, multiLine=True)
+    return cases_of(spark.read.schema(EVAL_SCHEMA).json(path, multiLine=True))
+
+
+def cases_of(sets: DataFrame) -> DataFrame:
+    """Cases of data sets as rows; a case without keywords is a clean one. [S12]"""
     return sets.select(F.col("name").alias("dataset"), F.explode("cases").alias("c")).select("dataset", "c.name", "c.file_path", "c.patch", "c.tags", "c.expected.category", "c.expected.min_severity", F.coalesce("c.expected.keywords", F.array().cast("array<string>")).alias("keywords"))
 
 

@@ -36,9 +36,10 @@ def live_steps(stream: DataFrame, run_id: str | None = None, delay: str = "10 mi
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["run_id", "cursor"])
 
 
-def replayed(history: DataFrame, tail: DataFrame) -> DataFrame:
-    """Stored steps and the ones that came since, each once, in order. [X2]"""
-    return history.unionByName(tail).dropDuplicates(["run_id", "cursor"]).orderBy("run_id", "cursor")
+def replayed(history: DataFrame, tail: DataFrame, run_id=None) -> DataFrame:
+    """Stored steps and the ones that came since, each once, in order; of one run if named. [X2, X3]"""
+    of = lambda df: df if run_id is None else df.filter(F.col("run_id") == F.lit(run_id))
+    return of(history).unionByName(of(tail)).dropDuplicates(["run_id", "cursor"]).orderBy("run_id", "cursor")
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str, delay: str, *keys: str) -> DataFrame:

@@ -3,13 +3,42 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import inventory, navigation, scripts
-
-
-@pytest.mark.parametrize("row", sorted(inventory.ROWS))
-def test_every_row_has_a_function(row):
-    found = inventory.resolve(row)
-    assert callable(found) or isinstance(found, dict)
+from quillstone.operators import inventory, navigation, scripts, search
+from quillstone.plans import catalogue
+from quillstone.sources.files import append
+
+
+def test_every_row_has_a_function_and_a_query_with_sql():
+    """test_queries.py holds each query against its SQL."""
+    for row in inventory.ROWS:
+        found = inventory.resolve(row)
+        assert callable(found) or isinstance(found, dict)
+        assert inventory.queries_of(row, catalogue.SQL) or row in inventory.WRITERS, row
+
+
+def test_append(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, part string")
+    for _ in range(2):
+        append(rows, str(tmp_path / "t"), "part")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and (tmp_path / "t" / "part=a").is_dir()
+
+
+def test_stored_postings_are_read_by_term(spark):
+    docs = spark.createDataFrame([(1, "the licensed pkg.core_util the"), (2, "nothing"), (3, "pkg.core_util.x, core-util the_end")], "id int, text string")
+    search.store_postings(docs, "id", "text", "quill_postings", buckets=4)
+    stored = spark.table("quill_postings")
+    try:
+        for terms in (["the"], ["Licensed", "core"], ["pkg.core_util"], ["util", "x", "none"]):
+            want = {tuple(r) for r in search.cover_rank(docs, "id", "text", terms).collect()}
+            asked = search.rank_postings(stored, "id", terms)
+            assert {tuple(r) for r in asked.collect()} == want
+            lexed = docs.select("id", F.round(F.size(F.filter(search.lexemes(F.col("text")), lambda t: t.isin(*[x.lower() for x in terms]))) * F.lit(0.1), 6).alias("s")).filter("s > 0")  # noqa: B023
+            assert {tuple(r) for r in lexed.collect()} == want
+        plan = search.rank_postings(stored, "id", ["the"])._jdf.queryExecution().toString()
+        assert "PushedFilters: [In(term" in plan or "EqualTo(term,the)" in plan
+        assert "SelectedBucketsCount: 1 out of 4" in plan
+    finally:
+        spark.sql("DROP TABLE quill_postings")
 
 
 def test_no_row_is_both_done_and_outside():
@@ -40,9 +69,12 @@ def test_navigation(spark, code):
     assert [r["symbol_id"] for r in navigation.outline(symbols, files, "app/report.py").collect()] == [1, 2, 3]
     assert navigation.read_file(chunks, files, "app/report.py").first()["end_line"] == 11
     assert {r["symbol_id"] for r in navigation.find_symbol(symbols, "total").collect()} == {2}
-    assert navigation.resolve_path(files, "/report.py") == "app/report.py" and navigation.resolve_path(files, "none.py") is None
+    assert [navigation.resolve_path(files, p).first()["path"] for p in ("/report.py", "x/report.py", "none.py")] == ["app/report.py", "app/report.py", None]
+    assert [r["title"] for r in navigation.references(symbols, edges, files, "Builder").collect()] == ["app.report.main"]
+    assert navigation.references(symbols, edges, files, "Builder", "calls").count() == 0
+    assert [r["symbol_id"] for r in navigation.file_context(symbols, files, "app/report.py", 3, 3).collect()] == [1, 2]
     assert [r["path"] for r in navigation.suggest_paths(files, "src/guide.rst").collect()] == ["docs/guide.md"]
-    assert {(r["section"], r["files"]) for r in navigation.describe(files).collect()} == {("language", 1), ("directory", 1)}
+    assert {(r["section"], r["files"]) for r in navigation.describe(files, symbols).collect()} == {("total", 2), ("total", 3), ("language", 1), ("directory", 1)}
 
 
 def test_diff_context(spark, code):

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstone.operators import digests, documents, filters, graph, index, lines, parsing, review, search
+from quillstone.operators import digests, documents, filters, graph, index, lines, packing, parsing, review, scripts, search
 from quillstone.sources import files as sources
 from quillstone.sources import patches
 from quillstone.streaming import steps
@@ -123,26 +123,59 @@ class ReportBuilder(BaseBuilder):
 
 def test_parsing(spark):
     files = spark.createDataFrame([("app/report.py", "python", SOURCE), ("bad.py", "python", "def ("), ("a.md", "markdown", "# T\n\ntext")], "path string, language string, content string")
-    kinds = {(r["qualified_name"], r["kind"]) for r in parsing.symbols(files).collect()}
+    kinds = {(r["qualified_name"], r["kind"]) for r in parsing.symbols(parsing.parse(files)).collect()}
     assert {("app.report", "module"), ("app.report.ReportBuilder", "class"), ("app.report.ReportBuilder.total", "property"), ("app.report.ReportBuilder.build", "method"), ("bad", "module"), ("a", "module")} <= kinds
-    edges = {(r["source_qualified_name"], r["target_qualified_name"], r["kind"]) for r in parsing.edges(files).collect()}
+    edges = {(r["source_qualified_name"], r["target_qualified_name"], r["kind"]) for r in parsing.edges(parsing.parse(files)).collect()}
     me = "app.report.ReportBuilder"
     assert (me, "app.report.BaseBuilder", "inherits") in edges and (me + ".build", "decimal.Decimal", "calls") in edges
     assert (me + ".build", "store.Repository.load", "calls") in edges and (me + ".build", "ValueError", "raises") in edges
     assert (me + ".build", "ValueError", "calls") not in edges and not any(t == "len" for _, t, _ in edges)
     assert (me + ".total", me + ".normalize", "calls") in edges and (me, "register", "decorates") in edges
-    chunk = [r for r in parsing.chunks(files).collect() if r["path"] == "app/report.py"]
+    chunk = [r for r in parsing.chunks(parsing.parse(files)).collect() if r["path"] == "app/report.py"]
     covered = {n for r in chunk for n in range(r["start_line"], r["end_line"] + 1)}
     assert all(n in covered for n, line in enumerate(SOURCE.split("\n"), 1) if line.strip())
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(alphabet="ab \n", max_size=400), max_size=30))
-def test_text_chunks_keep_every_line_once(parts):
-    text = "\n".join(parts)
-    got = [n for _, a, b in parsing.text_chunks(text) for n in range(a, b + 1)]
-    assert len(got) == len(set(got))
-    assert {n for n, line in enumerate(text.split("\n"), 1) if line.strip()} <= set(got)
+def packed(text):
+    """Chunks of a text by a plain loop."""
+    out, first, used = [], 1, 0
+    lines_ = text.split("\n")
+    for n, line in enumerate(lines_, 1):
+        used += len(line) + 1
+        size = max(1, round(used / 3.0))
+        if size >= 800 or (size >= 400 and n - first + 1 >= 3 and not line.strip()):
+            out.append((first, n))
+            first, used = n + 1, 0
+    out += [(first, len(lines_))] if first <= len(lines_) else []
+    return [(a, b) for a, b in out if "\n".join(lines_[a - 1 : b]).strip()]
+
+
+def test_text_chunks_match_a_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["\n".join("ab " * rng.choice([0, 0, 1, 20, 90, 300, 900]) for _ in range(rng.randrange(60))) for _ in range(60)] + ["", "\n\n", " "]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
+    got = {}
+    for r in packing.text_chunks(files).orderBy("start_line").collect():
+        got.setdefault(int(r["path"]), []).append((r["start_line"], r["end_line"]))
+    assert [got.get(i, []) for i in range(len(texts))] == [packed(t) for t in texts]
+
+
+def test_files_that_break_the_parser_are_text(spark):
+    deep = "if a:\n  pass\n" + "elif a:\n  pass\n" * 3000
+    files = spark.createDataFrame([("deep.py", "python", deep), ("m.py", "python", "match x:\n    case 1:\n        def f():\n            pass\n")], "path string, language string, content string")
+    names = {r["qualified_name"] for r in parsing.symbols(parsing.parse(files)).collect()}
+    assert names == {"deep", "m", "m.f"}
+
+
+def test_script_owners_and_calls(spark):
+    text = "import x from './x'\nclass A {\n  go() {\n    const g = () => { x(); };\n    g();\n    this.stop(\"}{\");\n  }\n  stop() {\n    if (1) {\n    }\n  }\n}\nfunction f() {\n  // stop() {\n  return A.go();\n}\n"
+    files = spark.createDataFrame([("src/a/index.ts", "typescript", text)], "path string, language string, content string")
+    spans = {r["qualified_name"]: (r["start_line"], r["end_line"]) for r in scripts.symbols(files).collect()}
+    assert spans == {"a": (1, 17), "a.A": (2, 12), "a.A.go": (3, 7), "a.A.go.g": (4, 4), "a.A.stop": (8, 11), "a.f": (13, 16)}
+    found = {(r["source_qualified_name"], r["target_qualified_name"]) for r in scripts.edges(files).filter("kind = 'calls'").collect()}
+    assert found == {("a.A.go.g", "x"), ("a.A.go", "g"), ("a.A.go", "a.A.stop"), ("a.f", "A.go")}
 
 
 def test_tree_diff(spark):
