@@ -100,6 +100,24 @@ def test_patches(spark):
     assert {(r["path"], r["added_lines"], r["removed_lines"]) for r in patches.parse_patches(again).collect()} == {(a, c, d) for a, _, _, c, d in got}
 
 
+def test_patch_corners(spark):
+    """Lines that look like headers inside a hunk, counts left out, markers of missing line ends, and broken hunks."""
+    rows = [
+        ("inner", "--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n--- old name\n+++ new name\n-- y\n\\ No newline at end of file\n+z\n--- a/y\t2024\n+++ b/y\n@@ -3 +3 @@ def g\n-a\n+b"),
+        ("mode", "diff --git a/run.sh b/run.sh\nold mode 100644\nnew mode 100755\ndiff --git a/q b/r\nrename from q\nrename to r\n"),
+        ("orphan", "@@ -1 +1 @@\n-a\n+b\n"), ("long", "--- a/x\n+++ b/x\n@@ -1,1 +1,2 @@\n+a\n+b\n c\n"), ("longer", "--- a/x\n+++ b/x\n@@ -1,2 +1,1 @@\n-a\n+b\n c\n"), ("null", None),
+        ("stray", "--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n a\nnot of a hunk\n b\n c\n"), ("blank", "--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n a\n\n c\n"),
+    ]
+    got = {}
+    for r in patches.parse_patches(spark.createDataFrame(rows, "patch_id string, patch string")).collect():
+        got.setdefault(r["patch_id"], []).append((r["path"], r["change_type"], r["added_lines"], r["removed_lines"], r["error"], len(r["hunks"])))
+    short, long = "a hunk is shorter than its header says", "a hunk is longer than its header says"
+    assert sorted(got["inner"]) == [("x", "modified", 2, 2, None, 1), ("y", "modified", 1, 1, None, 1)]
+    assert sorted(got["mode"]) == [("r", "renamed", 0, 0, None, 0), ("run.sh", "modified", 0, 0, None, 0)]
+    assert {k: got[k][0][4] for k in ("orphan", "long", "longer", "stray")} == {"orphan": "a hunk without a file", "long": long, "longer": long, "stray": short}
+    assert got["blank"] == [("x", "modified", 0, 0, None, 1)] and "null" not in got
+
+
 SOURCE = '''from decimal import Decimal
 from store import Repository as Store
 
