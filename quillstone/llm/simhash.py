@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import ascii_lower, keep, words
 from quillstone.llm.graph import components
 
-#: Fingerprints drawn for the top tree, and points that a shard should be home to.
+#: Fingerprints drawn for the top tree, points that a shard should be home to, and shards that small inputs are dealt to as well.
 SAMPLE = 50_000
-SHARD = 20_000
+SHARD = 100_000
+SPREAD = 12
 LEAF = 96
 #: Shingle hashes held as single bits at a time.
 CHUNK = 1 << 17
@@ -219,7 +220,8 @@ def link_fingerprints(points: DataFrame, radius: int = 2, sample: int = SAMPLE,
         return spark.createDataFrame([], "u long, v long")
     # The top tree only deals out work; its sample is bounded and has no part in which pairs are found.
     drawn = points.orderBy(F.xxhash64("fp", F.lit(3))).limit(sample).toPandas()["fp"].to_numpy(np.int64)
-    tree = Tree(drawn, -(-n // shard), radius)
+    # Every level of the tree sends some points to both sides, so shards are few and large; a shard goes on by its own tree.
+    tree = Tree(drawn, max(-(-n // shard), min(SPREAD, -(-5 * n // shard))), radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
