@@ -270,6 +270,32 @@ def test_html_wrapped_articles(page):
     assert html_extract.extract(page.format(f"<p>{PROSE}</p><p>{PROSE}</p>")).endswith(f"{PROSE}{PROSE}".strip())
 
 
+def drawn_page(rng):
+    """A page with a known article: prose of its own in blocks, wrapped and surrounded by chrome of many kinds."""
+    sentence = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eta", "theta"]) for _ in range(rng.randrange(12, 30))).capitalize() + ", and so on."
+    blocks = [sentence() for _ in range(rng.randrange(3, 9))]
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(rng.randrange(3, 8)))
+    noise = [
+        f"<nav><ul>{links}</ul></nav>", f"<header><a href=/>Site</a><p>{sentence()}</p></header>", f"<footer><p>{sentence()}</p></footer>", f"<aside><p>{sentence()}</p></aside>",
+        f"<div class='cookie-banner'><p>{sentence()}</p></div>", f"<div id=sidebar><p>{sentence()}</p><ul>{links}</ul></div>", f"<form><p>{sentence()}</p><input name=q></form>", f"<script>var a = '<p>{sentence()}</p>';</script>",
+        f"<div class=comments><div class=comment><p>{sentence()}</p></div></div>", f"<div class='ad adsense'>{sentence()}</div>",
+    ]
+    pick = lambda: "".join(rng.sample(noise, rng.randrange(len(noise))))
+    tag = rng.choice(["article", "main", "div class=post-body", "div id=content", "section"])
+    inner = "".join(f"<p>{b.replace('and', '<b>and</b>').replace(', ', ',&#32;' if rng.random() < 0.5 else ', ')}</p>\n" for b in blocks)
+    wrapped = f"<{tag}>{inner}</{tag.split()[0]}>"
+    for _ in range(rng.randrange(3)):
+        wrapped = f"<div class=wrap>{wrapped}</div>"
+    return f"<html><head><title>T</title></head><body>{pick()}{wrapped}{pick()}</body></html>", " ".join(blocks)
+
+
+def test_html_finds_planted_articles():
+    rng = random.Random(12)
+    for _ in range(200):
+        page, want = drawn_page(rng)
+        assert html_extract.extract(page) == want, page
+
+
 def test_html_takes_the_first_of_equal_containers():
     half = f"<div><p>{PROSE}</p></div>"
     assert html_extract.extract(f"<body><section>{half}</section><section>{half}</section></body>").startswith(PROSE.strip())
@@ -542,6 +568,36 @@ def test_label_model_finds_accuracies():
     assert right[0] > 0.8 > 0.6 > right[2] and share[3] < 0.75 and q[y].mean() > q[~y].mean() + 0.2
 
 
+def test_label_model_matches_plain_loops():
+    """The same expectation-maximisation, one row and one pair of voters at a time."""
+    rng = np.random.default_rng(4)
+    y = rng.random(120) < 0.3
+    votes = np.stack([rng.random(120) < np.where(y, 0.6, e) for e in (0.02, 0.1, 0.3)], axis=1)
+    votes = np.c_[votes, votes[:, 1]]
+    prior, guesses = 0.3, [0.8, 0.7, 0.5, 0.7]
+    rows = [[*map(float, v), float(not v.any())] for v in votes]
+    k, n = 5, len(rows)
+    cast = [sum(v[j] for v in rows) for j in range(k)]
+    guess = [min(max(g, 1e-3), 1 - 1e-3) for g in [*guesses, prior / 20]]
+    right, share, q = list(guess), [1.0] * k, [prior] * n
+    logit = lambda p: math.log(p / (1 - p))
+    for _ in range(30):
+        new = [1 / (1 + math.exp(-min(max(logit(prior) + sum(v[j] * share[j] * (logit(right[j]) - logit(prior)) for j in range(k)), -30), 30))) for v in rows]
+        done = max(abs(a - b) for a, b in zip(new, q, strict=True)) < 1e-5
+        q = new
+        if done:
+            break
+        right = [min(max((sum(q[i] * rows[i][j] for i in range(n)) + toxicity.GUESS * guess[j] * cast[j] + prior) / ((1 + toxicity.GUESS) * cast[j] + 1), 1e-3), 1 - 1e-3) for j in range(k)]
+        s, c = max(sum(q), 1e-9), max(sum(1 - x for x in q), 1e-9)
+        told = lambda i, j: q[i] * right[j] * cast[j] / s + (1 - q[i]) * (1 - right[j]) * cast[j] / c  # noqa: B023, E731
+        rest = [[rows[i][j] - min(max(told(i, j), 0), 1) for j in range(k)] for i in range(n)]
+        spread = [math.sqrt(sum(r[j] ** 2 for r in rest) / n) + 1e-9 for j in range(k)]
+        linked = [[1.0 if a == b else x if (x := sum(r[a] * r[b] for r in rest) / n / spread[a] / spread[b]) >= 0.2 else 0.0 for b in range(k)] for a in range(k)]
+        share = [1 / sum(row) for row in linked]
+    got = toxicity.label_model(votes, prior, np.array(guesses))
+    assert np.allclose(got[0], q, atol=1e-9) and np.allclose(got[1], right, atol=1e-9) and np.allclose(got[2], share, atol=1e-9)
+
+
 def test_toxicity_counts_equal_texts_as_their_worst_label(spark):
     texts = [(i, "vile words here" if i % 2 else f"clean prose {i} of no harm", "en", "a", 1) for i in range(60)]
     labels = [(i, int(i % 2 and i > 3)) for i in range(60)]
