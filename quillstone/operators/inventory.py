@@ -67,7 +67,7 @@ OUTSIDE: dict[str, str] = {
 
 #: Queries of rows that no query is named after: the query runs the function of the row.
 VIA: dict[str, str] = {
-    "S4": "s9_s3_parse_patches", "S19": "s18_insert_missing", "S20": "i12_resolve_edges", "S21": "i11_replace_edges", "S28": "s22_cascade", "S29": "s18_insert_missing", "P1": "p3_path_match", "P4": "p3_path_match", "P25": "p5_t7_find_by_name",
+    "S3": "s9_parse_patches", "S4": "s9_parse_patches", "W5": "i6_text_chunks", "A31": "r28_budget", "T15": "r28_budget", "S19": "s18_insert_missing", "S20": "i12_resolve_edges", "S21": "i11_replace_edges", "S28": "s22_cascade", "S29": "s18_insert_missing", "P1": "p3_path_match", "P4": "p3_path_match", "P25": "p5_t7_find_by_name",
     "J1": "a7_coverage", "J2": "r19_callers", "J3": "i17_reused_vectors", "J4": "r19_callers", "J5": "r19_callers", "J7": "r41_past_findings", "J8": "a7_coverage", "J9": "i16_missing_chunks", "J10": "s22_cascade", "J11": "i17_reused_vectors",
     "J12": "i12_resolve_edges", "J13": "i12_resolve_edges", "J19": "j20_i1_tree_diff", "J23": "d16_route_model", "A11": "i17_reused_vectors", "A26": "r33_r34_select_passages", "W2": "r11_hybrid_search", "T1": "r7_r8_cover_rank",
     "T2": "r6_staged_search", "T3": "r10_vector_search", "T4": "r11_hybrid_search", "T5": "j18_innermost", "T9": "r19_callers", "T14": "r33_r34_select_passages", "T19": "t12_recent", "U1": "r11_hybrid_search", "U2": "r30_expanded_search",

@@ -143,7 +143,7 @@ def _(spark, sf):
     return lines.innermost(s, p, "file_id")
 
 
-@query("s9_s3_parse_patches", "SELECT doc_id::VARCHAR AS patch_id, source || '/' || doc_id || '.md' AS path, 'added' AS change_type, len(string_split(text, chr(10)))::INT AS added_lines, 0 AS removed_lines, NULL::VARCHAR AS error, 1 AS hunks FROM documents")
+@query("s9_parse_patches", "SELECT doc_id::VARCHAR AS patch_id, source || '/' || doc_id || '.md' AS path, 'added' AS change_type, len(string_split(text, chr(10)))::INT AS added_lines, 0 AS removed_lines, NULL::VARCHAR AS error, 1 AS hunks FROM documents")
 def _(spark, sf):
     """Patches made of documents' lines, parsed again."""
     d = table(spark, sf, "documents")
@@ -169,7 +169,7 @@ c AS (SELECT path, first AS start_line, n AS end_line, array_to_string(s[first:n
 SELECT path, start_line, end_line, greatest(1, round_even(length(content) / 3.0, 0)::INT) AS token_count FROM c WHERE regexp_matches(content, '\\S')"""
 
 
-@query("i6_w5_text_chunks", PACKED)
+@query("i6_text_chunks", PACKED)
 def _(spark, sf):
     return packing.text_chunks(B.files(spark, sf)).select("path", "start_line", "end_line", "token_count")
 
@@ -219,7 +219,7 @@ walk(key, i, n, used, taken, dropped) AS (SELECT DISTINCT key, 0::BIGINT, n, 0::
 SELECT key, used, taken, dropped FROM walk WHERE i = n"""
 
 
-@query("r28_a31_t15_budget", BUDGET)
+@query("r28_budget", BUDGET)
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("piece_id"), F.col("l_linenumber").alias("origin"), F.col("l_quantity").cast("int").alias("tokens"))
     return review.take_within_budget(li, "key", ["origin"], 60).withColumn("taken", F.array_join("taken", ","))
