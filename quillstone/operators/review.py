@@ -30,12 +30,14 @@ def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: Data
 
     hunks(file_path, first, last); shown(file_path): files for which code outside the patch was shown.
     """
-    inside = drafts.join(hunks, "file_path").filter("line_start <= last AND line_end >= first").select("draft_id", F.lit(True).alias("covers_line")).distinct()
+    # The hunks of a file are one row, so drafts meet them once and stay as they are dealt.
+    ranges = hunks.groupBy("file_path").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
+    covers = F.exists("_ranges", lambda h: (F.col("line_start") <= h["last"]) & (F.col("line_end") >= h["first"]))
     proof = evidence.groupBy("draft_id").agg(F.lit(True).alias("has_evidence"), F.max(F.col("kind") == "retrieved_chunk").alias("_cited"))
     seen = shown.select("file_path", F.lit(True).alias("_shown")).distinct()
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    out = drafts.join(inside, "draft_id", "left").join(proof, "draft_id", "left").join(seen, "file_path", "left")
-    out = out.withColumn("covers_line", no("covers_line")).withColumn("has_evidence", no("has_evidence"))
+    out = drafts.join(proof, "draft_id", "left").join(ranges, "file_path", "left").join(seen, "file_path", "left")
+    out = out.withColumn("covers_line", F.coalesce(covers, F.lit(False))).drop("_ranges").withColumn("has_evidence", no("has_evidence"))
     out = out.withColumn("proven", ~T.claims_external_code(F.col("title"), F.col("body")) | no("_cited") | no("_shown"))
     return out.withColumn("confirmable", F.col("has_evidence") & F.col("proven")).drop("_cited", "_shown")
 

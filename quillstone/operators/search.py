@@ -21,7 +21,9 @@ def lexemes(text: Column) -> Column:
     """Lower-cased runs of letters, digits and ``_/.-``, and the parts of compound runs. [R3]"""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_/.-]+"), F.lit(0))
     parts = lambda r: F.filter(F.regexp_extract_all(r, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda p: p != r)
-    return F.flatten(F.transform(runs, lambda r: F.concat(F.array(r), parts(r))))
+    # Most runs are plain words: only compounds are taken apart.
+    plain = lambda r: F.translate(r, "_/.-", "") == r
+    return F.flatten(F.transform(runs, lambda r: F.when(plain(r), F.array(r)).otherwise(F.concat(F.array(r), parts(r)))))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

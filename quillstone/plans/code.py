@@ -200,7 +200,7 @@ FROM (SELECT run_id, CASE WHEN NOT covers_line THEN 'outside_diff' WHEN displace
 def draft_context(spark, sf):
     """Drafts with the sources, hunks and shown files of their three files."""
     d = drafts(spark, sf)
-    flags = d.select("file_path").distinct()
+    flags = table(spark, sf, "lineitem").select(F.concat(F.lit("f"), "l_returnflag").alias("file_path")).distinct()
     sources = flags.filter("file_path <> 'fR'").select("file_path", F.lit(0).alias("source_no"), F.lit("quoted_code").alias("kind"), F.concat(F.lit("x quoted code "), F.substring("file_path", 2, 1)).alias("text"))
     hunks = flags.select("file_path", F.lit(1).alias("first"), F.lit(15).alias("last"))
     return d, sources, hunks, flags.filter("file_path = 'fN'")
