@@ -745,7 +745,7 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.keep_one(empty(spark)).count() == 0
 
 
-def test_rest_links_are_linear_and_connected():
+def test_rest_links_are_few_and_connected():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 30, near_dedup.SIGNATURE)
     sig = np.tile(base, (80, 1))
