@@ -13,7 +13,8 @@ frequent n-grams cost one entry per block, nothing is skewed, and every task hol
 block or one bucket. What returns to the driver are counts of events by quantised
 probabilities (HALF-octave levels), which the weights are learned from.
 
-Words and n-grams are told apart by 64-bit hashes at any corpus size.
+Words are told apart by 64-bit hashes and n-grams by 56-bit ones at any corpus size (one of
+3e9 n-grams, as 30 GB may hold, meets another with a chance of 4e-8).
 
 Null and empty texts are an end alone; texts are read whole, of any length; rows may repeat;
 ids may be null (the id's text is then empty for the split); ties play no part. Without
@@ -40,6 +41,8 @@ FOLDS, TEST_FOLD, MIX_FOLD = 7, 2, 3
 BLOCK = 1_000_000
 #: n-gram entries that one bucket should hold.
 BUCKET = 1_500_000
+#: Bits of the hashes of words, bigrams and trigrams.
+WIDTHS = (64, 56, 56)
 CONTEXTS = 12
 LEVELS = 2  # per octave
 COUNT, MIX_SET, TEST = 0, 1, 2
@@ -147,7 +150,10 @@ def hashes_of(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     """Document lengths of a block, and the n-gram hashes that end at each token, by order."""
     lens = unpack(row["lens"], np.uint32).astype(np.int64)
     tokens = unpack(row["vocab"], np.uint64)[unpack(row["words"], np.uint32)]
-    return lens, n_grams(tokens, lens)
+    found = n_grams(tokens, lens)
+    for order, width in enumerate(WIDTHS):
+        found[order] = found[order] >> np.uint64(64 - width)
+    return lens, found
 
 
 def totals(blocks: DataFrame, split: int) -> DataFrame:
@@ -161,7 +167,7 @@ def totals(blocks: DataFrame, split: int) -> DataFrame:
                     table, counts = sorted_kinds(found[order])
                     found[order] = None
                     counts = counts.astype(np.uint32) if row["part"] != TEST else np.zeros(len(table), np.uint32)
-                    cuts = np.searchsorted(table, np.arange(1, 1 << split, dtype=np.uint64) << np.uint64(64 - split)) if split else np.empty(0, np.int64)
+                    cuts = np.searchsorted(table, np.arange(1, 1 << split, dtype=np.uint64) << np.uint64(WIDTHS[order] - split)) if split else np.empty(0, np.int64)
                     cuts = np.r_[0, cuts, len(table)]
                     slots = [b for b in range(1 << split) if cuts[b] < cuts[b + 1]]
                     step = lambda a: np.diff(a, prepend=np.uint64(0))
@@ -188,7 +194,9 @@ def totals(blocks: DataFrame, split: int) -> DataFrame:
                 counted[place[a:b]] += c
         slot = rows[0]["slot"]
         sums = [slot >> split == 0, total.sum(), (total > 0).sum()]
-        out = [(r["block"], slot, pack(counted[place[a:b]].astype(np.uint64)), pack(total[place[a:b]].astype(np.uint64)), 0, 0) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
+        # Counts without the mixing part are asked by that part alone.
+        apart = lambda r, a, b: pack(counted[place[a:b]].astype(np.uint64)) if r["part"] == MIX_SET else b""
+        out = [(r["block"], slot, apart(r, a, b), pack(total[place[a:b]].astype(np.uint64)), 0, 0) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
         out += [(-1, slot, b"", b"", int(sums[1]), int(sums[2]))] if sums[0] else []
         names = ["block", "slot", "counted", "total", "tokens", "kinds"]
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
