@@ -133,4 +133,26 @@ FROM d LEFT JOIN o USING (rn)
 """
 
 
-SQL = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_secret_scan": _op6_sql()}
+#: Every string of either length by its hash; starts less than a length apart make one run.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS x FROM documents),
+n AS (SELECT *, octet_length(x) AS n FROM d),
+a AS (SELECT rn, i, hash(x[i:i + 399]) AS h FROM (SELECT rn, x, unnest(range(1, n - 398)) AS i FROM n WHERE n >= 400)),
+r AS (SELECT rn, i FROM a WHERE h IN (SELECT h FROM a GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT rn, i, i > coalesce(lag(i) OVER (PARTITION BY rn ORDER BY i) + 400, 0) AS fresh FROM r),
+g AS (SELECT rn, i, sum(fresh::INT) OVER (PARTITION BY rn ORDER BY i) AS g FROM c),
+runs AS (SELECT rn, g, min(i) AS s, max(i) + 399 AS e FROM g GROUP BY rn, g),
+edge AS (SELECT rn, s, e, coalesce(lag(e) OVER (PARTITION BY rn ORDER BY s), 0) + 1 AS f FROM runs),
+piece AS (SELECT rn, f, s - 1 AS l FROM edge UNION ALL SELECT rn, max(e) + 1, 1000000000 FROM runs GROUP BY rn),
+kept AS (SELECT rn, string_agg(CASE WHEN least(l, n) >= f THEN hex(x[f:least(l, n)]) ELSE '' END, '' ORDER BY f) AS k FROM piece JOIN n USING (rn) GROUP BY rn),
+removed AS (SELECT rn, sum(e - s + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rn),
+b AS (SELECT rn, i, hash(x[i:i + 255]) AS h FROM (SELECT rn, x, unnest(range(1, n - 254)) AS i FROM n WHERE n >= 256)),
+q AS (SELECT rn, i FROM b WHERE h IN (SELECT h FROM b GROUP BY h HAVING min(rn) < max(rn))),
+w AS (SELECT rn, least(256, coalesce(lead(i) OVER (PARTITION BY rn ORDER BY i) - i, 256)) AS len FROM q),
+shared AS (SELECT rn, sum(len)::BIGINT AS n_shared FROM w GROUP BY rn)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_removed > 0 THEN sha256(unhex(k)) ELSE sha256(t) END AS kept_sha256, coalesce(n_shared, 0) AS n_shared
+FROM n LEFT JOIN removed USING (rn) LEFT JOIN kept USING (rn) LEFT JOIN shared USING (rn)
+"""
+
+
+SQL = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_secret_scan": _op6_sql(), "op8_substring_dedup": OP8_SQL}
