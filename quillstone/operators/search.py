@@ -31,6 +31,11 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(lexemes(F.col(text_col))).alias("pos", "term"))
 
 
+def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, id, positions): how often each document holds each lexeme. [R3]"""
+    return docs.select(id_col, F.explode(lexemes(F.col(text_col))).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("positions"))
+
+
 def positions(low: Column, terms: list[str]) -> Column:
     """Positions of the asked terms among the lexemes of a lower-cased text, counted without making the lexemes.
 
@@ -52,7 +57,7 @@ def cover_rank(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) ->
 
 def store_postings(docs: DataFrame, id_col: str, text_col: str, table: str, buckets: int = 64) -> None:
     """Postings as a table bucketed and sorted by term, so that a search reads the buckets and row groups of its terms alone. [R3]"""
-    postings(docs, id_col, text_col).groupBy("term", id_col).agg(F.count("*").alias("positions")).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+    term_counts(docs, id_col, text_col).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
 
 
 def rank_postings(stored: DataFrame, id_col: str, terms: list[str]) -> DataFrame:
