@@ -6,39 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, exact_dedup, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from quillstone.session import table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
-    judged = url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_read(spark, sf_dir, "documents"))
+    return lm_score.score(table(spark, sf_dir, "documents"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("_spans", lambda s: s["place"] < len(secret_scan.BASE))
     count = lambda k: F.size(F.filter("_spans", lambda s: s["place"] == k)).cast("long")
     return rows.select(
@@ -48,27 +45,27 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Learnt from the labels of documents whose crc32 mod 4 is not 2."""
-    labels = _read(spark, sf_dir, "labels").filter(toxicity.remainder("doc_id", 4) != 2)
+    labels = table(spark, sf_dir, "labels").filter(toxicity.remainder("doc_id", 4) != 2)
     return toxicity.fit(docs, labels)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
     return scored.select("doc_id", (toxicity.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.near_groups(_read(spark, sf_dir, "documents"))
+    rows = simhash.near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
