@@ -98,7 +98,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Differing bits; counted unsigned, as the count of a negative number is that of its absolute value."""
+    return np.bitwise_count((np.asarray(a, np.int64) ^ np.asarray(b, np.int64)).view(np.uint64))
 
 
 class Tree:

@@ -663,7 +663,7 @@ def test_tree_goes_on_where_the_sample_ends():
 def test_shards_lose_no_link(spark):
     rng = np.random.default_rng(2)
     points = np.unique(np.r_[rng.integers(-(1 << 63), 1 << 63, 400), rng.integers(0, 256, 60)])
-    near = np.array([p ^ (1 << int(b)) for p in points[:80].tolist() for b in rng.integers(0, 62, 2)], np.int64)
+    near = np.array([p ^ (1 << int(b) if b >= 0 else -(1 << 63)) for p in points[:80].tolist() for b in (*rng.integers(0, 63, 2), -1)], np.int64)
     points = np.unique(np.r_[points, near])
     links = simhash.link_fingerprints(spark.createDataFrame([(int(p),) for p in points], "fp long"), shard=30)
     found = {r["node"]: r["root"] for r in graph.components(links).collect()}
@@ -672,6 +672,30 @@ def test_shards_lose_no_link(spark):
     assert [found.get(p, p) for p in ids] == want
 
 
+def test_distances_over_all_bits():
+    bits = np.array([1 << b for b in range(63)] + [-(1 << 63)], np.int64)
+    assert simhash.distance(bits, np.int64(0)).tolist() == [1] * 64 and simhash.distance(np.int64(0), np.int64(-1)) == 64
+    assert simhash.distance(bits[:, None], bits[None, :]).tolist() == (2 - 2 * np.eye(64, dtype=int)).tolist()
+    assert simhash.distance(np.array([0]), np.array([-(1 << 63) | 1])).tolist() == [2]
+
+
+def test_no_mate_of_drawn_fingerprints_is_lost():
+    rng = np.random.default_rng(13)
+    points = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    flips = np.array([1 << b for b in range(63)] + [-(1 << 63)], np.int64)
+    first = np.tile(np.arange(64), 313)[:20_000]
+    second = np.where(rng.random(20_000) < 0.5, rng.integers(0, 64, 20_000), first)
+    mates = points ^ flips[first] ^ np.where(second == first, 0, flips[second])
+    every, at = np.unique(np.r_[points, mates], return_inverse=True)
+    label = simhash.local_groups(every, np.ones(len(every), bool), 2)
+    assert (label[at[:20_000]] == label[at[20_000:]]).all()
+    tree = simhash.Tree(points[:2000], 12, 2)
+    rows, shards, home = tree.deal(every)
+    seen = set(zip(rows.tolist(), shards.tolist(), strict=True))
+    own = dict(zip(rows[home].tolist(), shards[home].tolist(), strict=True))
+    assert all((b, own[a]) in seen for a, b in zip(at[:20_000].tolist(), at[20_000:].tolist(), strict=True))
+
+
 def test_simhash_odd_rows(spark):
     assert simhash.near_groups(wide(spark)).count() == len(ODD) and simhash.near_groups(empty(spark)).count() == 0
 
