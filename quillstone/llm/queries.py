@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, exact_dedup, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from quillstone.llm import decontaminate, exact_dedup, hard_negatives, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from quillstone.session import table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -69,7 +69,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash, op12_hard_negatives)}
 
 
 OP1_SQL = f"""
@@ -152,4 +158,16 @@ FROM n LEFT JOIN removed USING (rn) LEFT JOIN kept USING (rn) LEFT JOIN shared U
 """
 
 
-SQL = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_secret_scan": _op6_sql(), "op8_substring_dedup": OP8_SQL}
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rn, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.rn <> b.rn WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, id) AS k FROM s WHERE alike QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.rn, p.k ORDER BY s.score DESC, s.id)::INT AS rank FROM p JOIN s ON p.rn = s.rn AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+SQL = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_secret_scan": _op6_sql(), "op8_substring_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL}
