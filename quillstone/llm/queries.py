@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, exact_dedup, hard_negatives, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from quillstone.llm import conversation_repair, decontaminate, exact_dedup, hard_negatives, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from quillstone.session import table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -75,7 +75,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash, op12_hard_negatives)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash, op12_hard_negatives, op13_conversation_repair)}
 
 
 OP1_SQL = f"""
