@@ -175,4 +175,37 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
-SQL = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_secret_scan": _op6_sql(), "op8_substring_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+def _op13_sql() -> str:
+    """The DP over turns: cells of (cost, audit, repaired text) for the states start, after system, user and assistant."""
+    put = lambda cell, cost, letter, line="": f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || '{letter}', 't': {cell}.t{' || ' + line if line else ''}}}"
+    none = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    closed2 = f"list_min([s2, {put('s0', 5, 'I', user)}, {put('s1', 5, 'I', user)}, {put('s3', 5, 'I', user)}])"
+    closed3 = f"list_min([s3, {put('s2', 5, 'I', assistant)}, {put('s0', 10, 'II', user + ' || ' + assistant)}, {put('s1', 10, 'II', user + ' || ' + assistant)}])"
+    taken = lambda cell, initial, name: (
+        f"CASE WHEN r.gone THEN {none} WHEN r.initial = '{initial}' THEN {put(cell, 'r.more', 'K', 'chr(10) || r.role || chr(58) || r.text')} ELSE {put(cell, '1 + r.more', 'R', f'chr(10) || {name!r} || chr(58) || r.text')} END"
+    )
+    return f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+x AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT),
+  lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 20 AS d FROM c),
+y AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM x WHERE d <> 0),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, left(role, 1) AS initial FROM y),
+r AS (SELECT *, core = '' AS blank, core <> '' AND again AS duplicate, core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS truncated, core = '' OR again AS gone,
+  CASE WHEN core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM z),
+e AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM e
+  UNION ALL
+  SELECT w.conv_id, r.i, {put('s0', 2, 'D')}, list_min([{put('s1', 2, 'D')}, CASE WHEN r.gone OR r.initial <> 's' THEN {none} ELSE {put('s0', 'r.more', 'K', 'chr(10) || r.role || chr(58) || r.text')} END]),
+    list_min([{put('p2', 2, 'D')}, {taken('list_min([s0, s1, p3])', 'u', 'user')}]), list_min([{put('p3', 2, 'D')}, {taken('p2', 'a', 'assistant')}])
+  FROM (SELECT *, {closed2} AS p2, {closed3} AS p3 FROM walk) w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+f AS (SELECT conv_id, arg_max(list_min([s0, {closed3}]), i) AS o FROM walk GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT f.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, o.c AS cost, o.a AS audit, sha256(substr(o.t, 2)) AS repaired_sha256
+FROM f LEFT JOIN g ON f.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
+SQL = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_secret_scan": _op6_sql(), "op8_substring_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_conversation_repair": _op13_sql()}
