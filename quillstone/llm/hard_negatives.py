@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import keep
@@ -210,8 +210,6 @@ def _score(width: int, same: bool, most: int):
 
 def _best(hits: DataFrame, most: int) -> DataFrame:
     """The best hits of each (anchor, slot), with their rank from 1."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
@@ -222,7 +220,8 @@ def search(anchors: DataFrame, pieces: DataFrame, lists: Lists, width: int, same
     def visit(of: DataFrame, later: bool) -> DataFrame:
         run, schema = _packs(lists, width, later)
         packs = of.mapInArrow(run, schema)
-        return packs.join(pieces, ["list", "group"]).mapInArrow(_score(width, same, most), HIT)
+        # Packs are many times their anchors, by whose size Spark would judge them: never broadcast.
+        return packs.join(pieces.hint("merge"), ["list", "group"]).mapInArrow(_score(width, same, most), HIT)
 
     hits = keep(_best(visit(anchors, False), most).drop("rank"), "hits")
     # From here on a slot looks only for what reaches its kth score.
