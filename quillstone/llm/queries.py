@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import conversation_repair, decontaminate, exact_dedup, hard_negatives, html_extract, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from quillstone.llm import conversation_repair, decontaminate, exact_dedup, hard_negatives, html_extract, license_scan, lm_score, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from quillstone.session import table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -69,6 +69,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -80,7 +85,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(rows), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash, op12_hard_negatives, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_lm_score, op4_html_extract, op5_exact_dedup, op6_secret_scan, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_simhash, op11_license_scan, op12_hard_negatives, op13_conversation_repair)}
 
 
 OP1_SQL = f"""
