@@ -113,7 +113,7 @@ def test_query_matches_the_search(spark, sf):
         if len(t or "") < (2000 if r["labels"] else 300):
             assert r["labels"] == brute_labels(t)
         assert (r["score"] > 0) == bool(r["labels"])
-    assert any(r["labels"] != r["base_labels"] for r in rows)
+    assert any(r["labels"] for r in rows)
 
 
 @pytest.mark.parametrize("unit", ["under the mit license ", "under the mit licens ", "license ", "general public ", "x"])
