@@ -23,7 +23,7 @@ ROWS: dict[str, str] = {
     # joins
     "J1": "operators.digests:vector_coverage", "J2": "operators.graph:with_symbols", "J3": "operators.digests:reused_vectors", "J4": "operators.graph:neighbours", "J5": "operators.graph:neighbours", "J6": "operators.digests:ready_files",
     "J7": "operators.digests:past_findings", "J8": "operators.digests:vector_coverage", "J9": "operators.digests:missing_chunks", "J10": "operators.index:cascade", "J11": "operators.digests:reused_vectors", "J12": "operators.graph:resolve_edges",
-    "J13": "operators.graph:resolve_edges", "J14": "operators.lines:overlap_join", "J15": "operators.lines:contained", "J16": "operators.review:collect_evidence", "J17": "operators.index:chunk_symbols", "J18": "operators.lines:innermost",
+    "J13": "operators.graph:resolve_edges", "J14": "operators.lines:overlap_join", "J15": "operators.lines:contained", "J16": "operators.review:collect_evidence", "J17": "operators.index:chunk_symbols", "J18": "operators.sweep:innermost",
     "J19": "operators.index:tree_diff", "J20": "operators.index:tree_diff", "J21": "operators.index:in_classes", "J22": "operators.review:match_expected", "J23": "operators.review:route_model", "J24": "operators.filters:edges_of",
     # aggregates
     "A1": "operators.digests:files_by_language", "A2": "operators.digests:files_by_directory", "A3": "operators.digests:project_totals", "A4": "operators.digests:index_totals", "A5": "operators.graph:resolved_count", "A6": "operators.graph:edge_kinds",
@@ -33,13 +33,13 @@ ROWS: dict[str, str] = {
     "A25": "operators.digests:fails_gate", "A26": "operators.documents:select_passages", "A27": "operators.lines:hunk_bounds", "A28": "operators.review:discard_counts", "A29": "operators.review:discarded_total", "A30": "operators.lines:diff_totals", "A31": "operators.review:take_within_budget",
     # windows, order, sets
     "W1": "operators.windows:keepers", "W2": "operators.search:reciprocal_rank_fusion", "W3": "operators.windows:latest_per_key", "W4": "operators.windows:directory_spread", "W5": "operators.parsing:chunks", "W6": "operators.windows:first_per_key",
-    "T1": "operators.search:top", "T2": "operators.search:by_staged_terms", "T3": "operators.search:vector_search", "T4": "operators.search:reciprocal_rank_fusion", "T5": "operators.lines:innermost", "T6": "operators.windows:path_order", "T7": "operators.windows:name_order",
+    "T1": "operators.search:top", "T2": "operators.search:by_staged_terms", "T3": "operators.vector_index:VectorIndex", "T4": "operators.search:reciprocal_rank_fusion", "T5": "operators.sweep:innermost", "T6": "operators.windows:path_order", "T7": "operators.windows:name_order",
     "T8": "operators.search:top", "T9": "operators.graph:with_symbols", "T10": "operators.index:latest_ready", "T11": "operators.windows:page_after", "T12": "operators.digests:recent", "T13": "functions.text:longest_terms", "T14": "operators.documents:select_passages",
     "T15": "operators.review:take_within_budget", "T16": "operators.windows:directory_spread", "T17": "operators.windows:queue_order", "T18": "operators.windows:capped_listing", "T19": "operators.search:top",
     "U1": "operators.search:reciprocal_rank_fusion", "U2": "operators.search:expanded_search", "U3": "functions.text:longest_terms", "U4": "operators.digests:unreviewed", "U5": "operators.documents:select_passages",
     # retrieval
     "R1": "functions.text:search_text", "R2": "functions.text:search_text", "R3": "operators.search:postings", "R4": "functions.text:clean_terms", "R5": "functions.text:longest_terms", "R6": "operators.search:by_staged_terms", "R7": "operators.search:rank_postings",
-    "R8": "operators.search:cover_rank", "R10": "operators.search:vector_search", "R11": "operators.search:reciprocal_rank_fusion", "R12": "operators.search:by_staged_terms", "R13": "operators.lines:overlap_join", "R14": "operators.filters:path_matches",
+    "R8": "operators.search:cover_rank", "R10": "operators.vector_index:VectorIndex", "R11": "operators.search:reciprocal_rank_fusion", "R12": "operators.search:by_staged_terms", "R13": "operators.lines:overlap_join", "R14": "operators.filters:path_matches",
     "R15": "operators.filters:name_matches", "R16": "operators.navigation:describe", "R17": "operators.navigation:outline", "R18": "operators.lines:reassembled", "R19": "operators.graph:neighbours", "R20": "operators.graph:neighbours", "R21": "operators.graph:edge_kinds",
     "R22": "operators.navigation:TOOLS", "R23": "operators.navigation:resolve_path", "R24": "operators.navigation:suggest_paths", "R25": "operators.navigation:search_documents", "R26": "operators.navigation:rendered", "R27": "operators.navigation:diff_context",
     "R28": "operators.review:take_within_budget", "R29": "functions.text:expansion_terms", "R30": "operators.search:expanded_search", "R31": "functions.text:plain_text", "R32": "functions.text:split_passages", "R33": "operators.documents:select_passages",

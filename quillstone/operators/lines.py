@@ -83,13 +83,6 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, key: str, how: str =
     return points.withColumn("_bin", F.floor(F.col("at") / bin_lines)).join(r, (F.col(key) == F.col("_r_key")) & (F.col("_bin") == F.col("_r_bin")) & inside, how).drop("_bin", "_r_bin", "_r_key")
 
 
-def innermost(ranges: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """points(key, point_id, at) with the smallest range (range_id, r_start, r_end) that holds it. [J18, T5]"""
-    both = points_in_ranges(points, ranges, key)
-    inner = F.min_by("range_id", F.struct((-F.col("r_start")).alias("s"), F.col("r_end"), F.col("range_id")))
-    return both.groupBy(key, "point_id").agg(inner.alias("range_id"))
-
-
 def contained(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """Points inside some range. [J15, P8]"""
     return points_in_ranges(points, ranges, key, "left_semi")

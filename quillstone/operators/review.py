@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import constants as K
 from quillstone.functions import text as T
+from quillstone.operators.snippets import first_sources
 
 AGENTIC_CHARS = 12_000
 
@@ -14,15 +15,14 @@ AGENTIC_CHARS = 12_000
 def collect_evidence(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     """(draft_id, snippet, source_no, kind): snippets that some source of the file contains, by the first such source. [D10, J16]
 
-    drafts(draft_id, file_path, evidence, code_fragment); sources(file_path, source_no, kind, text). A theta join within
-    a file: each distinct snippet of a file meets each source of it once, however many drafts quote it.
+    drafts(draft_id, file_path, evidence, code_fragment); sources(file_path, source_no, kind, text). Distinct snippets and
+    sources of a file meet by the hashes of their windows, not by a theta join.
     """
     parts = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("code_fragment") != "", F.col("code_fragment")))))
     asked = drafts.select("draft_id", "file_path", F.explode(F.array_distinct(F.transform(parts, T.normal_space))).alias("snippet")).filter("snippet <> ''")
-    held = sources.select("file_path", "source_no", "kind", T.normal_space(F.col("text")).alias("_text"))
-    found = asked.select("file_path", "snippet").distinct().join(held, "file_path").filter(F.contains("_text", F.col("snippet")))
-    first = found.groupBy("file_path", "snippet").agg(F.min(F.struct("source_no", "kind")).alias("_s"))
-    return asked.join(first, ["file_path", "snippet"]).select("draft_id", "snippet", F.col("_s.source_no").alias("source_no"), F.col("_s.kind").alias("kind"))
+    held = sources.select("file_path", "source_no", "kind", T.normal_space(F.col("text")).alias("text"))
+    found = first_sources(asked, held)
+    return asked.join(found, ["file_path", "snippet"]).select("draft_id", "snippet", "source_no", "kind")
 
 
 def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: DataFrame) -> DataFrame:

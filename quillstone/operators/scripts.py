@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators.lines import innermost, numbered_lines, points_in_ranges
+from quillstone.operators.lines import numbered_lines, points_in_ranges
+from quillstone.operators.sweep import innermost
 
 NAME = r"[A-Za-z_$][\w$]*"
 HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import graph, index, lines, packing, review
+from quillstone.operators import graph, index, lines, packing, review, snippets, sweep
 from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
 from quillstone.session import table
@@ -140,7 +140,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("point_id"), (F.col("p_size") + 5).alias("at"))
     s = B.symbols(spark, sf).select("file_id", F.col("symbol_id").alias("range_id"), F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
-    return lines.innermost(s, p, "file_id")
+    return sweep.innermost(s, p, "file_id")
 
 
 @query("s9_parse_patches", "SELECT doc_id::VARCHAR AS patch_id, source || '/' || doc_id || '.md' AS path, 'added' AS change_type, len(string_split(text, chr(10)))::INT AS added_lines, 0 AS removed_lines, NULL::VARCHAR AS error, 1 AS hunks FROM documents")
@@ -211,6 +211,19 @@ def _(spark, sf):
     return review.discard_counts(review.verify(*draft_context(spark, sf)))
 
 
+SNIPPETS = f"""WITH {B.FILES}, n AS (SELECT file_id, language, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS t FROM files),
+q AS (SELECT DISTINCT language, t[1 + file_id % 40:file_id % 40 + 1 + file_id % 45] AS s FROM n) SELECT q.language AS file_path, s AS snippet, min(file_id) AS source_no FROM q JOIN n ON n.language = q.language AND contains(t, s) WHERE s <> '' GROUP BY 1, 2"""
+
+
+@query("j16_d10_snippets", SNIPPETS)
+def _(spark, sf):
+    """A stretch of every file against all files of its language."""
+    f = B.files(spark, sf).select(F.col("language").alias("file_path"), F.col("file_id").alias("source_no"), F.lit("file").alias("kind"), T.normal_space(F.col("content")).alias("text"))
+    at = F.col("source_no") % 40 + 1
+    asked = f.select("file_path", F.substring("text", at, F.col("source_no") % 45 + 1).alias("snippet"))
+    return snippets.first_sources(asked, f).select("file_path", "snippet", "source_no")
+
+
 BUDGET = """WITH RECURSIVE p AS (SELECT l_orderkey AS key, l_linenumber || '-' || l_partkey AS piece_id, min((l_linenumber, l_quantity::INT)) AS x FROM lineitem GROUP BY 1, 2),
 r AS (SELECT key, piece_id, x[2] AS tokens, row_number() OVER (PARTITION BY key ORDER BY x[1], piece_id, x[2]) AS i, count(*) OVER (PARTITION BY key) AS n FROM p),
 walk(key, i, n, used, taken, dropped) AS (SELECT DISTINCT key, 0::BIGINT, n, 0::BIGINT, '', 0 FROM r UNION ALL
