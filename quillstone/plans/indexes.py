@@ -9,6 +9,7 @@ from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
 from quillstone.plans.retrieval import LEX, NEAR, TERMS, VECTOR, ranked_sql
 from quillstone.session import table
+from quillstone.sources.stored import StoredTable, cascade
 from quillstone.storage import index_path
 
 BATCH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
@@ -69,3 +70,47 @@ def _(spark, sf):
     text_index.build_terms(table(spark, sf, "documents"), path, "doc_id", "text")
     found = text_index.staged(spark, path, [["qqqq_none"], ["qqqq.none"]], "ache lic", ["apache"], 20)
     return found.withColumnRenamed("id", "doc_id")
+
+
+def stored_parts(spark, sf, name: str) -> StoredTable:
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    return StoredTable(spark, index_path(spark, f"table-{name}", sf)).create(p, ["p_partkey"])
+
+
+def changed_parts(spark, sf):
+    """Every hundredth part, renamed, and as many new ones."""
+    p = table(spark, sf, "part").filter("p_partkey % 100 = 0").select("p_partkey", "p_brand", "p_name", "p_size")
+    return p.withColumn("p_name", F.concat(F.lit("new "), "p_name")).unionByName(p.withColumn("p_partkey", -1 - F.col("p_partkey")))
+
+
+@query(
+    "s18_s20_stored_upsert",
+    "WITH f AS (SELECT p_partkey, p_brand, 'new ' || p_name AS p_name, p_size FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT -1 - p_partkey, p_brand, p_name, p_size FROM part WHERE p_partkey % 100 = 0) "
+    "SELECT p_partkey, p_brand, p_name, p_size FROM f UNION ALL SELECT p_partkey, p_brand, p_name, p_size FROM part WHERE p_partkey % 100 <> 0",
+)
+def _(spark, sf):
+    t = stored_parts(spark, sf, "upsert")
+    t.upsert(changed_parts(spark, sf))
+    return t.read()
+
+
+@query("s18_s19_stored_insert", "SELECT p_partkey, p_name FROM part UNION ALL SELECT -1 - p_partkey, p_name FROM part WHERE p_partkey % 100 = 0")
+def _(spark, sf):
+    t = stored_parts(spark, sf, "insert")
+    t.insert_missing(changed_parts(spark, sf))
+    return t.read().select("p_partkey", "p_name")
+
+
+@query(
+    "s21_s22_stored_cascade",
+    "WITH gone AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 = 3)) "
+    "SELECT 'orders' AS name, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone) "
+    "UNION ALL SELECT 'lines', count(*), sum(l_orderkey)::BIGINT FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone))",
+)
+def _(spark, sf):
+    orders = StoredTable(spark, index_path(spark, "table-orders", sf)).create(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    lines_ = StoredTable(spark, index_path(spark, "table-lines", sf)).create(li, ["l_orderkey", "l_linenumber"])
+    cascade(table(spark, sf, "customer").filter("c_custkey % 20 = 3").select("c_custkey"), [(orders, "o_custkey"), (lines_, "l_orderkey")])
+    total = lambda t, name, key: t.read().agg(F.count("*").alias("n"), F.sum(key).alias("ids")).select(F.lit(name).alias("name"), "n", "ids")
+    return total(orders, "orders", "o_orderkey").unionByName(total(lines_, "lines", "l_orderkey"))
