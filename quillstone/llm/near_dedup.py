@@ -13,9 +13,11 @@ by hash); those alike leave, and the one most like the leader leads the rest on,
 text that many copies were made from comes to lead. These first pairs are verified and joined
 to groups. Then whole buckets, and SimHash groups as further buckets, are gone through in
 pieces of bounded size: first for some pairs that may join two groups, then, when these are
-verified and joined, for every candidate pair of texts that are still in different groups. So
-no pair at or above CANDIDATE in a bucket stays unverified unless its texts are joined
-already; the leaders only save work. Null ids are never compared and
+verified and joined, for every candidate pair of texts that are still in different groups,
+which is verified in its piece on the shingle sets themselves; a piece gives links that join its
+groups, fewer than it has members, and never lists pairs. So no pair at or above CANDIDATE in a
+bucket stays unverified unless its texts are joined already; the leaders only save work. The
+comparisons of texts that stay apart are the square of their bucket. Null ids are never compared and
 stay; rows that share an id stand or fall together; texts without words are alike; texts are
 read whole, of any length; an empty table gives none. All columns of docs come back, whatever
 their names but for _quill_*.
@@ -41,8 +43,8 @@ BANDS, ROWS = 16, 4
 #: Share of equal min-hashes from which a pair is verified (at a similarity of 0.8 fewer agree with a chance of 4e-4), and from which a member leaves the rounds of its bucket.
 CANDIDATE, ALIKE = 0.62, 0.8
 ROUNDS = 4
-#: Members of a bucket in one piece, on average.
-PIECE = 512
+#: Members of a bucket in one side of a piece, and shingles of them, on average.
+PIECE, PIECE_SHINGLES = 512, 1 << 20
 SIGNATURE = BANDS * ROWS
 _draw = np.random.default_rng(23)
 XOR = _draw.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
@@ -131,28 +133,42 @@ def rest_links(sig: np.ndarray) -> tuple[list[int], list[int]]:
     return a + left.tolist(), b + partner[left].tolist()
 
 
-def cross_links(sig: np.ndarray, group: np.ndarray, side: np.ndarray) -> tuple[list[int], list[int]]:
-    """Every candidate pair of rows of different groups; where rows are of two sides, of different sides."""
+def cross_links(sig: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join the groups of all candidate pairs of the similarity or more; where rows are of two sides, of different sides.
+
+    sets: sorted distinct shingles of each row. A pair whose groups are joined already is passed over.
+    """
     two = len(np.unique(side)) > 1
+    group, size = group.copy(), np.array([len(x) for x in sets])
     a: list[int] = []
     b: list[int] = []
     for i in range(len(sig)):
         others = np.arange(i + 1, len(sig))
-        others = others[(group[others] != group[i]) & ((side[others] != side[i]) | (not two))]
-        near = others[(sig[others] == sig[i]).mean(axis=1) >= CANDIDATE] if len(others) else others
-        a += near.tolist()
-        b += [i] * len(near)
+        # No pair of such sizes can be as similar as asked.
+        fits = np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i])
+        others = others[fits & (group[others] != group[i]) & ((side[others] != side[i]) | (not two))]
+        for j in others[(sig[others] == sig[i]).mean(axis=1) >= CANDIDATE] if len(others) else others:
+            if group[i] == group[j]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (size[i] + size[j] - common):
+                a.append(int(j))
+                b.append(i)
+                group[group == group[j]] = group[i]
     return a, b
 
 
-def _piece_pairs(kind: str, every: bool):
+def _piece_pairs(kind: str, similarity: float | None):
+    """Candidate pairs of a piece; with a similarity its verified links."""
+
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("_id").combine_chunks()
         order = np.array(sorted(range(len(ids)), key=lambda i: ids[i].as_py()))
         sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(-1, SIGNATURE)[order]
         group = np.unique(table.column("root").combine_chunks().take(pa.array(order)).dictionary_encode().indices.to_numpy(), return_inverse=True)[1]
-        if every:
-            a, b = cross_links(sig, group, table.column("slot").to_numpy()[order])
+        if similarity is not None:
+            values, starts = lists_of(table.column("s"))
+            a, b = (np.array(x, np.int64) for x in cross_links(sig, group, table.column("slot").to_numpy()[order], [values[starts[i] : starts[i + 1]] for i in order], similarity))
         else:
             a, b = (np.array(x, np.int64) for x in rest_links(sig))
             apart = group[a] != group[b]
@@ -166,18 +182,31 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def open_pairs(buckets: DataFrame, sig: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
-    """(a, b), a > b: candidate pairs of bucket members in different groups(node, root); all, or as many as the members at most a few times over.
+def open_buckets(buckets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets (key, _n) whose members are of several groups(node, root), and all members (key, _id, root) of buckets."""
+    placed = buckets.join(groups.withColumnRenamed("node", "_id"), "_id", "left").withColumn("root", F.coalesce("root", "_id"))
+    wide = placed.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
+    return wide.select("key", "_n"), placed
+
+
+def open_pairs(buckets: DataFrame, sig: DataFrame, groups: DataFrame, sets: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
+    """(a, b), a > b, of bucket members in different groups(node, root): some candidate pairs, as many as the members at most a few times over; with sets(_id, s) the links that join all groups.
 
     Members are dealt to slots and every two slots meet in a piece, so a bucket of any size takes many tasks.
     """
-    placed = buckets.join(groups.withColumnRenamed("node", "_id"), "_id", "left").withColumn("root", F.coalesce("root", "_id"))
-    wide = placed.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
+    wide, placed = open_buckets(buckets, groups)
     slots = F.ceil(F.col("_n") / F.lit(PIECE)).cast("int")
+    facts = sig
+    if sets is not None:
+        facts = sig.join(sets.select("_id", "s"), "_id")
+        # Very long texts make more slots, so that a piece of them is no larger in memory.
+        held = placed.join(wide.select("key"), "key", "left_semi").join(sets.select("_id", F.size("s").alias("_s")), "_id").groupBy("key").agg(F.sum("_s").alias("_all"))
+        wide = wide.join(held, "key")
+        slots = F.greatest(slots, F.ceil(F.col("_all") / F.lit(PIECE_SHINGLES)).cast("int"))
     dealt = placed.join(wide.select("key", slots.alias("_slots")), "key").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("_slots")).cast("int"))
-    dealt = dealt.join(sig, "_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
-    dealt = dealt.select("_id", "key", "root", "slot", "sig", F.least("slot", "_other").alias("_i"), F.greatest("slot", "_other").alias("_j"))
-    run, schema = _piece_pairs(sig.schema["_id"].dataType.simpleString(), every)
+    dealt = dealt.join(facts, "_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
+    dealt = dealt.select("_id", "key", "root", "slot", "sig", *(["s"] if sets is not None else []), F.least("slot", "_other").alias("_i"), F.greatest("slot", "_other").alias("_j"))
+    run, schema = _piece_pairs(sig.schema["_id"].dataType.simpleString(), similarity)
     return _ordered(dealt.groupBy("key", "_i", "_j").applyInArrow(run, schema))
 
 
@@ -226,14 +255,19 @@ def candidate_pairs(sk: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return _ordered(found), buckets, sig
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs whose exact shingle sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    ids = keep(ids, "ids")
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, s): sorted distinct shingle hashes of the whole texts of some ids(_id), kept."""
+    ids = keep(ids.select("_id").distinct(), "ids")
     maybe = sieve(ids, "_id")
     asked = docs.filter(maybe(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi")
     asked = asked.select("_id", words(ascii_lower(F.col("_text"))).alias("_w"))
-    sets = keep(asked.select("_id", F.array_distinct(F.transform(shingles(F.col("_w"), SHINGLE), lambda s: F.xxhash64(s))).alias("s")), "sets")
+    return keep(asked.select("_id", F.array_sort(F.array_distinct(F.transform(shingles(F.col("_w"), SHINGLE), lambda s: F.xxhash64(s)))).alias("s")), "sets")
+
+
+def verified_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """The pairs whose exact shingle sets reach the similarity."""
+    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id")))
+    sets = shingle_sets(docs, ids, id_col, text_col)
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
@@ -246,12 +280,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs, buckets, sig = candidate_pairs(sk)
     tried = keep(pairs, "pairs")
     links = keep(verified_links(docs, tried, id_col, text_col, similarity), "links")
-    for every in (False, True):
-        more = keep(open_pairs(buckets, sig, keep(components(links), "groups"), every).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
+    more = keep(open_pairs(buckets, sig, keep(components(links), "groups")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
         links = links.unionByName(keep(verified_links(docs, more, id_col, text_col, similarity), "links"))
-        tried = tried.unionByName(more)
+    groups = keep(components(links), "groups")
+    wide, placed = open_buckets(buckets, groups)
+    members = keep(placed.join(wide, "key", "left_semi").select("_id").distinct(), "members")
+    if not members.isEmpty():
+        # Each row of an id is a member with its own text.
+        sets = shingle_sets(docs, members, id_col, text_col)
+        last = keep(open_pairs(buckets, sig, groups, sets, similarity), "links")
+        links = links.unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return components(links)
 
 

@@ -762,6 +762,31 @@ def test_near_dedup_verifies_every_open_candidate(spark, monkeypatch):
     assert left == jaccard_roots(list(range(len(texts))), texts)
 
 
+def test_pieces_give_fewer_links_than_members():
+    """Texts of one template that stay apart give no row however many pairs they are; those that are alike are joined by few."""
+    rng = np.random.default_rng(2)
+    template = np.sort(rng.choice(1 << 40, 300, replace=False))
+    sets, owner = [], []
+    for i in range(160):
+        s = template.copy()
+        cut = 50 if i % 2 else 4
+        s[rng.choice(300, cut, replace=False)] = rng.integers(1 << 41, 1 << 42, cut)
+        sets.append(np.unique(s))
+        owner.append(i % 2)
+    flat, starts = np.concatenate(sets).astype(np.uint64), np.r_[0, np.cumsum([len(s) for s in sets])]
+    sig = near_dedup.signatures(flat, starts)
+    a, b = near_dedup.cross_links(sig, np.arange(160), np.zeros(160), sets, 0.8)
+    label = np.arange(160)
+    simhash.merge(label, np.array(a), np.array(b))
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+    want = np.arange(160)
+    pairs = np.array([(i, j) for i in range(160) for j in range(i) if alike(sets[i], sets[j])])
+    simhash.merge(want, pairs[:, 0], pairs[:, 1])
+    assert len(a) < 160 and len(pairs) > 3000 and (label == want).all()
+    a, b = near_dedup.cross_links(sig[1::2], np.arange(80), np.zeros(80), sets[1::2], 0.8)
+    assert not len(a)
+
+
 def test_near_dedup_odd_rows(spark):
     kept = near_dedup.keep_one(wide(spark))
     assert kept.columns == wide(spark).columns
