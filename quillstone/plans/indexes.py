@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import search, text_index, vector_index
+from quillstone.operators import deadline, name_index, search, text_index, vector_index
 from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
 from quillstone.plans.retrieval import LEX, NEAR, TERMS, VECTOR, ranked_sql
 from quillstone.session import table
 from quillstone.sources.stored import StoredTable, cascade
-from quillstone.storage import index_path
+from quillstone.storage import index_path, kept, shared_dir
+from quillstone.streaming import tail
 
 BATCH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(b.e, a.e) / (b.n * a.n), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0)
@@ -114,3 +118,49 @@ def _(spark, sf):
     cascade(table(spark, sf, "customer").filter("c_custkey % 20 = 3").select("c_custkey"), [(orders, "o_custkey"), (lines_, "l_orderkey")])
     total = lambda t, name, key: t.read().agg(F.count("*").alias("n"), F.sum(key).alias("ids")).select(F.lit(name).alias("name"), "n", "ids")
     return total(orders, "orders", "o_orderkey").unionByName(total(lines_, "lines", "l_orderkey"))
+
+
+CHANGED = """WITH s0 AS (SELECT p_partkey AS symbol_id, p_brand AS file_id, CASE WHEN p_size <= 10 THEN 'module' WHEN p_size <= 30 THEN 'class' ELSE 'function' END AS kind, p_size AS start_line,
+  lower(replace(p_brand, '#', '')) || '.' || lower(p_type) || '.' || replace(p_name, ' ', '.') || '.' || trunc(p_retailprice * 10)::BIGINT AS qualified_name FROM part),
+symbols AS (SELECT symbol_id, file_id, kind, start_line, CASE WHEN symbol_id % 100 = 7 THEN qualified_name || '7' ELSE qualified_name END AS qualified_name FROM s0),
+e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS edge_id, CASE WHEN l_linestatus = 'F' THEN l_suppkey END AS t0, s0.qualified_name AS name, round(1 - l_discount, 4) AS c0 FROM lineitem LEFT JOIN s0 ON symbol_id = l_suppkey),
+edges AS (SELECT edge_id, any_value(t0) AS t0, any_value(name) AS name, any_value(c0) AS c0 FROM e GROUP BY edge_id HAVING count(*) = 1),
+f AS (SELECT qualified_name, arg_min(symbol_id, (start_line, symbol_id)) AS target FROM symbols GROUP BY 1 HAVING count(DISTINCT file_id) = 1),
+g AS (SELECT regexp_replace(qualified_name, '^.*\\.', '') AS segment, min(symbol_id) AS target FROM symbols WHERE kind <> 'module' GROUP BY 1 HAVING count(*) = 1)
+SELECT edge_id, coalesce(t0, f.target, g.target) AS target_symbol_id, CASE WHEN t0 IS NULL AND f.target IS NULL AND g.target IS NOT NULL THEN 0.3 ELSE c0 END AS confidence
+FROM edges LEFT JOIN f ON f.qualified_name = name LEFT JOIN g ON g.segment = regexp_replace(name, '^.*\\.', '')"""
+
+
+@query("i12_a8_a9_incremental", CHANGED)
+def _(spark, sf):
+    """Edges after a build that renamed every hundredth symbol: the renamed names are resolved again, the others stay."""
+    symbols = B.symbols(spark, sf)
+    edges = B.edges(spark, sf)
+    once = edges.groupBy("edge_id").count().filter("count = 1").select("edge_id")
+    index = name_index.NameIndex(spark, index_path(spark, "names", sf)).create(symbols, edges.join(once, "edge_id"))
+    old = symbols.filter("symbol_id % 100 = 7")
+    index.apply(old, old.withColumn("qualified_name", F.concat("qualified_name", F.lit("7"))))
+    return index.edges().select("edge_id", "target_symbol_id", "confidence")
+
+
+@query("r9_ranked_in_time", f"WITH {LEX} {ranked_sql(TERMS, 50)}")
+def _(spark, sf):
+    """A ranked search under a deadline; its top rows are few."""
+    ranked = search.top(search.cover_rank(table(spark, sf, "documents"), "doc_id", "text", TERMS), 50, F.desc("score"), F.col("doc_id"))
+    return spark.createDataFrame(deadline.within(spark, 600.0, ranked.collect), ranked.schema)
+
+
+@query("x2_live_tail", "SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS number, event_type AS kind, false AS gap FROM events")
+def _(spark, sf):
+    """Stored steps of each run, then a stream that repeats a part of them and brings the rest out of order, and in part twice."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("number"), F.col("event_type").alias("kind"))
+    at = kept(e, "steps")
+    folder = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("run_id", "number"), F.lit(3))
+    for n in (2, 0, 1, 0, 2):
+        at.filter((F.col("number") >= 2) & (part == n)).write.mode("append").parquet(f"{folder}/source")
+    history = at.filter("number < 4")
+    stream = spark.readStream.schema(at.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/source")
+    tail.follow(tail.live_tail(stream, history), f"{folder}/out", f"{folder}/check").awaitTermination()
+    live = spark.read.parquet(f"{folder}/out").select(F.col("run_id").cast(at.schema["run_id"].dataType).alias("run_id"), "number", "kind", "gap")
+    return history.withColumn("gap", F.lit(False)).unionByName(live)

@@ -1,6 +1,6 @@
 """Stored tables that change in place: only touched buckets are written anew. [S18-S22, S28, S29, I21, I22]
 
-A table is dealt to buckets by a hash of its key. A change reads the buckets that its keys fall into, writes their new
+A table is dealt to buckets by a hash of its key, or of a part of it. A change reads the buckets that its keys fall into, writes their new
 rows to a folder of the next version and then names, in one manifest put in place by a rename, the version that
 holds each bucket. Until that rename readers see the old rows; a job that dies before it leaves a folder that no manifest
 names. Two changes at once cannot both take the next version's name: the second one fails and is tried again by its caller.
@@ -72,7 +72,7 @@ class StoredTable:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _bucket(self, m: dict):
-        return F.pmod(F.xxhash64(*m["keys"]), F.lit(m["buckets"])).cast("int")
+        return F.pmod(F.xxhash64(*m["dealt"]), F.lit(m["buckets"])).cast("int")
 
     def buckets_of(self, keys: DataFrame, m: dict) -> list[int]:
         """Buckets that some keys fall into: as many as the table has at the most."""
@@ -87,10 +87,10 @@ class StoredTable:
         old = {b: v for b, v in m["at"].items() if touched is not None and int(b) not in touched}
         self._commit(m | {"version": m["version"] + 1, "by": folder, "at": old | fresh})
 
-    def create(self, rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> StoredTable:
-        """A new table, or a new version of all of an old one."""
+    def create(self, rows: DataFrame, keys: list[str], buckets: int = BUCKETS, dealt: list[str] | None = None) -> StoredTable:
+        """A new table, or a new version of all of an old one; dealt to buckets by some of its key columns, or by all."""
         version = self.manifest()["version"] if self._names("manifest") else 0
-        self._write(rows, {"version": version, "by": "", "keys": keys, "buckets": buckets, "schema": rows.schema.jsonValue(), "at": {}}, None)
+        self._write(rows, {"version": version, "by": "", "keys": keys, "dealt": dealt or keys, "buckets": buckets, "schema": rows.schema.jsonValue(), "at": {}}, None)
         return self
 
     def change(self, keys: DataFrame, rewrite: Callable[[DataFrame], DataFrame]) -> int:
@@ -123,7 +123,7 @@ class StoredTable:
         """Rows gone whose column (the key by default) stands in dead, a table of that one column; their keys, kept. [S21]"""
         m = self.manifest()
         on = [column] if column else m["keys"]
-        if on == m["keys"]:
+        if set(m["dealt"]) <= set(on):
             dead = kept(dead.select(*on).distinct(), "dead")
             gone = kept(self.read(self.buckets_of(dead, m), m).join(dead, on, "left_semi").select(*m["keys"]), "gone")
         else:

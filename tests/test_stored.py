@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
@@ -102,3 +103,39 @@ def test_empty_tables_and_null_keys(spark, tmp_path):
     assert len(read(t)) == 2
     t.delete(rows(spark, [1]).select("id"))
     assert read(t) == [(None, "a", "x")]
+
+
+SYMBOL = "symbol_id long, file_id string, kind string, qualified_name string, start_line int"
+EDGE = "edge_id long, source_symbol_id long, target_symbol_id long, target_qualified_name string, kind string, confidence double"
+
+
+def resolved(df):
+    return sorted(((r["edge_id"], r["target_symbol_id"], r["confidence"]) for r in df.collect()), key=str)
+
+
+def test_incremental_resolution_equals_the_full_form(spark, tmp_path):
+    from quillstone.operators.graph import resolve_edges
+    from quillstone.operators.name_index import NameIndex
+
+    rng = random.Random(3)
+    name = lambda: f"m{rng.randint(0, 3)}.f{rng.randint(0, 150)}"
+    symbols = {i: (i, f"file{rng.randint(0, 5)}", rng.choice(["module", "class", "function"]), name(), rng.randint(1, 90)) for i in range(300)}
+    edges = [(i, i % 300, rng.choice([None, None, i % 7]), rng.choice([name(), name(), None]), "calls", 0.9) for i in range(600)]
+    frame = lambda rows: spark.createDataFrame(list(rows), SYMBOL)
+    all_edges = spark.createDataFrame(edges, EDGE)
+    index = NameIndex(spark, str(tmp_path / "names")).create(frame(symbols.values()), all_edges, buckets=64)
+    assert resolved(index.edges()) == resolved(resolve_edges(all_edges, frame(symbols.values())))
+    # About one symbol in a hundred changes: renamed, gone and new ones turn names unique and ambiguous.
+    for turn in range(2):
+        picked = rng.sample(sorted(symbols), 4)
+        removed = [symbols.pop(i) for i in picked]
+        added = [(i, f, k, name(), line) for i, f, k, _, line in removed[:3]] + [(1000 + turn, "new", "function", name(), 1)]
+        symbols |= {r[0]: r for r in added}
+        fresh = [(2000 + turn, 1, None, added[0][3], "calls", 0.8)]
+        edges += fresh
+        before = files(str(tmp_path / "names/edges"))
+        touched = index.apply(frame(removed), frame(added), spark.createDataFrame(fresh, EDGE))
+        assert {r["segment"] for r in touched.collect()} == {r[3].rpartition(".")[2] for r in removed + added}
+        assert resolved(index.edges()) == resolved(resolve_edges(spark.createDataFrame(edges, EDGE), frame(symbols.values())))
+        after = files(str(tmp_path / "names/edges"))
+        assert {f: t for f, t in after.items() if f in before} == before and 0 < len(after) - len(before) <= 9
