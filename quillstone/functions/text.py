@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,17 +226,33 @@ def hunk_range(start: Column, lines: Column) -> Column:
 # --- html passages -------------------------------------------------------
 
 BLOCK_TAGS = r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|pre)\b[^>]*>"
-#: Named references decoded without Python; others stay as written.
+#: Named references decoded without Python; a text with any other goes through the standard library's table.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
 
 
+OTHER_ENTITY = "&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z])"
+
+
+def _decoded(texts: pd.Series) -> pd.Series:
+    space = dict(ENTITIES)["&nbsp;"]
+    return texts.map(lambda t: None if t is None else html.unescape(t.replace("&nbsp;", space)))
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters, each once. [R31]"""
+    known = text
+    for name, char in ENTITIES:
+        known = F.replace(known, F.lit(name), F.lit(char))
+    every = F.pandas_udf(_decoded, "string")
+    return F.when(text.rlike(OTHER_ENTITY), every(text)).otherwise(known)
+
+
 def plain_text(raw: Column) -> Column:
     """HTML as text with blank lines between blocks; text without a tag is unchanged. [R31]"""
     text = F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1>", " ")
     text = F.regexp_replace(text, BLOCK_TAGS, "\n\n")
     text = F.regexp_replace(text, "<[^>]+>", "")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = decoded(text)
     text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return F.when(F.contains(raw, F.lit("<")), text).otherwise(raw)
 

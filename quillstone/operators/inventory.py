@@ -11,11 +11,11 @@ ROWS: dict[str, str] = {
     # scans, sources, sinks
     "S1": "sources.files:listing", "S2": "sources.files:content_at", "S5": "operators.index:resolve_revisions", "S3": "sources.patches:parse_patches", "S4": "sources.patches:parse_patches", "S6": "functions.text:commit_subject", "S7": "operators.lines:grep",
     "S8": "operators.lines:parse_grep", "S9": "sources.patches:parse_patches", "S10": "functions.text:change_type", "S11": "functions.text:language_of", "S12": "sources.files:eval_cases", "S13": "sources.files:log_tail",
-    "S15": "operators.filters:point_lookup", "S16": "sources.files:content_at", "S17": "sources.files:append", "S18": "operators.index:insert_missing", "S19": "operators.index:insert_missing", "S20": "operators.graph:resolve_edges",
-    "S21": "operators.graph:replace_edges", "S22": "operators.index:cascade", "S23": "sources.files:as_markdown", "S24": "sources.files:cached", "S26": "operators.filters:point_lookup", "S28": "operators.index:cascade",
-    "S29": "operators.index:insert_missing", "S31": "sources.files:parse_log", "S32": "sources.files:cached",
+    "S15": "operators.filters:point_lookup", "S16": "sources.files:content_at", "S17": "sources.files:append", "S18": "sources.stored:StoredTable", "S19": "sources.stored:StoredTable", "S20": "operators.name_index:NameIndex",
+    "S21": "sources.stored:StoredTable", "S22": "sources.stored:cascade", "S23": "sources.files:as_markdown", "S24": "sources.files:cached", "S26": "operators.filters:point_lookup", "S28": "sources.stored:cascade",
+    "S29": "sources.stored:StoredTable", "S31": "sources.files:parse_log", "S32": "sources.files:cached",
     # filters and predicates
-    "P1": "operators.filters:live", "P2": "operators.filters:of_languages", "P3": "operators.filters:path_matches", "P4": "operators.filters:path_matches", "P5": "operators.filters:name_matches", "P6": "operators.filters:contains_ignoring_case",
+    "P1": "operators.filters:live", "P2": "operators.filters:of_languages", "P3": "operators.filters:path_matches", "P4": "operators.filters:path_matches", "P5": "operators.filters:name_matches", "P6": "operators.text_index:containing",
     "P7": "operators.filters:overlaps", "P8": "operators.lines:contained", "P9": "functions.text:deserves_vector", "P10": "operators.filters:include_paths", "P11": "operators.lines:reviewable", "P12": "operators.lines:patch_size",
     "P13": "functions.text:is_code_like", "P14": "functions.text:is_prose", "P15": "functions.text:is_literal_query", "P16": "functions.text:is_definition_line", "P17": "functions.text:is_document", "P18": "functions.text:claims_external_code",
     "P19": "functions.text:level_rank", "P20": "operators.filters:in_states", "P21": "operators.filters:scoped_to_tenant", "P22": "functions.text:is_dead_end", "P23": "operators.filters:usable_snapshots", "P24": "operators.filters:git_path_matches",
@@ -32,22 +32,22 @@ ROWS: dict[str, str] = {
     "A19": "operators.digests:first_seen_order", "A20": "operators.lines:symbol_text", "A21": "operators.lines:reassembled", "A22": "operators.index:build_counters", "A23": "operators.digests:extensions", "A24": "operators.digests:attempt_duration",
     "A25": "operators.digests:fails_gate", "A26": "operators.documents:select_passages", "A27": "operators.lines:hunk_bounds", "A28": "operators.review:discard_counts", "A29": "operators.review:discarded_total", "A30": "operators.lines:diff_totals", "A31": "operators.review:take_within_budget",
     # windows, order, sets
-    "W1": "operators.windows:keepers", "W2": "operators.search:reciprocal_rank_fusion", "W3": "operators.windows:latest_per_key", "W4": "operators.windows:directory_spread", "W5": "operators.parsing:chunks", "W6": "operators.windows:first_per_key",
-    "T1": "operators.search:top", "T2": "operators.search:by_staged_terms", "T3": "operators.vector_index:VectorIndex", "T4": "operators.search:reciprocal_rank_fusion", "T5": "operators.sweep:innermost", "T6": "operators.windows:path_order", "T7": "operators.windows:name_order",
+    "W1": "operators.windows:keepers", "W2": "operators.search:reciprocal_rank_fusion", "W3": "operators.windows:latest_per_key", "W4": "operators.windows:directory_spread", "W5": "operators.packing:text_chunks", "W6": "operators.windows:first_per_key",
+    "T1": "operators.search:top", "T2": "operators.text_index:containing", "T3": "operators.vector_index:VectorIndex", "T4": "operators.search:reciprocal_rank_fusion", "T5": "operators.sweep:innermost", "T6": "operators.windows:path_order", "T7": "operators.windows:name_order",
     "T8": "operators.search:top", "T9": "operators.graph:with_symbols", "T10": "operators.index:latest_ready", "T11": "operators.windows:page_after", "T12": "operators.digests:recent", "T13": "functions.text:longest_terms", "T14": "operators.documents:select_passages",
     "T15": "operators.review:take_within_budget", "T16": "operators.windows:directory_spread", "T17": "operators.windows:queue_order", "T18": "operators.windows:capped_listing", "T19": "operators.search:top",
     "U1": "operators.search:reciprocal_rank_fusion", "U2": "operators.search:expanded_search", "U3": "functions.text:longest_terms", "U4": "operators.digests:unreviewed", "U5": "operators.documents:select_passages",
     # retrieval
-    "R1": "functions.text:search_text", "R2": "functions.text:search_text", "R3": "operators.search:postings", "R4": "functions.text:clean_terms", "R5": "functions.text:longest_terms", "R6": "operators.search:by_staged_terms", "R7": "operators.search:rank_postings",
-    "R8": "operators.search:cover_rank", "R10": "operators.vector_index:VectorIndex", "R11": "operators.search:reciprocal_rank_fusion", "R12": "operators.search:by_staged_terms", "R13": "operators.lines:overlap_join", "R14": "operators.filters:path_matches",
+    "R1": "functions.text:search_text", "R2": "functions.text:search_text", "R3": "operators.search:postings", "R4": "functions.text:clean_terms", "R5": "functions.text:longest_terms", "R6": "operators.text_index:staged", "R7": "operators.text_index:rank_terms",
+    "R8": "operators.search:cover_rank", "R9": "operators.deadline:within", "R10": "operators.vector_index:VectorIndex", "R11": "operators.search:reciprocal_rank_fusion", "R12": "operators.search:by_staged_terms", "R13": "operators.lines:overlap_join", "R14": "operators.filters:path_matches",
     "R15": "operators.filters:name_matches", "R16": "operators.navigation:describe", "R17": "operators.navigation:outline", "R18": "operators.lines:reassembled", "R19": "operators.graph:neighbours", "R20": "operators.graph:neighbours", "R21": "operators.graph:edge_kinds",
     "R22": "operators.navigation:TOOLS", "R23": "operators.navigation:resolve_path", "R24": "operators.navigation:suggest_paths", "R25": "operators.navigation:search_documents", "R26": "operators.navigation:rendered", "R27": "operators.navigation:diff_context",
     "R28": "operators.review:take_within_budget", "R29": "functions.text:expansion_terms", "R30": "operators.search:expanded_search", "R31": "functions.text:plain_text", "R32": "functions.text:split_passages", "R33": "operators.documents:select_passages",
     "R34": "operators.documents:select_passages", "R35": "operators.navigation:grep_windows", "R36": "operators.navigation:search_documents", "R37": "functions.text:result_limit", "R38": "operators.index:choose_backends", "R39": "operators.digests:index_state", "R40": "operators.lines:windows_around",
     "R41": "operators.digests:past_findings", "R42": "operators.documents:select_passages", "R43": "operators.lines:unified_patch", "R44": "operators.navigation:TOOLS", "R45": "operators.navigation:rendered",
     # ingestion and dataflow
-    "I1": "operators.index:tree_diff", "I2": "operators.parsing:symbols", "I3": "functions.text:module_path", "I4": "operators.parsing:edges", "I5": "operators.scripts:symbols", "I6": "operators.parsing:chunks", "I7": "operators.parsing:symbols", "I8": "operators.parsing:chunks",
-    "I9": "functions.text:breadcrumb", "I10": "functions.text:content_hash", "I11": "operators.graph:replace_edges", "I12": "operators.graph:resolve_edges", "I13": "operators.review:moved_state", "I15": "operators.index:insert_missing", "I16": "operators.digests:missing_chunks",
+    "I1": "operators.index:tree_diff", "I2": "operators.parsing:symbols", "I3": "functions.text:module_path", "I4": "operators.parsing:edges", "I5": "operators.scripts:symbols", "I6": "operators.packing:text_chunks", "I7": "operators.parsing:symbols", "I8": "operators.parsing:chunks",
+    "I9": "functions.text:breadcrumb", "I10": "functions.text:content_hash", "I11": "operators.graph:replace_edges", "I12": "operators.name_index:NameIndex", "I13": "operators.review:moved_state", "I15": "operators.index:insert_missing", "I16": "operators.digests:missing_chunks",
     "I17": "operators.digests:reused_vectors", "I18": "operators.digests:check_dimensions", "I19": "operators.digests:index_state", "I20": "operators.index:needs_build", "I21": "operators.index:replace_children", "I22": "operators.index:apply_tree", "I23": "operators.index:pick_up", "I24": "operators.index:nested",
     "I25": "operators.parsing:edges", "I26": "operators.lines:overlap_join", "I27": "operators.scripts:symbols",
     "D1": "functions.text:added_code", "D2": "operators.lines:unified_patch", "D3": "operators.lines:find_by_path", "D4": "operators.lines:content_window", "D5": "functions.text:dedup_key", "D6": "operators.review:plan_mode", "D7": "operators.review:fan_out", "D8": "operators.review:merge_drafts",
@@ -55,12 +55,12 @@ ROWS: dict[str, str] = {
     "D16": "operators.review:route_model", "D17": "operators.review:match_expected", "D18": "operators.index:insert_missing", "D19": "operators.windows:last_messages", "D20": "operators.filters:include_paths", "D21": "operators.review:restarted", "D22": "operators.digests:status_after",
     "D23": "operators.lines:patch_size", "D27": "operators.review:judged", "D28": "operators.review:route_model", "D29": "operators.digests:repeated_recall", "D30": "operators.review:match_expected",
     # streams
-    "X1": "streaming.steps:with_cursor", "X2": "streaming.steps:live_steps", "X3": "streaming.steps:live_steps", "X4": "streaming.steps:envelope", "X5": "operators.windows:page_after", "X7": "operators.review:fan_out", "X10": "operators.search:expanded_search", "X11": "streaming.steps:encode", "X12": "streaming.steps:record",
+    "X1": "streaming.steps:with_cursor", "X2": "streaming.tail:live_tail", "X3": "streaming.tail:live_tail", "X4": "streaming.steps:envelope", "X5": "operators.windows:page_after", "X7": "operators.review:fan_out", "X10": "operators.search:expanded_search", "X11": "streaming.steps:encode", "X12": "streaming.steps:record",
 }
 
 OUTSIDE: dict[str, str] = {
     "S14": "Spark splits text files itself", "S25": "a network surface over the functions here", "S27": "adaptive execution has run-time statistics", "S30": "runs a program",
-    "R9": "a deadline is a property of the caller's job group", "I12b": "the table form I12 is the canonical one", "I14": "batching of transactions has no counterpart", 
+    "I12b": "the table form I12 is the canonical one", "I14": "batching of transactions has no counterpart", 
     "D24": "calls a model; its failures are rows of D13", "D25": "calls a model; its failures are rows of D13", "D26": "composition of the functions of operators.review", "X6": "a lock; one query writes a stream", "X8": "a retry timer", "X9": "partial answers of a model",
 }
 

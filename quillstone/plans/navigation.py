@@ -42,10 +42,12 @@ def _(spark, sf):
     return navigation.file_context(B.symbols(spark, sf), brands(spark, sf), "brand/12.py", 28, 30).select("symbol_id", "start_line", "end_line")
 
 
-@query("r15_r22_definition", f"WITH {NAMED}, {BRANDS} SELECT path, start_line, end_line, signature AS text, 'definition' AS role, qualified_name AS title FROM named JOIN brands USING (file_id) WHERE qualified_name LIKE '%.90__' AND NOT is_deleted ORDER BY qualified_name, symbol_id LIMIT 10")
+@query("r15_r22_definition", f"WITH {NAMED}, {BRANDS} SELECT path, start_line, end_line, CASE WHEN symbol_id % 3 = 0 THEN 'def ' || symbol_id || chr(10) || 'end' ELSE signature END AS text, 'definition' AS role, qualified_name AS title FROM named JOIN brands USING (file_id) WHERE qualified_name LIKE '%.90__' AND NOT is_deleted ORDER BY qualified_name, symbol_id LIMIT 10")
 def _(spark, sf):
-    none = spark.createDataFrame([], "symbol_id long, start_line int, content string")
-    return navigation.definition(symbols(spark, sf), none, brands(spark, sf), "90__")
+    """Every third symbol has its text in two chunks."""
+    held = B.symbols(spark, sf).filter("symbol_id % 3 = 0").select("symbol_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("start_line"))
+    chunks = held.withColumn("content", F.when(F.col("start_line") == 1, F.concat(F.lit("def "), F.col("symbol_id").cast("string"))).otherwise(F.lit("end")))
+    return navigation.definition(symbols(spark, sf), chunks, brands(spark, sf), "90__")
 
 
 RELATED = """SELECT path, start_line, end_line, n.signature || CASE WHEN n.docstring <> '' THEN chr(10) || '\"\"\"' || n.docstring || '\"\"\"' ELSE '' END AS text, 'reference' AS role, n.qualified_name AS title
@@ -121,14 +123,15 @@ changed AS (SELECT DISTINCT key, symbol_id FROM l WHERE l_linenumber = 1),
 edges AS (SELECT symbol_id AS s, other AS t, max(l_quantity) AS confidence FROM l WHERE l_linenumber > 4 GROUP BY 1, 2),
 out_ AS (SELECT key, t AS symbol_id, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, t) AS rn FROM edges JOIN changed ON symbol_id = s WHERE (key, t) NOT IN (SELECT key, symbol_id FROM changed)),
 in_ AS (SELECT key, s AS symbol_id, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, s) AS rn FROM edges JOIN changed ON symbol_id = t WHERE (key, s) NOT IN (SELECT key, symbol_id FROM changed)),
-p AS (SELECT key, symbol_id, min(origin) AS origin FROM (SELECT *, 0 AS origin FROM changed UNION ALL SELECT key, symbol_id, 1 FROM out_ WHERE rn <= 12 UNION ALL SELECT key, symbol_id, 2 FROM in_ WHERE rn <= 12) GROUP BY 1, 2)
+near AS (SELECT key, other AS symbol_id, row_number() OVER (PARTITION BY key ORDER BY max(l_quantity) DESC, other) AS rn FROM l WHERE l_linenumber IN (2, 3) AND (key, other) NOT IN (SELECT key, symbol_id FROM changed) GROUP BY 1, 2),
+p AS (SELECT key, symbol_id, min(origin) AS origin FROM (SELECT *, 0 AS origin FROM changed UNION ALL SELECT key, symbol_id, 1 FROM out_ WHERE rn <= 12 UNION ALL SELECT key, symbol_id, 2 FROM in_ WHERE rn <= 12 UNION ALL SELECT key, symbol_id, 3 FROM near WHERE rn <= 6) GROUP BY 1, 2)
 SELECT key, sum(1)::BIGINT AS used, 0 AS dropped, string_agg(symbol_id::VARCHAR, ',' ORDER BY origin, p_brand, p_size, symbol_id::VARCHAR) AS taken FROM p JOIN part ON p_partkey = symbol_id GROUP BY key""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("other"), "l_linenumber", "l_quantity")
     changed = li.filter("l_linenumber = 1").select("key", "symbol_id").distinct()
     edges = li.filter("l_linenumber > 4").groupBy(F.col("symbol_id").alias("source_symbol_id"), F.col("other").alias("target_symbol_id")).agg(F.max("l_quantity").alias("confidence")).withColumn("kind", F.lit("calls"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("symbol_id"), F.lit(1).alias("tokens"), F.col("p_brand").alias("path"), F.col("p_size").alias("start_line"))
-    similar = changed.limit(0).withColumn("score", F.lit(0.0))
+    similar = li.filter("l_linenumber IN (2, 3)").groupBy("key", F.col("other").alias("symbol_id")).agg(F.max("l_quantity").alias("score"))
     return navigation.diff_context(changed, parts, edges, similar).select("key", "used", "dropped", F.array_join("taken", ",").alias("taken"))
 
 

@@ -156,11 +156,11 @@ def _(spark, sf):
 # --- joins of lines ----------------------------------------------------------
 
 
-@query("p8_j15_contained", "SELECT p.p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.p_brand AND r.p_retailprice < 1000 AND p.p_size BETWEEN r.p_size * 2 AND r.p_size * 2 + 1)")
+@query("p8_j15_contained", "SELECT p.p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.p_brand AND p.p_size BETWEEN r.p_size * 2 AND r.p_size * 2 + 1)")
 def _(spark, sf):
     p = table(spark, sf, "part")
     points = p.select(F.col("p_brand").alias("file_id"), "p_partkey", F.col("p_size").alias("at"))
-    ranges = p.filter("p_retailprice < 1000").select(F.col("p_brand").alias("file_id"), (F.col("p_size") * 2).alias("r_start"), (F.col("p_size") * 2 + 1).alias("r_end"))
+    ranges = p.select(F.col("p_brand").alias("file_id"), (F.col("p_size") * 2).alias("r_start"), (F.col("p_size") * 2 + 1).alias("r_end"))
     return lines.contained(points, ranges, "file_id").select("p_partkey")
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Bytes up to which the rows of a single file are dealt out.
-ONE_FILE = 256 << 20
+#: Session setting: the number of partitions that tables of whole texts are dealt to when they are read. Unset, they are read as they lie.
+#: A table of one file with one row group is read by one task, so small test tables gain by it; no size is looked at.
+DEAL = "spark.quillstone.deal"
 #: Tables of whole texts.
 TEXTS = ("documents", "pages")
 
@@ -19,15 +19,8 @@ TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; only columns used later are read."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXTS else rows
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """A small file has one row group, which one task would read and work on alone: its rows are dealt to all cores. Other tables stay as they are."""
-    if len(rows.inputFiles()) != 1:
-        return rows
-    size = rows.select(F.col("_metadata.file_size").alias("n")).first()
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size and size["n"] <= ONE_FILE else rows
+    deal = spark.conf.get(DEAL, None) if name in TEXTS else None
+    return rows.repartition(int(deal)) if deal else rows
 
 
 def build_session(app: str = "quillstone", master: str | None = None, **conf: str) -> SparkSession:
