@@ -1,4 +1,4 @@
-"""Benchmark decontamination by shared word pairs and Smith-Waterman alignment.
+"""Benchmark decontamination by rare seeds of word pairs and Smith-Waterman alignment.
 
 Texts are compared as lower-cased runs of letters and digits. Benchmark items are cut into
 segments of at most SEGMENT words. A document holds an item when some segment, aligned with
@@ -9,9 +9,11 @@ and items of fewer than three words are no evidence and match nothing.
 Only alignments that can reach the score are computed, and none of these is left out: of a
 segment of n words an alignment with m matches, e edits and the score m - e >= s has at least
 m - 1 - e >= s - 1 pairs of neighbouring words in common with the document, each from another
-place of the segment, and as e <= n - s, all of them lie within n - s diagonals. Every pair of
-neighbouring words is looked up, common ones too, and each segment with enough of them in
-a band of diagonals is aligned with the words of that band.
+place of the segment, and as e <= n - s, all of them lie within n - s diagonals. So of the
+segment's n - 1 pairs any n - 1 - (s - 1) + 1 hold one that is in common: its seeds are so many
+of its pairs, those that the whole corpus has least often, by a first pass that counts. Only
+where a seed stands in a document are the segment's other pairs looked at, and where enough of
+them lie in a band of diagonals the segment is aligned with the words of that band.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each sent to
 all tasks, so its size is never assumed. Documents are not shuffled, whatever repeats.
@@ -147,13 +149,45 @@ class Block:
         self.pair_seg = np.repeat(np.arange(len(parts)), [len(p) for p in pairs])[order]
         self.pair_at = (np.concatenate([np.arange(len(p)) for p in pairs]) if parts else np.empty(0, np.int64))[order]
 
-    def candidates(self, at: np.ndarray, to: np.ndarray, starts: np.ndarray, need: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """(row, segment, cell) of each band of diagonals with pairs enough; a cell reaches over two bands, so any range of one band lies in some cell."""
+    def need(self, threshold: float) -> np.ndarray:
+        """Least score of each segment."""
+        return np.where(self.lens < SHORT, self.lens, np.ceil(threshold * self.lens - 1e-9).astype(np.int64))
+
+    def choose(self, counts: np.ndarray, threshold: float) -> None:
+        """Take each segment's seeds by how often the corpus has each pair of the table."""
+        pairs = np.repeat(np.arange(len(self.lookup.table)), self.last - self.first)
+        order = np.lexsort((self.pair_at, counts[pairs], self.pair_seg))
+        seg = self.pair_seg[order]
+        rank = np.arange(len(seg)) - np.searchsorted(seg, seg)
+        seeds = np.sort(order[rank < (self.lens - np.maximum(self.need(threshold) - 1, 1))[seg]])
+        self.seed_seg, seed_pair = self.pair_seg[seeds], pairs[seeds]
+        self.seed_first, self.seed_last = (np.searchsorted(seed_pair, np.arange(len(self.lookup.table)), side=side) for side in ("left", "right"))
+
+    def seeded(self, at: np.ndarray, to: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sorted row * segments + segment of all rows that hold a seed of a segment."""
+        each = self.seed_last[to] - self.seed_first[to]
+        at, to, each = at[each > 0], to[each > 0], each[each > 0]
+        done = np.r_[0, np.cumsum(each)]
+        found, a = np.empty(0, np.int64), 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + HITS, side="right")) - 1)
+            n = each[a:b]
+            which = np.repeat(self.seed_first[to[a:b]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.searchsorted(starts, np.repeat(at[a:b], n), side="right") - 1
+            found = np.union1d(found, row * len(self.parts) + self.seed_seg[which])
+            a = b
+        return found
+
+    def candidates(self, at: np.ndarray, to: np.ndarray, starts: np.ndarray, need: np.ndarray, band: np.ndarray, seeded: np.ndarray) -> np.ndarray:
+        """(row, segment, cell) of each band of diagonals with pairs enough, of the rows and segments that share a seed; a cell reaches over two bands, so any range of one band lies in some cell."""
         each = self.last[to] - self.first[to]
         at = np.repeat(at, each)
         which = np.repeat(self.first[to], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         row, seg = np.searchsorted(starts, at, side="right") - 1, self.pair_seg[which]
         least = np.maximum(need - 1, 1)
+        key = row * len(self.parts) + seg
+        some = seeded[np.minimum(np.searchsorted(seeded, key), len(seeded) - 1)] == key
+        at, which, row, seg = at[some], which[some], row[some], seg[some]
         groups, group, size = np.unique(row * len(self.parts) + seg, return_inverse=True, return_counts=True)
         some = size[group] >= least[seg]
         at, which, row, seg, group = at[some], which[some], row[some], seg[some], group[some]
@@ -177,7 +211,11 @@ class Block:
         at, to = self.lookup.find(g)
         ok = inside(starts, PAIR, len(g))[at] if len(at) else np.empty(0, bool)
         at, to = at[ok], to[ok]
-        need = np.where(self.lens < SHORT, self.lens, np.ceil(threshold * self.lens - 1e-9).astype(np.int64))
+        need = self.need(threshold)
+        seeded = self.seeded(at, to, starts)
+        # Documents without a seed of anything are done.
+        held = np.isin(np.searchsorted(starts, at, side="right") - 1, seeded // max(1, len(self.parts)))
+        at, to = at[held], to[held]
         band = np.maximum(self.lens - need, 1)
         done = np.r_[0, np.cumsum(self.last[to] - self.first[to])]
         a = 0
@@ -185,7 +223,7 @@ class Block:
             b = max(a + 1, int(np.searchsorted(done, done[a] + HITS, side="right")) - 1)
             # Parts overlap by the longest alignment.
             c = int(np.searchsorted(at, at[b] + 2 * SEGMENT)) if b < len(at) else b
-            key = self.candidates(at[a:c], to[a:c], starts, need, band)
+            key = self.candidates(at[a:c], to[a:c], starts, need, band, seeded)
             a = b
             for k in range(0, len(key), PAIRS):
                 row, seg, cell = key[k : k + PAIRS].T
@@ -213,6 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
         block = Block([(r["item"], np.array(r["t"], np.int64).astype(np.uint64)) for r in rows])
         if not block.parts:
             continue
+        block.choose(pair_counts(spark, tokens, block.lookup.table), threshold)
         part = _block_pairs(spark, tokens, block, threshold, id_type, item_type)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -220,6 +259,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     return found.groupBy("_id", "item").agg(F.max("score").alias("score")).select(F.col("_id").alias(id_col), F.col("item").alias(item_id_col), "score")
 
 
+def pair_counts(spark, tokens: DataFrame, table: np.ndarray) -> np.ndarray:
+    """How often all documents hold each pair of a block's table, which bounds what comes to the driver."""
+    ready = spark.sparkContext.broadcast(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, counts = Lookup(ready.value), np.zeros(len(table), np.int64)
+        for batch in sliced(batches, 0):
+            flat, starts = lists_of(batch.column(0))
+            g = grams(flat, PAIR)
+            at, to = lookup.find(g)
+            if len(at):
+                counts += np.bincount(to[inside(starts, PAIR, len(g))[at]], minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["pair", "n"])
+
+    found = tokens.select("t").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(table), np.int64)
+    out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
 def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_type: str, item_type: str) -> DataFrame:
     ready = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 

@@ -452,6 +452,28 @@ def test_decontamination_finds_every_copy_that_reaches_the_score(spark):
     assert all((k * 23 + i, k) in want for k in range(len(items)) for i in (0, 1, 4))  # whole, split at every pair, every 5th word replaced
 
 
+def test_seeds_are_the_rarest_pairs_and_enough_of_them():
+    items = [(0, np.arange(100, 120, dtype=np.uint64)), (1, np.arange(105, 165, dtype=np.uint64)), (2, np.array([7, 8, 9], np.uint64))]
+    block = decontaminate.Block(items)
+    counts = np.arange(len(block.lookup.table)) * 7 % 31
+    block.choose(counts, 0.5)
+    pairs = np.repeat(np.arange(len(counts)), block.seed_last - block.seed_first)
+    for k, part in enumerate(block.parts):
+        need = int(block.need(0.5)[k])
+        own = sorted(counts[np.searchsorted(block.lookup.table, decontaminate.grams(part, 2))].tolist())
+        got = sorted(counts[pairs[block.seed_seg == k]].tolist())
+        # Of n - 1 pairs at least need - 1 are shared, so one of any n - need + 1 is.
+        assert got == own[: len(part) - max(need - 1, 1)]
+
+
+def test_pairs_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c a b"), (2, "a b"), (3, None), (4, "b a")], "doc_id long, text string").select(decontaminate.token_hashes(F.col("text")).alias("t"))
+    t = np.array(docs.filter("size(t) = 5").first()["t"], np.int64).astype(np.uint64)
+    table = np.unique(decontaminate.grams(t, 2))
+    got = decontaminate.pair_counts(spark, docs, table)
+    assert dict(zip(table.tolist(), got.tolist(), strict=True)) == {int(decontaminate.grams(t[:2], 2)[0]): 3, int(decontaminate.grams(t[1:3], 2)[0]): 1, int(decontaminate.grams(t[2:4], 2)[0]): 1}
+
+
 def test_alignment_scores():
     seg = np.array([[1, 2, 3, 4]], np.uint64)
     score = lambda w: int(decontaminate.align(seg, np.array([4]), np.array([w], np.uint64), np.array([len(w)]))[0])
