@@ -5,7 +5,11 @@ borne with). Subtrees that are chrome by tag, role, class or id fall away: menus
 footers, sidebars, notices, adverts, forms, reader comments. Each paragraph then passes
 points for its length and its commas to its ancestors, less with distance; a container's
 points are discounted by its link density. The best container is kept with those of its
-siblings that score alike or read as prose. Lists of links inside it count as menus.
+siblings that score alike or read as prose, with all that stands between these but menus, and
+with what adjoins them: headings before, and lists, tables, quotes and plain containers of few links
+(at the top of a page no containers). Inside an article or main a class or id is chrome only if all
+of its words are (or say mere layout). Blocks that are mostly links are menus; a list of links
+stays where prose stands before and after it, so one at an article's edge falls.
 
 Text: character references decoded, white space in a block turned into one space, blocks
 joined in page order by one space. Null or empty html, or a page without text, gives the
@@ -47,6 +51,7 @@ CHROME_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs comment comments commentlist disqus replies reply respond footer header masthead topbar toolbar widget widgets pagination pager "
     "login signin outbrain taboola toc skip alert rail".split()
 )
+LAYOUT_WORDS = frozenset("list box bar wrap wrapper container block section area links buttons button icons icon item items form top bottom left right inline unit slot posts articles stories group panel inner outer".split())
 CONTENT_WORDS = frozenset("article content main post story entry body text page wrapper container hentry".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 POINTS = {"article": 25, "main": 25, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "address": -3, "th": -5}
@@ -56,7 +61,7 @@ COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "attrs", "score", "size", "linked", "commas")
+    __slots__ = ("tag", "parent", "kids", "attrs", "score", "size", "linked", "commas", "links")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
@@ -151,8 +156,12 @@ def is_chrome(node: Node, in_article: bool, holds_article: bool) -> bool:
     named = [w.lower() for w in WORD.findall(a.get("class", "") + " " + a.get("id", ""))]
     if node.tag in ("html", "body", "article", "main") and "comment" not in named and "comments" not in named:
         return False
-    # The header of an article holds its title.
-    words = [w for w in named if w in CHROME_WORDS and not (in_article and w == "header")]
+    if in_article:
+        # There a name has to be chrome as a whole, and the header holds the title.
+        parts = [[w.lower() for w in WORD.findall(name)] for name in (a.get("class", "") + " " + a.get("id", "")).split()]
+        words = [w for part in parts if all(w in CHROME_WORDS or w in LAYOUT_WORDS for w in part) for w in part if w in CHROME_WORDS and w != "header"]
+    else:
+        words = [w for w in named if w in CHROME_WORDS]
     if not words:
         return False
     first = words[0]
@@ -224,9 +233,10 @@ def in_order(root: Node) -> list[Node]:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Letters of text, of them in links, and commas, from the leaves up."""
+    """Letters of text, of them in links, commas and links, from the leaves up."""
     for node in reversed(nodes):
         node.size = node.linked = node.commas = 0
+        node.links = int(node.tag == "a")
         for k in node.kids:
             if isinstance(k, str):
                 node.size += len(k.strip())
@@ -234,6 +244,7 @@ def measure(nodes: list[Node]) -> None:
             else:
                 node.size += k.size
                 node.commas += k.commas
+                node.links += k.links
                 node.linked += k.size if k.tag == "a" else k.linked
 
 
@@ -263,9 +274,20 @@ def pass_points(nodes: list[Node]) -> None:
 
 def is_menu(node: Node) -> bool:
     """A list or block that is mostly several links."""
-    if node.tag not in ("ul", "ol", "div", "section", "dl", "table", "p") or link_density(node) <= 0.6:
+    return node.tag in ("ul", "ol", "div", "section", "dl", "table", "p") and node.links >= 3 and link_density(node) > 0.6
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ADJOINING = frozenset("ul ol dl table blockquote pre figure".split())
+
+
+def adjoins(node: Node, at_top: bool) -> bool:
+    """Whether a sibling next to the article's parts reads as one."""
+    if is_menu(node) or link_density(node) >= 0.3:
         return False
-    return sum(k.tag == "a" for k in in_order(node)) >= 3
+    if node.tag in ADJOINING:
+        return True
+    return node.tag in (("p",) if at_top else ("p", "div", "section")) and (node.size > 80 or not node.linked and text_of([node])[-1:] in (".", "!", "?"))
 
 
 def chosen(root: Node, nodes: list[Node]) -> list[Node]:
@@ -286,19 +308,28 @@ def chosen(root: Node, nodes: list[Node]) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * top)
-    out = []
-    for k in best.parent.kids:
-        if not isinstance(k, Node):
-            continue
-        prose = k.tag == "p" and (k.size > 80 and link_density(k) < 0.25 or k.size and not k.linked and text_of([k])[-1:] in ".!?")
-        if k is best or k.tag in CONTAINER and value(k) >= least and link_density(k) < 0.3 or prose and best.tag not in ("article", "main"):
-            out.append(k)
-    return out
+    kids = [k for k in best.parent.kids if isinstance(k, Node) and k.size]
+    core = [i for i, k in enumerate(kids) if k is best or k.tag in CONTAINER and value(k) >= least and link_density(k) < 0.3]
+    if best.tag in ("article", "main"):
+        return [kids[i] for i in core]
+    first, last, at_top = core[0], core[-1], best.parent.tag in ("body", "html")
+    while first and (kids[first - 1].tag in HEADINGS or adjoins(kids[first - 1], at_top)):
+        first -= 1
+    # Below, a heading belongs if what follows it does.
+    look = last + 1
+    while look < len(kids) and (kids[look].tag in HEADINGS or adjoins(kids[look], at_top)):
+        last = last if kids[look].tag in HEADINGS else look
+        look += 1
+    far = [i for i, k in enumerate(kids) if not first <= i <= last and k.tag == "p" and (k.size > 80 and link_density(k) < 0.25 or not k.linked and text_of([k])[-1:] in (".", "!", "?"))]
+    inside = [i for i in range(first, last + 1) if i in core or not is_menu(kids[i])]
+    return [kids[i] for i in sorted({*inside, *far})]
 
 
 def text_of(tops: list[Node]) -> str:
-    blocks: list[str] = []
+    """Blocks in page order. Lists of links stay between prose only, other blocks of links never."""
+    blocks: list[tuple[str, str]] = []
     run: list[str] = []
+    kind = ["prose"]
 
     def close() -> None:
         if run:
@@ -306,7 +337,7 @@ def text_of(tops: list[Node]) -> str:
             run.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                blocks.append(text)
+                blocks.append((kind[-1], text))
 
     for top in tops:
         todo: list[Node | str | None] = [top]
@@ -314,15 +345,25 @@ def text_of(tops: list[Node]) -> str:
             x = todo.pop()
             if x is None:
                 close()
+            elif x == "":
+                kind.pop()
             elif isinstance(x, str):
                 run.append(x)
-            elif x is top or not is_menu(x):
+            else:
+                menu = x is not top and kind[-1] != "menu" and is_menu(x)
+                if menu and x.tag in ("div", "section", "p"):
+                    continue
                 if x.tag in BLOCK:
                     close()
+                    if menu or x.tag in HEADINGS and kind[-1] != "menu":
+                        kind.append("menu" if menu else "heading")
+                        todo.append("")
                     todo.append(None)
-                todo += reversed(x.kids)
+                # An empty text would end a kind.
+                todo += [k for k in reversed(x.kids) if k != ""]
         close()
-    return " ".join(blocks)
+    prose = [i for i, (k, _) in enumerate(blocks) if k == "prose"]
+    return " ".join(t for i, (k, t) in enumerate(blocks) if k != "menu" or prose and prose[0] < i < prose[-1])
 
 
 def extract(page: str | None) -> str:

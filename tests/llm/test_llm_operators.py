@@ -251,6 +251,15 @@ PROSE = "A sentence of some length, with commas, and more words to make it count
         ("<article><p>caf&eacute;&nbsp; &#x41;&#66; x<b>y</b>z</p></article>", "café AB xyz"),
         ("<article><div class='entry-header'><h1>T</h1></div><p title=it's>one</p><p data-x=\"a>b\">two's</p><div class='comment-list'>no</div></article>", "T one two's"),
         ("<article><p>one<br>two</p><div>three</div></article", "one two three"),
+        # The headline beside the body, and lists, tables and a second body beside the first.
+        (f"<div class=page><h1>Title</h1><div class=body><p>{PROSE}</p><p>{PROSE}</p></div></div>", f"Title {PROSE}{PROSE}".strip()),
+        (f"<div class=page><div class=body><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><ul><li>one<li>two</ul><h2>More</h2><div class=body2><p>Short end.</p></div></div>", f"{PROSE * 3}one two More Short end."),
+        (f"<div><h2>A</h2><table><tr><td>1<td>2</table><div><p>{PROSE}</p><p>{PROSE}</p></div><h2>Nothing below</h2></div>", f"A 1 2 {PROSE * 2}".strip()),
+        # Linked sources inside an article, but no list of links at its edge or under its title.
+        (f"<article><p>{PROSE}</p><ul><li><a href=1>Source one</a><li><a href=2>Source two</a><li><a href=3>Source three</a></ul><p>{PROSE}</p></article>", f"{PROSE}Source one Source two Source three {PROSE}".strip()),
+        (f"<article><h1>T</h1><ul><li><a href=1>Part one</a><li><a href=2>Part two</a><li><a href=3>Part three</a></ul><p>{PROSE}</p><div><a href=1>Next page</a><a href=2>Last page</a><a href=3>All</a></div></article>", f"T {PROSE}".strip()),
+        # Chrome words inside an article count as whole names only.
+        (f"<article><p>{PROSE}</p><div class=social-history><p>Social text.</p></div><div class=share-buttons><p>Share it.</p></div><div id=related-posts><p>Another.</p></div></article>", f"{PROSE}Social text."),
     ],
 )
 def test_html_pages(page, text):
@@ -283,6 +292,13 @@ def drawn_page(rng):
     pick = lambda: "".join(rng.sample(noise, rng.randrange(len(noise))))
     tag = rng.choice(["article", "main", "div class=post-body", "div id=content", "section"])
     inner = "".join(f"<p>{b.replace('and', '<b>and</b>').replace(', ', ',&#32;' if rng.random() < 0.5 else ', ')}</p>\n" for b in blocks)
+    if rng.random() < 0.5:  # headings, lists and tables between the paragraphs, and the headline beside the body
+        extra = [("<h2>A heading</h2>", "A heading"), ("<ul><li>first<li>second</ul>", "first second"), ("<table><tr><td>a<td>b</tr></table>", "a b"), ("<blockquote>Said.</blockquote>", "Said."), ("<ol><li><a href=1>One source</a><li><a href=2>Two source</a><li><a href=3>Third</a></ol>", "One source Two source Third")]
+        k = rng.randrange(1, len(blocks))
+        mid = rng.sample(extra, rng.randrange(1, 4))
+        cut = inner.split("\n")
+        inner = "\n".join([*cut[:k], *(m for m, _ in mid), *cut[k:]])
+        blocks[k:k] = [t for _, t in mid]
     wrapped = f"<{tag}>{inner}</{tag.split()[0]}>"
     for _ in range(rng.randrange(3)):
         wrapped = f"<div class=wrap>{wrapped}</div>"
@@ -301,7 +317,7 @@ def test_html_takes_the_first_of_equal_containers():
     assert html_extract.extract(f"<body><section>{half}</section><section>{half}</section></body>").startswith(PROSE.strip())
 
 
-@pytest.mark.parametrize("unit", ["<div class=share>", "<b>", "<span>", "<ul><li>", "<div class='sidebar content'>"])
+@pytest.mark.parametrize("unit", ["<div class=share>", "<div><a href=1>x</a>", "<ul><li><a href=1>x</a><a>y</a>", "<b>", "<span>", "<ul><li>", "<div class='sidebar content'>"])
 @pytest.mark.parametrize("tail", ["<p>x</p>", "</i>", "<p>a", "<li>x", "<article>a</article>"])
 def test_html_takes_time_in_proportion(unit, tail):
     start = time.process_time()
@@ -309,6 +325,12 @@ def test_html_takes_time_in_proportion(unit, tail):
     assert time.process_time() - start < 20
 
 
+def test_html_of_a_hundred_thousand_levels_with_links():
+    start = time.process_time()
+    html_extract.extract("<div>" * 100_000 + "<a href=1>one</a><a href=2>two</a><a href=3>three</a>")
+    assert time.process_time() - start < 20
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (None, "u", "<p>" * 3000 + "deep", "z"), (3, "u", "<article>" + f"<p>{PROSE}</p>" * 3000, "z")], "page_id long, url string, html string, n_chars string")
     got = html_extract.main_text(pages).collect()
