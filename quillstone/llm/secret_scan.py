@@ -19,6 +19,7 @@ others stay, whatever their names but for _quill_*.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from re import _parser as sre
 
@@ -156,12 +157,22 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
+def holds_query(text: Column, rules=RULES) -> Column:
+    """Whether a text by itself holds all trigrams of some alternative: of a text that does not, no posting list can be intersected."""
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    each = [reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in sorted(grams)]) for q in queries_of(rules).values() for grams in q if grams]
+    return reduce(Column.__or__, each, F.lit(False))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """docs with _spans: array of (start, place in rules, end), sorted."""
     docs = docs.drop("_spans")
     found = candidates(docs, id_col, text_col, rules).select(F.col("_key").alias("_quill_key"), F.col("_kinds").alias("_quill_kinds"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_quill_key", row_key(id_col, text_col)).join(found, "_quill_key", "left").drop("_quill_key")
+    # Only texts that some query can name are shuffled to meet the candidates; the others stay where they lie.
+    maybe = docs.withColumn("_quill_maybe", holds_query(F.col(text_col), rules))
+    met = maybe.filter("_quill_maybe").withColumn("_quill_key", row_key(id_col, text_col)).join(found, "_quill_key", "left").drop("_quill_key")
+    rows = met.unionByName(maybe.filter("NOT _quill_maybe").withColumn("_quill_kinds", F.lit(None).cast("array<string>"))).drop("_quill_maybe")
     none = F.array().cast("array<struct<start:int,place:int,end:int>>")
     queries = queries_of(rules)
     parts = []
