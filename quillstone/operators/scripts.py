@@ -1,4 +1,8 @@
-"""JavaScript and TypeScript files as symbols and edges, by patterns on their lines and the depth of their braces."""
+"""JavaScript and TypeScript files as symbols and edges, by patterns on their lines and the depth of their braces.
+
+Strings, templates, comments and regular expressions are found over the whole file first, from its beginning on, so
+those that go over lines hold no definition, call or brace; a template counts as one, with the code that it quotes.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators.lines import numbered_lines, points_in_ranges
+from quillstone.operators.lines import LINE_END, points_in_ranges
 from quillstone.operators.sweep import innermost
+from quillstone.storage import kept
 
 NAME = r"[A-Za-z_$][\w$]*"
 HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
@@ -17,8 +22,11 @@ CLASS = rf"{HEAD}(?:class|interface|type|enum)\s+({NAME})"
 METHOD = rf"^\s+(?:(?:public|private|protected|static|async|override|get|set)\s+)*({NAME})\s*\([^;{{}}]*\)\s*(?::[^={{]+)?\{{"
 IMPORT = r"""^\s*(?:import|export)\b.*?\bfrom\s+['"]([^'"]+)['"]"""
 CALL = rf"(?<![\w$.])((?:{NAME}\.)*{NAME})\s*\("
-#: Text and comments in which braces and calls do not count.
-QUOTED = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|//.*$|/\*.*?\*/"""
+#: What holds no code: strings, templates, comments, and regular expressions where an operand may stand. Possessive, so that nothing is tried twice.
+QUOTED = (
+    r'''(?s)"[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+"?|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?|//[^\r\n]*+|/\*(?:(?!\*/).)*+(?:\*/)?'''
+    r"""|(?<=(?:[(,=:\[!&|?{};]|\breturn)[ \t]{0,4})/(?![*/])[^/\\\r\n\[]*+(?:(?:\\.|\[[^\]\\\r\n]*+(?:\\.[^\]\\\r\n]*+)*+\])[^/\\\r\n\[]*+)*+/[a-z]*"""
+)
 #: Words before a parenthesis that name no function.
 NOT_CALLED = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "constructor", "import", "require")
 
@@ -28,10 +36,18 @@ def module(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(T.module_path(path), r"(^|\.)index$", ""), "^$", "index")
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """Lines of scripts with the depth of braces before and after each."""
-    rows = numbered_lines(files.filter(F.col("language").isin("javascript", "typescript")).select("path", "content"))
-    rows = rows.withColumn("code", F.regexp_replace("line", QUOTED, ""))
+def code_of(content: Column) -> Column:
+    """The file with a space and the line ends of each string, template, comment and regular expression in its place."""
+    blank = F.transform(F.regexp_extract_all(content, F.lit(QUOTED), F.lit(0)), lambda t: F.concat(F.lit(" "), F.regexp_replace(t, r"[^\r\n]+", "")))
+    pieces = F.zip_with(F.split(content, QUOTED), blank, lambda code, gap: F.concat(code, F.coalesce(gap, F.lit(""))))
+    return F.array_join(pieces, "")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(path, number, line, code, opens, before, after): lines of scripts, what of each is code, and the depth of braces before and after it."""
+    rows = files.filter(F.col("language").isin("javascript", "typescript")).select("path", "content", code_of(F.col("content")).alias("_code"))
+    both = F.arrays_zip(F.split("content", LINE_END).alias("line"), F.split("_code", LINE_END).alias("code"))
+    rows = rows.select("path", F.posexplode(both).alias("_at", "_x")).select("path", (F.col("_at") + 1).alias("number"), "_x.line", "_x.code")
     count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c)))
     rows = rows.withColumn("opens", count("{")).withColumn("_turn", count("{") - count("}"))
     return rows.withColumn("after", F.sum("_turn").over(Window.partitionBy("path").orderBy("number"))).withColumn("before", F.col("after") - F.col("_turn")).drop("_turn")
@@ -42,8 +58,12 @@ def definitions(files: DataFrame) -> DataFrame:
 
     A definition ends where the braces are as deep again as before it: closing lines are dealt by the levels that they close.
     """
-    rows = _lines(files)
-    pick = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
+    return definitions_in(lines_of(files))
+
+
+def definitions_in(rows: DataFrame) -> DataFrame:
+    """definitions of lines that lines_of gave. [I27]"""
+    pick = lambda p: F.nullif(F.regexp_extract("code", p, 1), F.lit(""))
     method = F.when(~pick(METHOD).isin(*NOT_CALLED) | (pick(METHOD) == "constructor"), pick(METHOD))
     found = rows.withColumn("name", F.coalesce(pick(CLASS), pick(FUNCTION), pick(BOUND), method)).filter("name IS NOT NULL")
     kind = F.when(pick(CLASS).isNotNull(), "class").when(F.coalesce(pick(FUNCTION), pick(BOUND)).isNotNull(), "function").otherwise("method")
@@ -73,16 +93,24 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, source_qualified_name, target): what each script imports. [I5]"""
-    rows = numbered_lines(files.filter(F.col("language").isin("javascript", "typescript")).select("path", "content"))
-    target = F.regexp_extract("line", IMPORT, 1)
+    return imports_in(lines_of(files))
+
+
+def imports_in(rows: DataFrame) -> DataFrame:
+    """A line imports if it begins so in code; the module's name is a string. [I5]"""
+    target = F.when(F.col("code").rlike(r"^\s*(?:import|export)\b"), F.regexp_extract("line", IMPORT, 1))
     return rows.select("path", module(F.col("path")).alias("source_qualified_name"), target.alias("target")).filter("target <> ''").distinct()
 
 
 def calls(files: DataFrame) -> DataFrame:
     """(path, source_qualified_name, target): calls by their innermost definition, else by the module; this is the owner's class. [I5]"""
-    defs = definitions(files)
+    rows = kept(lines_of(files), "lines")
+    return calls_in(rows, kept(definitions_in(rows), "definitions"))
+
+
+def calls_in(rows: DataFrame, defs: DataFrame) -> DataFrame:
     named = F.explode(F.regexp_extract_all("code", F.lit(CALL), F.lit(1)))
-    found = _lines(files).select("path", F.col("number").alias("at"), named.alias("target")).filter(~F.substring_index("target", ".", -1).isin(*NOT_CALLED)).distinct()
+    found = rows.select("path", F.col("number").alias("at"), named.alias("target")).filter(~F.substring_index("target", ".", -1).isin(*NOT_CALLED)).distinct()
     # A definition's own name before its parameters is no call.
     found = found.join(defs.select("path", F.col("start_line").alias("at"), F.col("name").alias("target")), ["path", "at", "target"], "left_anti")
     ranges = defs.select("path", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"), F.col("qualified_name").alias("range_id"))
@@ -95,6 +123,7 @@ def calls(files: DataFrame) -> DataFrame:
 
 
 def edges(files: DataFrame) -> DataFrame:
-    """(path, source_qualified_name, target_qualified_name, kind): imports and calls, each once. [I5]"""
+    """(path, source_qualified_name, target_qualified_name, kind): imports and calls, each once; lines and definitions are made once. [I5]"""
+    rows = kept(lines_of(files), "lines")
     tagged = lambda df, kind: df.select("path", "source_qualified_name", F.col("target").alias("target_qualified_name"), F.lit(kind).alias("kind"))
-    return tagged(imports(files), "imports").unionByName(tagged(calls(files), "calls"))
+    return tagged(imports_in(rows), "imports").unionByName(tagged(calls_in(rows, kept(definitions_in(rows), "definitions")), "calls"))
