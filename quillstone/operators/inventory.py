@@ -10,7 +10,7 @@ import importlib
 ROWS: dict[str, str] = {
     # scans, sources, sinks
     "S1": "sources.files:listing", "S2": "sources.files:content_at", "S5": "operators.index:resolve_revisions", "S3": "sources.patches:parse_patches", "S4": "sources.patches:parse_patches", "S6": "functions.text:commit_subject", "S7": "operators.lines:grep",
-    "S8": "operators.lines:parse_grep", "S9": "sources.patches:parse_patches", "S10": "functions.text:change_type", "S11": "functions.text:language_of", "S12": "sources.files:eval_cases", "S13": "sources.files:log_tail",
+    "S8": "operators.lines:parse_grep", "S9": "sources.patches:parse_patches", "S10": "functions.text:change_type", "S11": "functions.text:language_of", "S12": "sources.files:eval_cases", "S13": "sources.log_blocks:tail", "S14": "sources.log_blocks:lines_of",
     "S15": "operators.filters:point_lookup", "S16": "sources.files:content_at", "S17": "sources.files:append", "S18": "sources.stored:StoredTable", "S19": "sources.stored:StoredTable", "S20": "operators.name_index:NameIndex",
     "S21": "sources.stored:StoredTable", "S22": "sources.stored:cascade", "S23": "sources.files:as_markdown", "S24": "sources.files:cached", "S26": "operators.filters:point_lookup", "S28": "sources.stored:cascade",
     "S29": "sources.stored:StoredTable", "S31": "sources.files:parse_log", "S32": "sources.files:cached",
@@ -59,7 +59,7 @@ ROWS: dict[str, str] = {
 }
 
 OUTSIDE: dict[str, str] = {
-    "S14": "Spark splits text files itself", "S25": "a network surface over the functions here", "S27": "adaptive execution has run-time statistics", "S30": "runs a program",
+    "S25": "a network surface over the functions here", "S27": "adaptive execution has run-time statistics", "S30": "runs a program",
     "I12b": "the table form I12 is the canonical one", "I14": "batching of transactions has no counterpart", 
     "D24": "calls a model; its failures are rows of D13", "D25": "calls a model; its failures are rows of D13", "D26": "composition of the functions of operators.review", "X6": "a lock; one query writes a stream", "X8": "a retry timer", "X9": "partial answers of a model",
 }

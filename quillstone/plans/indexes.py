@@ -12,6 +12,7 @@ from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
 from quillstone.plans.retrieval import LEX, NEAR, TERMS, VECTOR, ranked_sql
 from quillstone.session import table
+from quillstone.sources import log_blocks
 from quillstone.sources.stored import StoredTable, cascade
 from quillstone.storage import index_path, kept, shared_dir
 from quillstone.streaming import tail
@@ -164,3 +165,15 @@ def _(spark, sf):
     tail.follow(tail.live_tail(stream, history), f"{folder}/out", f"{folder}/check").awaitTermination()
     live = spark.read.parquet(f"{folder}/out").select(F.col("run_id").cast(at.schema["run_id"].dataType).alias("run_id"), "number", "kind", "gap")
     return history.withColumn("gap", F.lit(False)).unionByName(live)
+
+
+@query("s13_s14_file_tail", "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100")
+def _(spark, sf):
+    """Events written as a log of several files; its last errors are read from the end."""
+    e = table(spark, sf, "events").orderBy("event_id")
+    level = F.when(F.col("event_type") == "error", "error").otherwise("info")
+    line = F.to_json(F.struct(F.col("ts").cast("string").alias("timestamp"), level.alias("level"), F.lit("events").alias("logger"), F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id")))
+    path = index_path(spark, "log", sf)
+    e.select(line.alias("value")).write.mode("overwrite").text(path)
+    found = log_blocks.tail(spark, path, 100, min_level="error", block=1 << 16).rows
+    return found.select(*[F.element_at("fields", c).cast("long").alias(c) for c in ("event_id", "user_id")])
