@@ -412,16 +412,6 @@ def test_trigram_queries():
     assert q["access"] == [{"aki", "kia"}] and q["hex"] == []
 
 
-def test_only_texts_that_some_query_names_are_shuffled(spark, rows):
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    moved = {r["doc_id"] for r in docs.filter(secret_scan.holds_query(F.col("text"))).collect()}
-    queries_ = [q for q in secret_scan.queries_of().values() if q]
-    assert moved == {i for i, t, _ in rows if any(all(g in (t or "").translate(LOW) for g in grams) for q in queries_ for grams in q)}
-    assert 0 < len(moved) < len(rows) / 2
-    plan = secret_scan.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Union") == 1 and plan.count("Join LeftOuter") == 1
-
-
 def test_secret_odd_rows(spark):
     docs = wide(spark)
     assert secret_scan.scan(docs).count() == len(ODD) and secret_scan.scan(empty(spark)).count() == 0
