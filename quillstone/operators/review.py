@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import constants as K
 from quillstone.functions import text as T
 from quillstone.operators.snippets import first_sources
+from quillstone.storage import kept
 
 AGENTIC_CHARS = 12_000
 
@@ -20,6 +21,8 @@ def collect_evidence(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     """
     parts = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("code_fragment") != "", F.col("code_fragment")))))
     asked = drafts.select("draft_id", "file_path", F.explode(F.array_distinct(F.transform(parts, T.normal_space))).alias("snippet")).filter("snippet <> ''")
+    # Read twice: by the match and by the drafts that get its result.
+    asked = kept(asked, "asked")
     held = sources.select("file_path", "source_no", "kind", T.normal_space(F.col("text")).alias("text"))
     found = first_sources(asked, held)
     return asked.join(found, ["file_path", "snippet"]).select("draft_id", "snippet", "source_no", "kind")
