@@ -89,8 +89,8 @@ def read_file(chunks: DataFrame, files: DataFrame, path: str) -> DataFrame:
     return fragments(whole.withColumnRenamed("first_line", "start_line").withColumnRenamed("last_line", "end_line"), "file", F.col("path"))
 
 
-def find_symbol(symbols: DataFrame, query: str, k: int = 20) -> DataFrame:
-    """[R12, R22]"""
+def find_symbol(symbols: DataFrame, query: str, k: int | None = 20) -> DataFrame:
+    """The k best symbols by score; all hits without a k. [R12, R22]"""
     named = symbols.withColumn("_text", T.search_text(F.col("qualified_name"), F.col("signature"), F.col("docstring")))
     exact, _, split = search.query_stages(query)
     return named.drop("_text").join(search.by_staged_terms(named, "symbol_id", "_text", exact, None, split, k), "symbol_id")

@@ -71,8 +71,9 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def by_staged_terms(docs: DataFrame, id_col: str, text_col: str, stages: list[list[str]], substring: str | None, split: list[str], k: int) -> DataFrame:
-    """(id, stage, score): the first stage with any hit wins: exact stages, then a substring, then split identifiers. [R6, R12]
+def by_staged_terms(docs: DataFrame, id_col: str, text_col: str, stages: list[list[str]], substring: str | None, split: list[str], k: int | None) -> DataFrame:
+    """(id, stage, score): the first stage with any hit wins: exact stages, then a substring, then split identifiers; all its hits
+    without a k. [R6, R12]
 
     All stages are judged in one pass; the least stage of the corpus is kept by a one-row aggregate.
     """
@@ -98,7 +99,9 @@ def by_staged_terms(docs: DataFrame, id_col: str, text_col: str, stages: list[li
     rows = held.select(id_col, "_len", F.explode(F.array_compact(F.array(*scored))).alias("x")).select(id_col, "_len", "x.*")
     first = rows.agg(F.min("stage").alias("_first"))
     kept = rows.join(F.broadcast(first), F.col("stage") == F.col("_first"))
-    return kept.orderBy(F.desc("score"), F.when(F.col("score") == 0, F.col("_len")), id_col).limit(k).select(id_col, "stage", "score")
+    if k is not None:
+        kept = kept.orderBy(F.desc("score"), F.when(F.col("score") == 0, F.col("_len")), id_col).limit(k)
+    return kept.select(id_col, "stage", "score")
 
 
 def query_stages(query: str) -> tuple[list[list[str]], str | None, list[str]]:
