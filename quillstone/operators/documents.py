@@ -10,10 +10,10 @@ from quillstone.functions import text as T
 HEADING, PASSAGE_CHARS, PASSAGES = 90, 1200, 4
 
 
-def passages(docs: DataFrame, id_col: str, text_col: str, html: bool = False) -> DataFrame:
-    """(id, number, passage, next): numbered from one. [R31, R32]"""
+def passages(docs: DataFrame, id_col: str, text_col: str, html: bool = False, listed: bool = False) -> DataFrame:
+    """(id, number, passage, next): numbered from one; listed as in T.decoded. [R31, R32]"""
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(id_col, T.split_passages(T.plain_text(raw) if html else raw).alias("_p"))
+    split = docs.select(id_col, T.split_passages(T.plain_text(raw, listed) if html else raw).alias("_p"))
     after = F.try_element_at("_p", F.col("_at") + 2)
     return split.select(id_col, "_p", F.posexplode("_p").alias("_at", "passage")).select(id_col, (F.col("_at") + 1).alias("number"), "passage", after.alias("next"))
 
