@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from quillstone.operators import lines
 from quillstone.plans import catalogue
 from tools.compare import canon
 
@@ -42,3 +44,16 @@ def test_passages_decode_the_references_of_their_sql(spark, tmp_path):
 
 def test_selected_passages_decode_the_references_of_their_sql(spark, tmp_path):
     assert len(same_as_sql(spark, tmp_path, "r33_r34_select_passages", pages=spark.createDataFrame([r for r in CUT if r[0] != 4], PAGES))) > 2
+
+
+def test_equal_ranges_are_compared_as_packs(spark, monkeypatch):
+    """16 million pairs of rows of 20 x 20 ranges: rows of equal ranges meet as packs, however often a row is repeated."""
+    monkeypatch.setattr(lines, "PACK", 64)
+    rows = lambda n, kinds, at: spark.range(n).select(F.lit("f").alias("k"), (F.col("id") % 20).cast("int").alias(f"{at}_start"), (F.col("id") % 20 + 5).cast("int").alias(f"{at}_end"), (F.col("id") % kinds).alias(at))
+    left, right = rows(4000, 4000, "l"), rows(4000, 20, "r")
+    got = lines.overlap_join(left, right, "k", bin_lines=4)
+    assert got.columns == ["k", "l_start", "l_end", "l", "r_start", "r_end", "r"]
+    want = sum(200 * 200 for a in range(20) for b in range(20) if a <= b + 5 and a + 5 >= b)
+    assert got.count() == want and got.groupBy("l", "r").count().agg(F.min("count"), F.max("count")).first()[:] == (200, 200)
+    sizes = lines._packed(right, "k", "r_start", "r_end", "_r").select(F.size("_r").alias("n")).agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    assert sizes[0] < 200 and sizes[1] <= 4 * 64 and sizes[2] == 4000
