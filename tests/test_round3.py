@@ -57,3 +57,14 @@ def test_equal_ranges_are_compared_as_packs(spark, monkeypatch):
     assert got.count() == want and got.groupBy("l", "r").count().agg(F.min("count"), F.max("count")).first()[:] == (200, 200)
     sizes = lines._packed(right, "k", "r_start", "r_end", "_r").select(F.size("_r").alias("n")).agg(F.count("*"), F.max("n"), F.sum("n")).first()
     assert sizes[0] < 200 and sizes[1] <= 4 * 64 and sizes[2] == 4000
+
+
+def test_points_meet_distinct_ranges(spark):
+    """40 000 points beside 40 000 copies of one range of their bin: 1.6e9 comparisons where copies are joined."""
+    n = 40_000
+    ranges = spark.range(n).select(F.lit("f").alias("file"), F.lit(5).alias("r_start"), F.lit(6).alias("r_end"))
+    points = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("point_id"), F.when(F.col("id") % 2 == 0, 6).otherwise(7).alias("at"))
+    found = lines.contained(points, ranges, "file")
+    assert found.agg(F.count("*"), F.max("at")).first()[:] == (n // 2, 6)
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in joined[joined.index("Join LeftSemi") :]
