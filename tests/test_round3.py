@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillstone.operators import lines
-from quillstone.plans import catalogue
+from quillstone.plans import catalogue, dataflow
 from tools.compare import canon
 
 
@@ -68,3 +68,8 @@ def test_points_meet_distinct_ranges(spark):
     assert found.agg(F.count("*"), F.max("at")).first()[:] == (n // 2, 6)
     joined = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" in joined[joined.index("Join LeftSemi") :]
+
+
+def test_parsed_files_are_dealt_to_all_cores(spark, sf):
+    """The part table is one split, whatever its files take to parse."""
+    assert dataflow.code(spark, sf, dataflow.PYTHON, "python", ".py").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
