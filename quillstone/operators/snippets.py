@@ -1,20 +1,19 @@
 """Which of very many snippets stand in which of very many texts of the same file. [J16, D10]
 
-Multi-pattern matching by windows of fixed length: a snippet is anchored at the least-hashed gram of its first L
-characters, L being the longest of SIZES that it reaches. A text has such an anchor for each window of L characters, a
-few per window, so where the snippet stands the text has the same anchor at the same offset. Anchors are rolling hashes
-and meet by an equal join; a bit set of the snippets' anchors, of bounded size, keeps the others from being shuffled. What
-stands around a common anchor is then compared by a digest of 128 bits of the whole stretch, once per length
-asked for, so the work grows with texts and snippets and not with their product.
+A text looks up its own substrings: where the first P characters of some snippet stand, P being the largest power of two that the
+snippet reaches, the substrings of all lengths asked for in that class are hashed (a difference of running sums) and kept if
+they may be a snippet. Both tests are bit sets of bounded size, and only let pass too much. Of each
+substring a task passes on only what stands in an earlier source than all it has passed on before, so neither places nor
+pairs of texts and snippets are listed; the substrings themselves meet the snippets by an equal join, which is exact.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +26,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bits of the set of anchors: 8 MB at the most, however many there are; a full set only thins less.
 MOST_BITS = 26
+#: Substrings whose first sources a task remembers.
+REMEMBERED = 200_000
+#: Characters of texts that are searched at once.
+TOGETHER = 1 << 19
 
 
 def codes(text: str) -> np.ndarray:
@@ -42,13 +45,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(max(0, n - 1), base, np.uint64)], dtype=np.uint64)[:n]
 
 
+def running_sums(text: np.ndarray) -> np.ndarray:
+    return np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(INVERSE, len(text)), dtype=np.uint64)]
+
+
+def hashes_at(sums: np.ndarray, scale: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of that many characters at each place; scale: powers of BASE."""
+    return scrambled((sums[at + size] - sums[at]) * scale[at])
+
+
 def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     """Rolling hash of every run of that many characters, from one running sum."""
-    n = len(text)
-    if n < gram:
-        return np.empty(0, np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(INVERSE, n), dtype=np.uint64)]
-    return scrambled((sums[gram:] - sums[:-gram]) * powers(BASE, n - gram + 1))
+    return hashes_at(running_sums(text), powers(BASE, len(text)), np.arange(len(text) - gram + 1), gram) if len(text) >= gram else np.empty(0, np.uint64)
 
 
 def anchors(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,25 +75,22 @@ def keys_of(file: np.ndarray, size: int | np.ndarray, h: np.ndarray) -> np.ndarr
     return scrambled(file.astype(np.int64).view(np.uint64) * np.uint64(31) + h + np.asarray(size).astype(np.uint64) * BASE)
 
 
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def prefix_size(length: int) -> int:
+    return 1 << (length.bit_length() - 1)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Snippets -> the keys of their first characters and of the whole."""
     for batch in batches:
         texts = batch.column("snippet").to_pylist()
-        sizes, hashes, offsets = [], [], []
-        for t in texts:
-            size = max(s for s in SIZES if s <= len(t))
-            at, h = anchors(codes(t[:size]), size)
-            sizes.append(size)
-            hashes.append(h[0])
-            offsets.append(int(at[0]))
-        h = np.array(hashes, np.uint64)
-        key = keys_of(batch.column("file").to_numpy(), np.array(sizes, np.int64), h)
+        files = batch.column("file").to_numpy()
+        whole = np.array([gram_hashes(codes(t), len(t))[0] for t in texts], np.uint64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        first = np.array([prefix_size(n) for n in sizes.tolist()], np.int64)
+        begun = np.array([gram_hashes(codes(t[:n]), n)[0] for t, n in zip(texts, first.tolist(), strict=True)], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("file_path"), batch.column("snippet"), pa.array(key.view(np.int64)), pa.array(offsets, pa.int32()), pa.array([len(t) for t in texts], pa.int32()), pa.array([digest(t) for t in texts], pa.binary()), pa.array(sizes, pa.int32())],
-            ["file_path", "snippet", "key", "offset", "length", "digest", "size"],
+            [batch.column("file_path"), batch.column("snippet"), pa.array(keys_of(files, first, begun).view(np.int64)), pa.array(keys_of(files, sizes, whole).view(np.int64)), pa.array(sizes.astype(np.int32))],
+            ["file_path", "snippet", "prefix", "key", "length"],
         )
 
 
@@ -114,37 +119,69 @@ def bit_set(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
     return test
 
 
-def _places(sizes: list[int], wanted: Callable[[np.ndarray], np.ndarray]):
+def _found(lengths: list[int], begins: Callable[[np.ndarray], np.ndarray], wanted: Callable[[np.ndarray], np.ndarray]):
+    """Texts -> (file_path, snippet, source_no, kind): their substrings that may be snippets, of each the sources that come before all earlier rows of the task."""
+    classes: dict[int, list[int]] = {}
+    for n in lengths:
+        classes.setdefault(prefix_size(n), []).append(n)
+
+    def substrings(files: list[int], texts: list[str]) -> Iterator[tuple[int, set[str]]]:
+        """Row and distinct substrings of each text that has any; all texts are one array, in which no run crosses an end."""
+        text = codes("".join(texts))
+        lens = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lens)
+        row = np.repeat(np.arange(len(texts)), lens)
+        end, own = ends[row], np.array(files, np.int64)
+        sums, scale = running_sums(text), powers(BASE, len(text))
+        hits: list[tuple[np.ndarray, ...]] = []
+        for size, asked in classes.items():
+            at = np.flatnonzero(np.arange(len(text)) + size <= end)
+            at = at[begins(keys_of(own[row[at]], size, hashes_at(sums, scale, at, size)))]
+            for n in asked:
+                fit = at[at + n <= end[at]]
+                fit = fit[wanted(keys_of(own[row[fit]], n, hashes_at(sums, scale, fit, n)))]
+                if n <= 2:  # one or two characters stand at very many places, and they and their row are one number
+                    fit = fit[np.unique(row[fit] << 42 | text[fit].astype(np.int64) << 21 | text[fit + n - 1], return_index=True)[1]]
+                hits.append((row[fit], fit - (ends - lens)[row[fit]], np.full(len(fit), n)))
+        rows, at, n = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64),) * 3
+        order = np.argsort(rows, kind="stable")
+        rows, at, stop = rows[order], at[order].tolist(), (at + n)[order].tolist()
+        cuts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist() + [len(rows)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            t = texts[rows[a]]
+            yield int(rows[a]), {t[x:y] for x, y in zip(at[a:b], stop[a:b], strict=True)}
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Texts of about TOGETHER characters."""
+        group = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy()) // TOGETHER
+        cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist() + [batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, keys, places = [], [], []
-            for i, (file, t) in enumerate(zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                text = codes(t)
-                for size in sizes:
-                    at, h = anchors(text, size)
-                    key = keys_of(np.array([file], np.int64), size, h)
-                    hit = wanted(key)
-                    rows.append(np.full(int(hit.sum()), i))
-                    keys.append(key[hit])
-                    places.append(at[hit])
-            if rows:
-                row = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column("file_path").take(row), batch.column("source_no").take(row), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], ["file_path", "source_no", "key", "place"])
+        first: dict[tuple, tuple] = {}
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            paths, files, nos, kinds, texts = (batch.column(c).to_pylist() for c in ("file_path", "file", "source_no", "kind", "text"))
+            at, fresh = [], []
+            for i, found in substrings(files, texts):
+                path = paths[i]
+                # Nulls stand before all values, as in Spark's order.
+                place = ((nos[i] is not None, nos[i]), (kinds[i] is not None, kinds[i]))
+                for x in found:
+                    seen = first.get((path, x))
+                    if seen is None or place < seen:
+                        first[path, x] = place
+                        at.append(i)
+                        fresh.append(x)
+                # Forgetting costs repeats only.
+                if len(first) > REMEMBERED:
+                    first.clear()
+            row = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("file_path").take(row), pa.array(fresh, pa.string()), batch.column("source_no").take(row), batch.column("kind").take(row)], ["file_path", "snippet", "source_no", "kind"])
 
     return run
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, digests = [], []
-        for i, (t, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-            own = {digest(t[s["start"] : s["start"] + s["length"]]) for s in spans if 0 <= s["start"] <= len(t) - s["length"]}
-            rows += [i] * len(own)
-            digests += own
-        row = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("file_path", "source_no", "kind")), pa.array(digests, pa.binary())], ["file_path", "source_no", "kind", "digest"])
-
-
 def first_sources(asked: DataFrame, sources: DataFrame) -> DataFrame:
     """asked(file_path, snippet), sources(file_path, source_no, kind, text) -> (file_path, snippet, source_no, kind).
 
@@ -154,14 +191,10 @@ def first_sources(asked: DataFrame, sources: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in sources.schema}
     file = F.xxhash64("file_path").alias("file")
     distinct = asked.filter("snippet <> '' AND file_path IS NOT NULL").select("file_path", "snippet").distinct().select("file_path", "snippet", file)
-    snippets = kept(distinct.mapInArrow(_anchored, f"file_path {kinds['file_path']}, snippet string, key long, offset int, length int, digest binary, size int"), "snippets")
-    sizes = sorted(r["size"] for r in snippets.select("size").distinct().collect())
-    held = sources.filter("text IS NOT NULL AND file_path IS NOT NULL").select("file_path", "source_no", "kind", "text")
-    wanted = bit_set(snippets, "key")
-    places = held.select("file_path", "source_no", "text", file).mapInArrow(_places(sizes, wanted), f"file_path {kinds['file_path']}, source_no {kinds['source_no']}, key long, place long")
-    spans = snippets.groupBy("file_path", "key").agg(F.collect_set(F.struct("offset", "length")).alias("_o"))
-    near = places.join(spans, ["file_path", "key"]).select("file_path", "source_no", "place", F.explode("_o").alias("_o"))
-    near = near.groupBy("file_path", "source_no").agg(F.collect_set(F.struct((F.col("place") - F.col("_o.offset")).alias("start"), F.col("_o.length").alias("length"))).alias("spans"))
-    found = held.join(near, ["file_path", "source_no"]).mapInArrow(_compared, f"file_path {kinds['file_path']}, source_no {kinds['source_no']}, kind {kinds['kind']}, digest binary")
-    first = found.groupBy("file_path", "digest").agg(F.min(F.struct("source_no", "kind")).alias("_s"))
-    return snippets.join(first, ["file_path", "digest"]).select("file_path", "snippet", F.col("_s.source_no").alias("source_no"), F.col("_s.kind").alias("kind"))
+    snippets = kept(distinct.mapInArrow(_hashed, f"file_path {kinds['file_path']}, snippet string, prefix long, key long, length int"), "snippets")
+    lengths = sorted(r["length"] for r in snippets.select("length").distinct().collect())
+    held = sources.filter("text IS NOT NULL AND file_path IS NOT NULL").select("file_path", file, "source_no", "kind", "text")
+    run = _found(lengths, bit_set(snippets, "prefix"), bit_set(snippets, "key"))
+    found = held.mapInArrow(run, f"file_path {kinds['file_path']}, snippet string, source_no {kinds['source_no']}, kind {kinds['kind']}")
+    first = found.groupBy("file_path", "snippet").agg(F.min(F.struct("source_no", "kind")).alias("_s"))
+    return snippets.select("file_path", "snippet").join(first, ["file_path", "snippet"]).select("file_path", "snippet", F.col("_s.source_no").alias("source_no"), F.col("_s.kind").alias("kind"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import lines
+from quillstone.operators import lines, snippets
 from quillstone.plans import catalogue, dataflow
 from tools.compare import canon
 
@@ -73,3 +75,13 @@ def test_points_meet_distinct_ranges(spark):
 def test_parsed_files_are_dealt_to_all_cores(spark, sf):
     """The part table is one split, whatever its files take to parse."""
     assert dataflow.code(spark, sf, dataflow.PYTHON, "python", ".py").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_task_tells_each_snippet_once():
+    """Two texts of 300 000 characters hold the snippets at nearly every place; the later text brings nothing new."""
+    every = lambda keys: np.ones(len(keys), bool)
+    text = "ab" * 150_000
+    batch = pa.RecordBatch.from_pydict({"file_path": ["f"] * 3, "file": [1] * 3, "source_no": [2, 1, 3], "kind": ["k"] * 3, "text": [text, text + "c", text]})
+    out = [r for b in snippets._found([1, 2, 3], every, every)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["snippet"], r["source_no"]) for r in out if r["source_no"] == 2) == [("a", 2), ("ab", 2), ("aba", 2), ("b", 2), ("ba", 2), ("bab", 2)]
+    assert sorted((r["snippet"], r["source_no"]) for r in out if r["source_no"] != 2) == [(s, 1) for s in ("a", "ab", "aba", "abc", "b", "ba", "bab", "bc", "c")]
