@@ -27,6 +27,10 @@ from quillstone.storage import kept, read_foldered, write_foldered
 
 #: Vectors drawn for the centroids, centroids at most, and lists that a search reads by itself.
 SAMPLE, CENTROIDS, PROBES = 20_000, 1024, 8
+#: Queries and vectors that are scored against each other at once.
+PACK, PIECE = 256, 512
+#: Scores that differ by more do so after rounding to six places, and in that order.
+SLACK = 2e-6
 
 
 def build(vectors: DataFrame, path: str, id_col: str, vector_col: str, sample: int = SAMPLE, lists: int | None = None, seed: int = 7) -> None:
@@ -56,6 +60,51 @@ def build(vectors: DataFrame, path: str, id_col: str, vector_col: str, sample: i
     centroids.join(radii, "list").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
+def one_list(column: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (list, id, vector) -> arrays of at most PIECE rows of one list."""
+    for batch in batches:
+        lists = batch.column("list").to_numpy()
+        for c in np.unique(lists):
+            who = np.flatnonzero(lists == c)
+            for a in range(0, len(who), PIECE):
+                part = pa.array(who[a : a + PIECE])
+                yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), *(one_list(batch.column(x).take(part)) for x in ("id", "vector"))], ["list", "id", "v"])
+
+
+def _scored(width: int, k: int):
+    """Packs of queries beside pieces of their list -> of each query the rows of the piece that can be among its k best.
+
+    A product of matrices finds them; their scores are then summed from left to right, as the columns of search.cosine are.
+    """
+    norms = lambda x: np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = lambda name: batch.column(name)[i].values  # noqa: B023, E731
+                q_ids, ids = cell("q_id"), cell("id").to_pylist()
+                q, v = (np.asarray(cell(c).flatten(), np.float64).reshape(-1, width) for c in ("q", "v"))
+                nq, nv = norms(q), norms(v)
+                near = q @ v.T / (nq[:, None] * nv[None, :])
+                kth = np.partition(near, len(ids) - k, axis=1)[:, [len(ids) - k]] if len(ids) > k else np.full((len(q), 1), -2.0)
+                # Written so that scores that are no numbers stay: they stand before all others.
+                row, at = np.nonzero(~(near < np.maximum(kth, cell("least").to_numpy()[:, None]) - SLACK))
+                score = np.cumsum(v[at] * q[row], axis=1)[:, -1] / (nv[at] * nq[row])
+                if len(row) > 2 * k * len(q):  # of equal scores the k first ids
+                    order = sorted(range(len(row)), key=lambda j: (row[j], score[j], ids[at[j]] is not None, ids[at[j]]))  # noqa: B023
+                    new = np.r_[True, (np.diff(row[order]) != 0) | (np.diff(score[order]) != 0)]
+                    run_at = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                    kept_ = np.array(order)[run_at < k]
+                    row, at, score = row[kept_], at[kept_], score[kept_]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), cell("id").take(pa.array(at)), pa.array(score)], ["query_id", "id", "score"])
+
+    return run
+
+
 class VectorIndex:
     """A built index, opened for searches."""
 
@@ -107,7 +156,7 @@ class VectorIndex:
         good = all_queries.filter((F.size("query") == width) & (norm(F.col("query")) > 0))
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(a, 2048) for whole in batches for a in range(0, whole.num_rows, 2048)):
                 q = np.asarray(batch.column("query").flatten(), float).reshape(-1, width)
                 least = np.asarray(batch.column("least"))
                 angle = np.arccos(np.clip(q @ centroids.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(centroids, axis=1)[None, :]), -1, 1))
@@ -115,16 +164,25 @@ class VectorIndex:
                 np.put_along_axis(first, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
                 more = (np.cos(np.maximum(0, angle - radii - 1e-9)) >= least[:, None] - 1e-6) & ~first
                 later = np.asarray(batch.column("later"))[:, None]
-                row, at = np.nonzero(np.where(later, more, first))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("query").take(pa.array(row)), pa.array(names[at].astype(np.int32))], ["query_id", "query", "list"])
+                visit = np.where(later, more, first)
+                least = np.where(np.asarray(batch.column("later")), least, -2.0)
+                for c in np.flatnonzero(visit.any(axis=0)):
+                    who = np.flatnonzero(visit[:, c])
+                    for a in range(0, len(who), PACK):
+                        part = pa.array(who[a : a + PACK])
+                        columns = [batch.column("query_id").take(part), batch.column("query").take(part), pa.array(least[who[a : a + PACK]])]
+                        yield pa.RecordBatch.from_arrays([pa.array([int(names[c])], pa.int32()), *(one_list(x) for x in columns)], ["list", "q_id", "q", "least"])
 
         kinds = {f.name: f.dataType.simpleString() for f in good.schema}
+        stored = read_foldered(self.spark, f"{self.path}/lists")
+        held = {f.name: f.dataType.simpleString() for f in stored.schema}
+        pieces = stored.select("list", "id", "vector").mapInArrow(_pieces, f"list int, id array<{held['id']}>, v array<{held['vector']}>")
 
         def hits(rows: DataFrame) -> DataFrame:
-            asked = rows.mapInArrow(visits, f"query_id {kinds['query_id']}, query {kinds['query']}, list int")
+            packs = rows.mapInArrow(visits, f"list int, q_id array<{kinds['query_id']}>, q array<{kinds['query']}>, least array<double>")
             # Queries repeated per list are many times the rows that Spark sees: never broadcast.
-            both = asked.join(read_foldered(self.spark, f"{self.path}/lists").hint("merge"), "list")
-            return both.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("query")), 6).alias("score")).filter("score IS NOT NULL")
+            both = packs.join(pieces.hint("merge"), "list").mapInArrow(_scored(width, k), f"query_id {kinds['query_id']}, id {held['id']}, score double")
+            return both.withColumn("score", F.round("score", 6)).filter("score IS NOT NULL")
 
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

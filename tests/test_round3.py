@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import lines, snippets
+from quillstone.operators import lines, search, snippets, vector_index
 from quillstone.plans import catalogue, dataflow
 from tools.compare import canon
 
@@ -85,3 +85,21 @@ def test_a_task_tells_each_snippet_once():
     out = [r for b in snippets._found([1, 2, 3], every, every)(iter([batch])) for r in b.to_pylist()]
     assert sorted((r["snippet"], r["source_no"]) for r in out if r["source_no"] == 2) == [("a", 2), ("ab", 2), ("aba", 2), ("b", 2), ("ba", 2), ("bab", 2)]
     assert sorted((r["snippet"], r["source_no"]) for r in out if r["source_no"] != 2) == [(s, 1) for s in ("a", "ab", "aba", "abc", "b", "ba", "bab", "bc", "c")]
+
+
+def test_blocks_of_vectors_are_scored_as_columns_are(spark):
+    """Scores to the last bit as search.cosine gives them; of very many copies each query keeps few."""
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(0, 1, (300, 8)).astype(np.float32), rng.normal(0, 1, (4, 8)).astype(np.float32)
+    v[100:] = v[100]
+    one = lambda x, t: pa.array([x.tolist() if hasattr(x, "tolist") else x], t)
+    floats = pa.list_(pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([one(list(range(4)), pa.list_(pa.int64())), one(q, floats), one([-2.0] * 4, pa.list_(pa.float64())), one(list(range(300)), pa.list_(pa.int64())), one(v, floats)], ["q_id", "q", "least", "id", "v"])
+    out = [r for b in vector_index._scored(8, 5)(iter([batch])) for r in b.to_pylist()]
+    assert len(out) <= 4 * 10
+    rows = spark.createDataFrame([(i, x.tolist(), j, y.tolist()) for i, x in enumerate(q) for j, y in enumerate(v)], "query_id int, q array<float>, id int, v array<float>")
+    every = {(r["query_id"], r["id"]): r["s"] for r in rows.select("query_id", "id", search.cosine(F.col("v"), F.col("q")).alias("s")).collect()}
+    assert all(every[r["query_id"], r["id"]] == r["score"] for r in out)
+    for i in range(4):
+        best = lambda pairs: sorted(pairs)[:5]
+        assert best((-round(s, 6), j) for (a, j), s in every.items() if a == i) == best((-round(r["score"], 6), r["id"]) for r in out if r["query_id"] == i)
