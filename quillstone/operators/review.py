@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import constants as K
 from quillstone.functions import text as T
 from quillstone.operators.snippets import first_sources
+from quillstone.operators.spread import spread_join
 from quillstone.storage import kept
 
 AGENTIC_CHARS = 12_000
@@ -25,7 +26,8 @@ def collect_evidence(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     asked = kept(asked, "asked")
     held = sources.select("file_path", "source_no", "kind", T.normal_space(F.col("text")).alias("text"))
     found = first_sources(asked, held)
-    return asked.join(found, ["file_path", "snippet"]).select("draft_id", "snippet", "source_no", "kind")
+    # Most drafts of a file may quote the same code.
+    return spread_join(asked, found, ["file_path", "snippet"], "draft_id").select("draft_id", "snippet", "source_no", "kind")
 
 
 def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: DataFrame) -> DataFrame:
@@ -33,13 +35,14 @@ def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: Data
 
     hunks(file_path, first, last); shown(file_path): files for which code outside the patch was shown.
     """
-    # The hunks of a file are one row, so drafts meet them once and stay as they are dealt.
+    # The hunks of a file are one row, so drafts meet them once; a file may have most of the drafts.
     ranges = hunks.groupBy("file_path").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
     covers = F.exists("_ranges", lambda h: (F.col("line_start") <= h["last"]) & (F.col("line_end") >= h["first"]))
     proof = evidence.groupBy("draft_id").agg(F.lit(True).alias("has_evidence"), F.max(F.col("kind") == "retrieved_chunk").alias("_cited"))
     seen = shown.select("file_path", F.lit(True).alias("_shown")).distinct()
+    files = ranges.join(seen, "file_path", "full").filter("file_path IS NOT NULL")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    out = drafts.join(proof, "draft_id", "left").join(ranges, "file_path", "left").join(seen, "file_path", "left")
+    out = spread_join(drafts, files, ["file_path"], "draft_id", "left").join(proof, "draft_id", "left")
     out = out.withColumn("covers_line", F.coalesce(covers, F.lit(False))).drop("_ranges").withColumn("has_evidence", no("has_evidence"))
     out = out.withColumn("proven", ~T.claims_external_code(F.col("title"), F.col("body")) | no("_cited") | no("_shown"))
     return out.withColumn("confirmable", F.col("has_evidence") & F.col("proven")).drop("_cited", "_shown")

@@ -11,6 +11,7 @@ from quillstone.plans.registry import query
 from quillstone.session import table
 from quillstone.sources import files as file_sources
 from quillstone.sources import patches
+from quillstone.storage import kept
 
 RESOLVED = f"""WITH {B.EDGES}, full_names AS (SELECT qualified_name, arg_min(symbol_id, (start_line, symbol_id)) AS target FROM symbols GROUP BY 1 HAVING count(DISTINCT file_id) = 1),
 short_names AS (SELECT regexp_replace(qualified_name, '^.*\\.', '') AS target_name, min(symbol_id) AS target FROM symbols WHERE kind <> 'module' GROUP BY 1 HAVING count(*) = 1),
@@ -199,7 +200,8 @@ FROM (SELECT run_id, CASE WHEN NOT covers_line THEN 'outside_diff' WHEN displace
 
 def draft_context(spark, sf):
     """Drafts with the sources, hunks and shown files of their three files."""
-    d = drafts(spark, sf)
+    # Read several times: for evidence, for the drafts of each file and for their outcome.
+    d = kept(drafts(spark, sf), "drafts")
     flags = table(spark, sf, "lineitem").select(F.concat(F.lit("f"), "l_returnflag").alias("file_path")).distinct()
     sources = flags.filter("file_path <> 'fR'").select("file_path", F.lit(0).alias("source_no"), F.lit("quoted_code").alias("kind"), F.concat(F.lit("x quoted code "), F.substring("file_path", 2, 1)).alias("text"))
     hunks = flags.select("file_path", F.lit(1).alias("first"), F.lit(15).alias("last"))
