@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,35 @@ def test_stored_ranks_and_stages_equal_the_scan(spark, texts):
     for stages, substring, split in (([["nope"], ["cat", "ab"]], None, []), ([["nope"]], "needle", ["cat"]), ([["nope"]], "zzzzzz", ["cat", "sat"]), ([["nope"]], "zzzzzz", []), ([], None, [])):
         want = [tuple(r) for r in search.by_staged_terms(df, "id", "text", stages, substring, split, 5).collect()]
         assert [tuple(r) for r in text_index.staged(spark, path, stages, substring, split, 5).collect()] == want
+
+
+def test_a_task_lists_the_documents_of_a_term_or_trigram_once(monkeypatch):
+    """Postings of many documents are one row before they are shuffled, and come back as they were."""
+    texts_ = [(i, t) for i, t in enumerate(["the cat the", None, "", "ab", "cat", "x" * 300 + "cat"] * 20)]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in texts_], "text": [t for _, t in texts_]})
+    for step, most in ((1, 120), (10**6, 1)):
+        monkeypatch.setattr(text_index, "STEP", step)
+        stored = list(text_index._gram_batches(iter([batch])))
+        cat = int(text_index.gram_keys(text_index._codes("cat"))[0])
+        assert sum(r["gram"] == cat for b in stored for r in b.to_pylist()) <= most
+        got = {(r["gram"], r["id"]): r["places"] for b in text_index._gram_rows(iter(stored)) for r in b.to_pylist()}
+        want = {}
+        for i, t in texts_:
+            for at, k in enumerate(text_index.gram_keys(text_index._codes(t or "")).tolist()):
+                want.setdefault((k, i), []).append(at)
+        assert got == want
+        words = pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else t.split() for _, t in texts_], pa.list_(pa.string()))], ["id", "terms"])
+        rows = [r for b in text_index._term_batches(iter([words])) for r in b.to_pylist()]
+        assert sum(r["term"] == "the" for r in rows) <= most
+        assert sorted((r["term"], i, n) for r in rows for i, n in zip(r["ids"], r["positions"], strict=True)) == sorted((w, i, t.split().count(w)) for i, t in texts_ if t for w in set(t.split()))
+
+
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1])
+    data, width = text_index.packed(values)
+    assert text_index.unpacked(data).tolist() == values.tolist() and width.tolist() == [1, 1, 1, 2, 2, 3, 4, 5, 5]
+
+
+def test_rows_of_one_id_are_counted_together(spark, tmp_path):
+    text_index.build_terms(spark.createDataFrame([(1, "cat cat"), (1, "cat"), (2, "Cat-dog")], "id long, text string"), str(tmp_path), "id", "text")
+    assert sorted(tuple(r) for r in text_index.terms(spark, str(tmp_path), ["CAT", "dog"]).select("id", "term", "positions").collect()) == [(1, "cat", 3), (2, "cat", 1), (2, "dog", 1)]
