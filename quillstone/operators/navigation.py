@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import constants as K
@@ -149,20 +149,32 @@ def grep_outline(files: DataFrame, path: str, k: int = 60) -> DataFrame:
 def diff_context(changed: DataFrame, symbols: DataFrame, edges: DataFrame, similar: DataFrame, limit: int = 2000, each: int = 12) -> DataFrame:
     """Pieces of context per file within a token budget: changed symbols, callees, callers, then similar code. [R27]
 
-    changed(key, symbol_id); symbols(symbol_id, tokens, path, start_line, ...); similar(key, symbol_id, score).
+    changed(key, symbol_id); symbols(symbol_id, tokens, path, start_line, ...); similar(key, symbol_id, score). What a symbol
+    has is joined to edges before they become pieces, and all pieces are shuffled once, by their file.
     """
-    own = changed.select("key", "symbol_id", F.lit(0).alias("origin"))
-
-    def near(incoming: bool, origin: int) -> DataFrame:
-        side, far = ("target_symbol_id", "source_symbol_id") if incoming else ("source_symbol_id", "target_symbol_id")
-        found = edges.filter("kind = 'calls'").join(changed.select("key", F.col("symbol_id").alias(side)), side).filter(F.col(far).isNotNull())
-        found = found.join(changed.select("key", F.col("symbol_id").alias(far)), ["key", far], "left_anti")
-        return windows.first_per_key(found, ["key"], F.desc("confidence"), F.col(far), n=each).select("key", F.col(far).alias("symbol_id"), F.lit(origin).alias("origin"))
-
-    alike = similar.join(changed, ["key", "symbol_id"], "left_anti")
-    alike = windows.first_per_key(alike, ["key"], F.desc("score"), F.col("symbol_id"), n=each // 2).select("key", "symbol_id", F.lit(3).alias("origin"))
-    pieces = own.unionByName(near(False, 1)).unionByName(near(True, 2)).unionByName(alike).join(symbols, "symbol_id")
-    return review.take_within_budget(pieces.withColumn("piece_id", F.col("symbol_id").cast("string")), "key", ["origin", "path", "start_line"], limit)
+    known = symbols.groupBy("symbol_id").agg(F.min(F.struct("path", "start_line", "tokens")).alias("_x"))
+    asked = changed.select("key", "symbol_id", F.count("*").over(Window.partitionBy("key")).alias("_n"))
+    calls = edges.filter("kind = 'calls'").filter(F.col("source_symbol_id").isNotNull() & F.col("target_symbol_id").isNotNull())
+    # Two symbols may be joined by several edges, and each of them takes a place.
+    calls = calls.groupBy("source_symbol_id", "target_symbol_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("confidence")), False), 1, each).alias("_scores"))
+    ends = [calls.select(F.col(a).alias("_side"), F.lit(origin).alias("origin"), "_scores", F.col(b).alias("symbol_id")) for origin, a, b in ((1, "source_symbol_id", "target_symbol_id"), (2, "target_symbol_id", "source_symbol_id"))]
+    near = ends[0].unionByName(ends[1]).join(known, "symbol_id", "left")
+    # A file takes `each` neighbours beside its own symbols, so of one symbol no more than these and as many as the file has symbols.
+    few = windows.first_per_key(near, ["_side", "origin"], F.desc(F.col("_scores")[0]), F.col("symbol_id"), n=2 * each)
+    meet = lambda rows, met: rows.select("key", F.col("symbol_id").alias("_side")).join(met, "_side").drop("_side")
+    found = meet(asked.filter(F.col("_n") <= each), few).unionByName(meet(asked.filter(F.col("_n") > each), near))
+    found = found.select("key", "symbol_id", "origin", "_x", F.explode("_scores").alias("_s")).select("key", "symbol_id", "origin", F.col("_s.confidence").alias("_score"), "_x")
+    own = changed.select("key", "symbol_id", F.lit(0).alias("origin"), F.lit(None).cast("double").alias("_score"))
+    alike = similar.select("key", "symbol_id", F.lit(3).alias("origin"), F.col("score").alias("_score"))
+    pieces = found.unionByName(own.unionByName(alike).join(known, "symbol_id", "left")).repartition("key")
+    # A changed symbol is no neighbour; null files are not compared.
+    first = F.min("origin").over(Window.partitionBy("key", "symbol_id"))
+    pieces = pieces.withColumn("_first", first).filter((F.col("origin") == 0) | (F.col("_first") > 0) | F.col("key").isNull())
+    place = F.row_number().over(Window.partitionBy("key", "origin").orderBy(F.desc("_score"), "symbol_id"))
+    most = F.when(F.col("origin") == 3, each // 2).otherwise(each)
+    pieces = pieces.withColumn("_place", place).filter((F.col("origin") == 0) | (F.col("_place") <= most)).filter("_x IS NOT NULL")
+    pieces = pieces.select("key", "origin", F.col("symbol_id").cast("string").alias("piece_id"), "_x.*")
+    return review.take_within_budget(pieces, "key", ["origin", "path", "start_line"], limit)
 
 
 #: Tools by name. [R44]

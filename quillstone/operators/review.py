@@ -168,7 +168,7 @@ def take_within_budget(pieces: DataFrame, key: str, order: list[str], limit: int
     pieces(key, piece_id, tokens, ...). A fold over each key's sorted array of small structs; repeats of a piece count once.
     """
     one = pieces.groupBy(key, "piece_id").agg(F.min(F.struct(*order, "tokens")).alias("_x"))
-    listed = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"_x.{c}").alias(c) for c in order], F.col("piece_id"), F.col("_x.tokens").alias("tokens")))).alias("_all"))
+    listed = one.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"_x.{c}").alias(c) for c in order], F.col("piece_id"), F.col("_x.tokens").alias("tokens")))).alias("_all"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("taken"), F.lit(0).alias("dropped"))
 
     def step(acc: Column, p: Column) -> Column:
