@@ -50,10 +50,13 @@ HOT = 20_000
 #: Bytes of text hashed at a time, and members of collections ordered at a time.
 SLICE = 1 << 22
 MEMBERS = 30_000
+#: Members whose surroundings are laid out at a time.
+PART = 2_000
 #: Low bits of a sort key that hold a place.
 PLACE_BITS = np.uint64(31)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 LETTERS = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64)
+INVERSES = {int(base): np.uint64(pow(int(base), -1, 1 << 64)) for base in BASES}
 
 
 def text_id(text: Column) -> Column:
@@ -69,8 +72,7 @@ class Rolling:
         powers = np.full(n + 1, base, np.uint64)
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        self.back = np.full(n + 1, inverse, np.uint64)
+        self.back = np.full(n + 1, INVERSES[int(base)], np.uint64)
         self.back[0] = 1
         np.multiply.accumulate(self.back, out=self.back)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -94,21 +96,21 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = SHORT, gram: int = GRAM):
-    """Of texts laid end to end: per anchor its row, place, first and last string and the hash of its gram."""
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = SHORT, gram: int = GRAM, rolling: Rolling | None = None):
+    """Of texts laid end to end: per anchor its row, place, first and last string and the hash of its gram. rolling: the hash of data by the first base, if made before."""
     none = np.empty(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
         return none, none, none, none, none
-    grams = Rolling(data, BASES[0]).at(slice(0, len(data) - gram + 1), gram)
+    grams = (rolling or Rolling(data, BASES[0])).at(slice(0, len(data) - gram + 1), gram)
     key = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
     place = (sliding_min(key, length - gram + 1) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)[:n]
-    row = np.searchsorted(starts, np.arange(n), side="right") - 1 if len(starts) > 2 else np.zeros(n, np.int64)
-    valid = np.arange(n) + length <= starts[1:][row]
-    s = np.flatnonzero(valid)
-    if not len(s):
+    each = np.maximum(np.diff(starts) - length + 1, 0)
+    if not each.any():
         return none, none, none, none, none
-    place, row = place[s], row[s]
+    row = np.repeat(np.arange(len(each)), each)
+    s = np.arange(n) if len(row) == n else np.arange(len(row)) + np.repeat(starts[:-1] - (np.cumsum(each) - each), each)
+    place = place[s]
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     last = np.r_[first[1:], len(s)] - 1
     return row[first], place[first], s[first], s[last], grams[place[first]].view(np.int64)
@@ -157,20 +159,24 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
 def kinds_of(data: np.ndarray, s: np.ndarray, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the strings of a text at s, with hashes h: which occur more than once, and which are the first of their kind."""
     _, first, kind = np.unique(h, return_index=True, return_inverse=True)
-    for a in range(0, len(s), SLICE // length):
-        mine, least = s[a : a + SLICE // length], s[first[kind[a : a + SLICE // length]]]
-        far = np.flatnonzero(mine != least)
-        each = np.arange(length)
-        if len(far) and (data[mine[far][:, None] + each] != data[least[far][:, None] + each]).any():
+    least = s[first[kind]]
+    far = np.flatnonzero(s != least)
+    if len(far):
+        # Neighbours whose firsts are neighbours too share all but one byte, so each run of them is compared once.
+        mine, least = s[far], least[far]
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(mine) != 1) | (np.diff(least) != 1)]))
+        size = np.diff(np.append(cut, len(mine))) + length - 1
+        raw = memoryview(data)
+        if any(raw[x : x + n] != raw[y : y + n] for x, y, n in zip(mine[cut].tolist(), least[cut].tolist(), size.tolist(), strict=True)):
             # Two strings with one hash: tell the kinds apart by their bytes.
             _, first, kind = np.unique([data[x : x + length].tobytes() for x in s.tolist()], return_index=True, return_inverse=True)
-            break
     return np.bincount(kind)[kind] > 1, first[kind] == np.arange(len(s))
 
 
 def members_of(data: np.ndarray, fps: np.ndarray, hots: np.ndarray) -> tuple[list, list, np.ndarray]:
     """Of one text: (fp, anchor, first, last, bytes) for the collections; (length, digest, place) to count; places of long strings repeated in it."""
-    _, place, low, high, fp = anchors(data, np.array([0, len(data)]))
+    rolling = Rolling(data, BASES[0])
+    _, place, low, high, fp = anchors(data, np.array([0, len(data)]), rolling=rolling)
     order = np.argsort(fps)
     at = np.searchsorted(fps[order], fp)
     asked = (at < len(fps)) & (fps[order][np.minimum(at, len(fps) - 1)] == fp)
@@ -182,18 +188,17 @@ def members_of(data: np.ndarray, fps: np.ndarray, hots: np.ndarray) -> tuple[lis
     owner = np.repeat(np.arange(len(fp)), each)
     s = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + low[owner]
     long = s + LENGTH <= len(data)
-    hashed = [Rolling(data, base) for base in BASES]
+    hashed = [rolling, Rolling(data, BASES[1])]
     kinds = lambda t, size: kinds_of(data, t, size, hashed[0].at(t, size) ^ (hashed[1].at(t, size) << np.uint64(1)))
     again, first = (np.zeros(len(s), bool), np.ones(len(s), bool))
     again[long], first[long] = kinds(s[long], LENGTH)
     runs = np.flatnonzero(first & ~hot[owner])
     cold = []
     if len(runs):
-        cut = np.flatnonzero(np.r_[True, (np.diff(runs) > 1) | (owner[runs[1:]] != owner[runs[:-1]])])
-        ends = np.r_[cut[1:], len(runs)] - 1
-        for a, b in zip(runs[cut], runs[ends], strict=True):
-            k = owner[a]
-            cold.append((int(fp[k]), int(place[k]), int(s[a]), int(s[b]), data[s[a] : s[b] + LENGTH].tobytes()))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(runs) > 1) | (np.diff(owner[runs]) != 0)]))
+        a, b = runs[cut], runs[np.append(cut[1:], len(runs)) - 1]
+        k, raw = owner[a], data.tobytes()
+        cold = [(*r, raw[r[2] : r[3] + LENGTH]) for r in zip(fp[k].tolist(), place[k].tolist(), s[a].tolist(), s[b].tolist(), strict=True)]
     counted = []
     if hot.any():
         raw = data.tobytes()
@@ -210,22 +215,23 @@ MEMBER = "tid binary, fp long, place int, low int, high int, context binary, siz
 def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """fp null marks what is not for a collection: a string to count (size and digest), or long strings repeated in the text (low to high)."""
     schema = pa.schema([("tid", pa.binary()), ("fp", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary()), ("size", pa.int32()), ("digest", pa.binary())])
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     for batch in batches:
         data, starts = bytes_of(batch.column(1))
-        fps = batch.column(2).to_pylist()
+        fps, asks = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().fill_null(0).to_pylist()])
+        marks, hot = fps.field("fp").to_numpy(), fps.field("hot").to_numpy(zero_copy_only=False)
         rows: list[tuple] = []
         for i, tid in enumerate(batch.column(0).to_pylist()):
-            asked = np.array([x["fp"] for x in fps[i]], np.int64)
-            hots = np.array([x["hot"] for x in fps[i]], bool)
-            cold, counted, local = members_of(data[starts[i] : starts[i + 1]], asked, hots)
+            mine = slice(asks[i], asks[i + 1])
+            cold, counted, local = members_of(data[starts[i] : starts[i + 1]], marks[mine], hot[mine])
             rows += [(tid, fp, place, low, high, text, None, None) for fp, place, low, high, text in cold]
             rows += [(tid, None, None, s, s, None, size, digest) for size, digest, s in counted]
             rows += [(tid, None, None, a, b, None, None, None) for a, b in spans_of(np.sort(local))]
             if len(rows) > 20_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+                yield table(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+            yield table(rows)
 
 
 def spans_of(s: np.ndarray) -> list[tuple[int, int]]:
@@ -312,27 +318,28 @@ def _solve(rows: pa.Table) -> pa.RecordBatch | None:
     at = at[np.bincount(group)[group] > 1]
     if not len(at):
         return None
-    contexts = rows.column("context").take(pa.array(at)).to_pylist()
+    data, starts = bytes_of(rows.column("context").take(pa.array(at)).combine_chunks())
     fp, text, place, low, high = fp[at], text[at], place[at], low[at], high[at]
+    middle, ends = starts[:-1] + place - low, starts[1:]
     left, right = np.zeros((len(at), SHORT - GRAM), np.uint8), np.zeros((len(at), LENGTH), np.uint8)
-    right_len = np.empty(len(at), np.int64)
-    for r, context in enumerate(contexts):
-        whole = np.frombuffer(context, np.uint8)
-        k = place[r] - low[r]
-        left[r, :k] = whole[:k][::-1]
-        part = whole[k : k + LENGTH]
-        right[r, : len(part)] = part
-        right_len[r] = len(part)
+    right_len = np.minimum(ends - middle, LENGTH)
+    for a in range(0, len(at), PART):
+        part = slice(a, a + PART)
+        for out, to, held in ((left, -1 - np.arange(left.shape[1]), lambda x: x >= starts[:-1][part, None]), (right, np.arange(LENGTH), lambda x: x < ends[part, None])):
+            where = middle[part, None] + to
+            out[part] = np.where(held(where), data[np.clip(where, 0, len(data) - 1)], 0)
     hits = repeated_offsets(np.unique(fp, return_inverse=True)[1], text, left, right, place - low, right_len)
-    out: list[list] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    back = np.arange(left.shape[1] + 1)
     for size, hit in zip((LENGTH, SHORT), hits, strict=True):
-        for r in np.flatnonzero(hit.any(axis=1)):
-            s = np.sort(place[r] - np.flatnonzero(hit[r]))
-            # A member has no string nearer to the anchor than its last one.
-            for a, b in spans_of(s[(s >= low[r]) & (s <= high[r])]):
-                for column, value in zip(out, (text[r], a, b, size), strict=True):
-                    column.append(value)
-    return pa.RecordBatch.from_arrays([tid.dictionary.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int32()) for x in out[1:])], ["tid", "low", "high", "size"])
+        # A member has no string nearer to the anchor than its last one.
+        hit &= (back >= (place - high)[:, None]) & (back <= (place - low)[:, None])
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).view(np.int8), axis=1)
+        (r, near), far = np.nonzero(edge == 1), np.nonzero(edge == -1)[1] - 1
+        for column, value in zip(out, (text[r], place[r] - far, place[r] - near, np.full(len(r), size)), strict=True):
+            column.append(value)
+    tids, *rest = (np.concatenate(x) for x in out)
+    return pa.RecordBatch.from_arrays([tid.dictionary.take(pa.array(tids)), *(pa.array(x, pa.int32()) for x in rest)], ["tid", "low", "high", "size"])
 
 
 def _collection_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,18 +380,26 @@ def shared_bytes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
     found = covered(len(text) - SHORT + 1, starts, ends)
     rolling = [Rolling(text, base) for base in BASES]
     h = rolling[0].at(slice(0, len(found)), SHORT) ^ (rolling[1].at(slice(0, len(found)), SHORT) << np.uint64(1))
-    s = np.flatnonzero(np.isin(h, h[found]))
+    mine = np.sort(h[found])
+    # Most strings that are not asked for are told by a bit of their hash.
+    low = np.uint64((1 << min((16 * len(mine)).bit_length(), 22)) - 1)
+    bits = np.zeros(int(low) + 1, bool)
+    bits[mine & low] = True
+    may = np.flatnonzero(bits[h & low] & ~found)
+    found[may] = mine[np.minimum(np.searchsorted(mine, h[may]), len(mine) - 1)] == h[may]
+    s = np.flatnonzero(found)
     return int(covered(len(text), s, s + SHORT).sum())
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, starts = bytes_of(batch.column(1))
-        runs = batch.column(2).to_pylist()
+        runs, places = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().fill_null(0).to_pylist()])
+        all_lows, all_highs, all_sizes = (runs.field(k).to_numpy().astype(np.int64) for k in ("low", "high", "size"))
         removed, spans, hashes, shared = [], [], [], []
         for i in range(batch.num_rows):
             text = data[starts[i] : starts[i + 1]]
-            lows, highs, sizes = (np.array([r[k] for r in runs[i]], np.int64) for k in ("low", "high", "size"))
+            lows, highs, sizes = (x[places[i] : places[i + 1]] for x in (all_lows, all_highs, all_sizes))
             long = sizes == LENGTH
             gone = covered(len(text), lows[long], highs[long] + LENGTH)
             removed.append(int(gone.sum()))
