@@ -46,6 +46,8 @@ BLOCK_WORDS = 400_000
 PAIRS = 512
 #: Places of word pairs that are held at once.
 HITS = 1_000_000
+#: Words of documents that are looked up at once, or one text.
+AT_ONCE = 1 << 17
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -265,7 +267,7 @@ def pair_counts(spark, tokens: DataFrame, table: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, counts = Lookup(ready.value), np.zeros(len(table), np.int64)
-        for batch in sliced(batches, 0):
+        for batch in sliced(batches, 0, AT_ONCE):
             flat, starts = lists_of(batch.column(0))
             g = grams(flat, PAIR)
             at, to = lookup.find(g)
@@ -286,7 +288,7 @@ def _block_pairs(spark, tokens: DataFrame, block: Block, threshold: float, id_ty
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pickle.loads(ready.value)
         names = pa.array(block.items)
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, AT_ONCE):
             flat, starts = lists_of(batch.column(1))
             for row, item, share in block.match(flat, starts, threshold):
                 if len(row):

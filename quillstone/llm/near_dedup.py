@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, discard, keep, sieve, words
+from quillstone.llm.common import ascii_lower, batches_of, discard, keep, sieve, words
 from quillstone.llm.decontaminate import grams, inside, scramble
 from quillstone.llm.graph import components
 from quillstone.llm.simhash import group_prints, lists_of, majority, shingles, sliced
@@ -46,6 +46,8 @@ ROUNDS = 4
 #: Members of a bucket in one side of a piece, and shingles of them, on average.
 PIECE, PIECE_SHINGLES = 512, 1 << 20
 SIGNATURE = BANDS * ROWS
+#: Texts handed at once to the task that sketches them, and words that it works on at once, or one text.
+SKETCH_TEXTS, SKETCH_WORDS = 1000, 1 << 15
 _draw = np.random.default_rng(23)
 XOR = _draw.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
 ODD = _draw.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
@@ -79,7 +81,7 @@ def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, 1):
+    for batch in sliced(batches, 1, SKETCH_WORDS):
         h, starts = row_shingles(*lists_of(batch.column(1)))
         sig = signatures(h, starts)
         bands = np.zeros((len(sig), BANDS), np.uint64)
@@ -276,7 +278,8 @@ def verified_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for every id of a group of two or more; root is the smallest id of the group."""
-    sk = keep(sketches(docs, id_col, text_col), "sketches")
+    with batches_of(docs.sparkSession, SKETCH_TEXTS):
+        sk = keep(sketches(docs, id_col, text_col), "sketches")
     pairs, buckets, sig = candidate_pairs(sk)
     tried = keep(pairs, "pairs")
     links = keep(verified_links(docs, tried, id_col, text_col, similarity), "links")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillstone.llm.common import keep
+from quillstone.llm.common import batches_of, keep, text_slices
 
 #: The classifier is fitted on at most so many labelled rows, the ones with the least id hash.
 LABELLED = 12_000
@@ -44,6 +44,8 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 LETTERS = regex.compile(r"\p{L}+")
 MEMO = 300_000
+#: Rows handed at once to the task that lists the features of labelled texts.
+ROWS = 1000
 
 
 def remainder(id_col: str, by: int) -> Column:
@@ -60,7 +62,7 @@ def features_of(text: str) -> set[str]:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches, 2):
         lists = [sorted(features_of(t or "")) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.string()))], ["_key", "_y", "feature"])
 
@@ -142,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Equal texts count once, as toxic if any of them is.
     drawn = drawn.groupBy(copy.alias("_copy")).agg(F.min("_key").alias("_key"), F.max("_y").alias("_y"), F.first("_text").alias("_text")).select("_key", "_y", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = keep(drawn.mapInArrow(_feature_batches, f"_key {kind}, _y int, feature array<string>"), "labelled")
+    with batches_of(docs.sparkSession, ROWS):
+        rows = keep(drawn.mapInArrow(_feature_batches, f"_key {kind}, _y int, feature array<string>"), "labelled")
     totals = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -176,15 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(bias, {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-4})
 
 
+def scored_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int, out_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the score of the texts in column `at`, cut so that few texts are held as strings and sent back at once."""
+    memo: dict[str, tuple[str, ...]] = {}
+    for batch in text_slices(batches, at):
+        scores = pa.array([model.score(t or "", memo) for t in batch.column(at).to_pylist()], pa.float64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, out_col])
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for every whole text; a column of that name is replaced."""
     docs = docs.drop(out_col) if out_col != text_col else docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
-            scores = pa.array([model.score(t or "", memo) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, out_col])
+        return scored_batches(batches, model, at, out_col)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
