@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from quillstone.functions import constants as K
 from quillstone.functions import text as T
 from quillstone.operators.snippets import first_sources
-from quillstone.operators.spread import spread_join
+from quillstone.operators.spread import met, spread_join
 from quillstone.storage import kept
 
 AGENTIC_CHARS = 12_000
 
 
+def quotes() -> Column:
+    """What a draft quotes, as it is written."""
+    return F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("code_fragment") != "", F.col("code_fragment")))))
+
+
 def collect_evidence(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     """(draft_id, snippet, source_no, kind): snippets that some source of the file contains, by the first such source. [D10, J16]
 
     drafts(draft_id, file_path, evidence, code_fragment); sources(file_path, source_no, kind, text). Distinct snippets and
     sources of a file meet by the hashes of their windows, not by a theta join.
     """
-    parts = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("code_fragment") != "", F.col("code_fragment")))))
-    asked = drafts.select("draft_id", "file_path", F.explode(F.array_distinct(F.transform(parts, T.normal_space))).alias("snippet")).filter("snippet <> ''")
+    asked = drafts.select("draft_id", "file_path", F.explode(F.array_distinct(F.transform(quotes(), T.normal_space))).alias("snippet")).filter("snippet <> ''")
     # Read twice: by the match and by the drafts that get its result.
     asked = kept(asked, "asked")
     held = sources.select("file_path", "source_no", "kind", T.normal_space(F.col("text")).alias("text"))
@@ -30,22 +34,43 @@ def collect_evidence(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     return spread_join(asked, found, ["file_path", "snippet"], "draft_id").select("draft_id", "snippet", "source_no", "kind")
 
 
-def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: DataFrame) -> DataFrame:
-    """Drafts with covers_line, has_evidence, proven and confirmable. [D11, D27, J15]
+def proofs(quoted: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file_path, quotes, has_evidence, cited): quotes of a file that have evidence, each once however many drafts make them.
 
-    hunks(file_path, first, last); shown(file_path): files for which code outside the patch was shown.
+    quoted(file_path, evidence, code_fragment), sources as in collect_evidence.
     """
-    # The hunks of a file are one row, so drafts meet them once; a file may have most of the drafts.
+    told = kept(quoted.select("file_path", quotes().alias("quotes")).filter("file_path IS NOT NULL").distinct(), "quotes")
+    each = told.select(F.struct("file_path", "quotes").alias("draft_id"), "file_path", F.col("quotes").alias("evidence"), F.lit(None).cast("string").alias("code_fragment"))
+    return proven_by(collect_evidence(each, sources)).select("draft_id.*", "has_evidence", "cited")
+
+
+def proven_by(evidence: DataFrame) -> DataFrame:
+    return evidence.groupBy("draft_id").agg(F.lit(True).alias("has_evidence"), F.max(F.col("kind") == "retrieved_chunk").alias("cited"))
+
+
+def of_files(hunks: DataFrame, shown: DataFrame) -> DataFrame:
+    """(file_path, _ranges, _shown): the hunks of a file as one row, so drafts meet them once."""
     ranges = hunks.groupBy("file_path").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
-    covers = F.exists("_ranges", lambda h: (F.col("line_start") <= h["last"]) & (F.col("line_end") >= h["first"]))
-    proof = evidence.groupBy("draft_id").agg(F.lit(True).alias("has_evidence"), F.max(F.col("kind") == "retrieved_chunk").alias("_cited"))
     seen = shown.select("file_path", F.lit(True).alias("_shown")).distinct()
-    files = ranges.join(seen, "file_path", "full").filter("file_path IS NOT NULL")
+    return ranges.join(seen, "file_path", "full").filter("file_path IS NOT NULL")
+
+
+def weighed(drafts: DataFrame) -> DataFrame:
+    """Drafts beside their file and proof -> covers_line, has_evidence, proven and confirmable in their stead."""
+    covers = F.exists("_ranges", lambda h: (F.col("line_start") <= h["last"]) & (F.col("line_end") >= h["first"]))
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    out = spread_join(drafts, files, ["file_path"], "draft_id", "left").join(proof, "draft_id", "left")
-    out = out.withColumn("covers_line", F.coalesce(covers, F.lit(False))).drop("_ranges").withColumn("has_evidence", no("has_evidence"))
-    out = out.withColumn("proven", ~T.claims_external_code(F.col("title"), F.col("body")) | no("_cited") | no("_shown"))
-    return out.withColumn("confirmable", F.col("has_evidence") & F.col("proven")).drop("_cited", "_shown")
+    out = drafts.withColumn("covers_line", F.coalesce(covers, F.lit(False))).drop("_ranges").withColumn("has_evidence", no("has_evidence"))
+    out = out.withColumn("proven", ~T.claims_external_code(F.col("title"), F.col("body")) | no("cited") | no("_shown"))
+    return out.withColumn("confirmable", F.col("has_evidence") & F.col("proven")).drop("cited", "_shown")
+
+
+def judged(drafts: DataFrame, evidence: DataFrame, hunks: DataFrame, shown: DataFrame) -> DataFrame:
+    """Drafts with covers_line, has_evidence, proven and confirmable. [D11, D27, J15]
+
+    hunks(file_path, first, last); shown(file_path): files for which code outside the patch was shown.
+    """
+    # A file may have most of the drafts.
+    return weighed(spread_join(drafts, of_files(hunks, shown), ["file_path"], "draft_id", "left").join(proven_by(evidence), "draft_id", "left"))
 
 
 def merge_drafts(drafts: DataFrame, keys=("run_id", "dedup_key"), seq: str = "seq") -> DataFrame:
@@ -63,11 +88,16 @@ def outcome() -> Column:
     )
 
 
-def verify(drafts: DataFrame, sources: DataFrame, hunks: DataFrame, shown: DataFrame) -> DataFrame:
-    """Drafts with their key, outcome and all that led to it. [D5, D8-D11]"""
+def verify(drafts: DataFrame, sources: DataFrame, hunks: DataFrame, shown: DataFrame, quoted: DataFrame | None = None) -> DataFrame:
+    """Drafts with their key, outcome and all that led to it. [D5, D8-D11]
+
+    Drafts meet what is known of their file and of their quotes; where both are small, drafts stay in place until they are merged,
+    and drafts that lie together by run do so then as well. quoted: rows that hold all quotes of the drafts, if these cost less to read.
+    """
     keyed = drafts.withColumn("dedup_key", T.dedup_key(F.col("category"), F.lit(None).cast("string"), F.col("anchor_symbol"), F.col("file_path"), F.coalesce(F.nullif(F.col("code_fragment"), F.lit("")), F.col("title"))))
-    ready = judged(keyed, collect_evidence(keyed, sources), hunks, shown)
-    return merge_drafts(ready).withColumn("outcome", outcome())
+    beside = met(keyed.withColumn("quotes", quotes()), kept(of_files(hunks, shown), "files"), ["file_path"], "draft_id")
+    beside = met(beside, kept(proofs(drafts if quoted is None else quoted, sources), "proofs"), ["file_path", "quotes"], "draft_id")
+    return merge_drafts(weighed(beside.drop("quotes"))).withColumn("outcome", outcome())
 
 
 def discard_counts(verified: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 ROWS = 200_000
 #: Places of rows with a null key, which match nothing.
 NULLS = 1024
+#: Characters of a table that is sent to all tasks.
+SENT = 8_000_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
@@ -27,3 +29,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     dealt = left.join(pieces, on, "left").withColumn("_piece", F.pmod(F.xxhash64(by), many)).drop("_pieces")
     held = right.join(pieces, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     return dealt.join(held, [*on, "_piece"], how).drop("_piece")
+
+
+def met(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
+    """left.join(right, on, "left") that leaves left where it lies if right is small, and else is spread_join; right is read twice."""
+    size = right.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return left.join(F.broadcast(right), on, "left") if size <= SENT else spread_join(left, right, on, by, "left")

@@ -8,7 +8,7 @@ from quillstone.functions import text as T
 from quillstone.operators import graph, index, lines, packing, review, snippets, sweep
 from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
-from quillstone.session import table
+from quillstone.session import many_tasks, table
 from quillstone.sources import files as file_sources
 from quillstone.sources import patches
 from quillstone.storage import kept
@@ -180,9 +180,8 @@ DRAFTS = """drafts AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_part
   CASE WHEN l_quantity > 10 THEN 'quoted   code ' || l_returnflag ELSE 'made up' END AS fragment FROM lineitem)"""
 
 
-def drafts(spark, sf):
-    li = table(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return li.select(
+def draft_rows(lineitem):
+    return lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("draft_id"), F.col("l_orderkey").alias("run_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
         F.concat(F.lit("f"), "l_returnflag").alias("file_path"), (F.col("l_linenumber") * 3).alias("line_start"), (F.col("l_linenumber") * 3 + 1).alias("line_end"),
         F.when(F.col("l_discount") > 0.08, "critical").when(F.col("l_discount") > 0.05, "major").otherwise("minor").alias("severity"), F.col("l_linestatus").alias("category"),
@@ -191,6 +190,13 @@ def drafts(spark, sf):
     )
 
 
+def drafts(spark, sf):
+    """Drafts of lines, dealt by run: an order has few lines. Of lines with the same number the most severe one counts."""
+    keys, rest = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_discount", "l_tax", "l_quantity", "l_returnflag", "l_linestatus"]
+    li = table(spark, sf, "lineitem").select(*keys, *rest).repartition(many_tasks(spark), "l_orderkey")
+    return draft_rows(li.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_x")).select(*keys, "_x.*"))
+
+
 VERIFIED = f"""WITH {DRAFTS}, d0 AS (SELECT DISTINCT * FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY severity) AS q FROM drafts) WHERE q = 1),
 j AS (SELECT draft_id, run_id, file_path, severity, category, line_start <= 15 AS covers_line, fragment LIKE 'quoted%' AND file_path <> 'fR' AS has_evidence, title = 'local' OR file_path = 'fN' AS proven, category || file_path || fragment AS key, draft_id AS seq FROM d0),
 m AS (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY covers_line DESC, (has_evidence AND proven) DESC, CASE severity WHEN 'critical' THEN 3 WHEN 'major' THEN 2 ELSE 1 END DESC, seq) > 1 AS displaced FROM j)
@@ -201,16 +207,20 @@ FROM (SELECT run_id, CASE WHEN NOT covers_line THEN 'outside_diff' WHEN displace
 def draft_context(spark, sf):
     """Drafts with the sources, hunks and shown files of their three files."""
     # Read several times: for evidence, for the drafts of each file and for their outcome.
-    d = kept(drafts(spark, sf), "drafts")
-    flags = table(spark, sf, "lineitem").select(F.concat(F.lit("f"), "l_returnflag").alias("file_path")).distinct()
+    return kept(drafts(spark, sf), "drafts"), *file_context(spark, sf)
+
+
+def file_context(spark, sf):
+    flags = kept(table(spark, sf, "lineitem").select(F.concat(F.lit("f"), "l_returnflag").alias("file_path")).distinct(), "flags")
     sources = flags.filter("file_path <> 'fR'").select("file_path", F.lit(0).alias("source_no"), F.lit("quoted_code").alias("kind"), F.concat(F.lit("x quoted code "), F.substring("file_path", 2, 1)).alias("text"))
     hunks = flags.select("file_path", F.lit(1).alias("first"), F.lit(15).alias("last"))
-    return d, sources, hunks, flags.filter("file_path = 'fN'")
+    return sources, hunks, flags.filter("file_path = 'fN'")
 
 
 @query("d8_d9_a28_verify", VERIFIED)
 def _(spark, sf):
-    return review.discard_counts(review.verify(*draft_context(spark, sf)))
+    """Lines are shuffled once, by run; what they quote is read from the table as it lies."""
+    return review.discard_counts(review.verify(drafts(spark, sf), *file_context(spark, sf), quoted=draft_rows(table(spark, sf, "lineitem"))))
 
 
 SNIPPETS = f"""WITH {B.FILES}, n AS (SELECT file_id, language, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS t FROM files),

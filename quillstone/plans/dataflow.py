@@ -8,7 +8,7 @@ from quillstone.functions import text as T
 from quillstone.operators import filters, index, lines, parsing, review, scripts
 from quillstone.plans import bindings as B
 from quillstone.plans.registry import query
-from quillstone.session import table
+from quillstone.session import many_tasks, table
 
 
 @query("i9_breadcrumb", f"WITH {B.SYMBOLS} SELECT symbol_id, split_part(qualified_name, '.', 1) || ' > ' || kind || ' > ' || file_id AS crumb, split_part(qualified_name, '.', 1) || '.' || split_part(qualified_name, '.', 2) AS owner FROM symbols")
@@ -90,9 +90,8 @@ def code(spark, sf, text: str, language: str, suffix: str):
     """One small file for each part; its number is in it. A part takes few bytes and its file long to parse, so parts are dealt to
     all cores however few splits their table has."""
     key = F.col("p_partkey").cast("string")
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     content = F.replace(F.lit(text.replace("\\n", "\n")), F.lit("{n}"), key)
-    return table(spark, sf, "part").select("p_partkey").repartition(tasks, "p_partkey").select(F.concat(F.lit("src/m"), key, F.lit(suffix)).alias("path"), F.lit(language).alias("language"), content.alias("content"))
+    return table(spark, sf, "part").select("p_partkey").repartition(many_tasks(spark), "p_partkey").select(F.concat(F.lit("src/m"), key, F.lit(suffix)).alias("path"), F.lit(language).alias("language"), content.alias("content"))
 
 
 def each_part(rows: str, columns: str, suffix: str) -> str:
