@@ -3,8 +3,9 @@
 A text looks up its own substrings: where the first P characters of some snippet stand, P being the largest power of two that the
 snippet reaches, the substrings of all lengths asked for in that class are hashed (a difference of running sums) and kept if
 they may be a snippet. Both tests are bit sets of bounded size, and only let pass too much. Of each
-substring a task passes on only what stands in an earlier source than all it has passed on before, so neither places nor
-pairs of texts and snippets are listed; the substrings themselves meet the snippets by an equal join, which is exact.
+substring a task passes on only what stands in an earlier source than it has passed on before, so neither places nor
+pairs of texts and snippets are listed; the substrings themselves meet the snippets by an equal join, which is exact. What was
+passed on is known by its key of 64 bits and compared with one other key, so a substring is missed with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from quillstone.storage import kept
 SIZES = (1, 2, 3, 4, 6, 8, 16, 32)
 GRAM = {size: size if size <= 8 else size // 2 for size in SIZES}
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SIZE = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bits of the set of anchors: 8 MB at the most, however many there are; a full set only thins less.
 MOST_BITS = 26
-#: Substrings whose first sources a task remembers.
-REMEMBERED = 200_000
-#: Characters of texts that are searched at once.
-TOGETHER = 1 << 19
+#: Bits of the places in which a task remembers the substrings it has passed on (10 MB); a later one takes the place of an earlier.
+REMEMBERED = 19
+#: Characters of texts that are searched at once: few enough for their arrays to stay in a core's own memory.
+TOGETHER = 1 << 16
 
 
 def codes(text: str) -> np.ndarray:
@@ -37,8 +39,12 @@ def codes(text: str) -> np.ndarray:
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
+    y = x >> np.uint64(33)
+    y ^= x
+    y *= np.uint64(0xFF51AFD7ED558CCD)
+    z = y >> np.uint64(29)
+    z ^= y
+    return z
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -71,8 +77,13 @@ def anchors(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def keys_of(file: np.ndarray, size: int | np.ndarray, h: np.ndarray) -> np.ndarray:
-    return scrambled(file.astype(np.int64).view(np.uint64) * np.uint64(31) + h + np.asarray(size).astype(np.uint64) * BASE)
+def of_size(size: int | np.ndarray) -> np.ndarray:
+    return np.asarray(size).astype(np.uint64)[None] * SIZE
+
+
+def keys_of(file: np.ndarray, size: int | np.ndarray, sums: np.ndarray, scale: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Key of the run of that many characters of a file at each place."""
+    return scrambled((sums[at + size] - sums[at]) * scale[at] + file.astype(np.int64).view(np.uint64) + of_size(size).ravel())
 
 
 def prefix_size(length: int) -> int:
@@ -84,72 +95,127 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("snippet").to_pylist()
         files = batch.column("file").to_numpy()
-        whole = np.array([gram_hashes(codes(t), len(t))[0] for t in texts], np.uint64)
         sizes = np.array([len(t) for t in texts], np.int64)
         first = np.array([prefix_size(n) for n in sizes.tolist()], np.int64)
-        begun = np.array([gram_hashes(codes(t[:n]), n)[0] for t, n in zip(texts, first.tolist(), strict=True)], np.uint64)
+        text = codes("".join(texts))
+        sums, scale, at = running_sums(text), powers(BASE, len(text)), np.cumsum(sizes) - sizes
         yield pa.RecordBatch.from_arrays(
-            [batch.column("file_path"), batch.column("snippet"), pa.array(keys_of(files, first, begun).view(np.int64)), pa.array(keys_of(files, sizes, whole).view(np.int64)), pa.array(sizes.astype(np.int32))],
+            [batch.column("file_path"), batch.column("snippet"), *(pa.array(keys_of(files, size, sums, scale, at).view(np.int64)) for size in (first, sizes)), pa.array(sizes.astype(np.int32))],
             ["file_path", "snippet", "prefix", "key", "length"],
         )
 
 
+#: Bits of a key in its word, three at most, by its last twelve bits.
+MASKS = np.bitwise_or.reduce([np.uint64(1) << (scrambled(np.arange(4096, dtype=np.uint64) + np.uint64(4096 * i)) & np.uint64(63)) for i in (1, 2, 3)])
+
+
+def places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word of each key in a set of so many bits, and its bits there."""
+    return (key >> np.uint64(70 - bits)).view(np.int64), MASKS[(key & np.uint64(4095)).view(np.int64)]
+
+
 def bit_set(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
     """A test on arrays of keys that holds for every key of the column and for few others."""
     spark = keys.sparkSession
     bits = min(MOST_BITS, max(16, (32 * keys.count()).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, bool)
+        held = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            held[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-        packed = np.packbits(held).view(np.int64)
-        some = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], ["at", "bits"])
+            np.bitwise_or.at(held, *places(batch.column(0).to_numpy().view(np.uint64), bits))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].view(np.int64))], ["at", "bits"])
 
     found = keys.select(column).mapInArrow(gather, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    packed = np.zeros(1 << (bits - 6), np.int64)
-    packed[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(packed)
+    held = np.zeros(1 << (bits - 6), np.uint64)
+    held[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(held)
 
     def test(key: np.ndarray) -> np.ndarray:
-        at = (key >> np.uint64(64 - bits)).astype(np.int64)
-        return (shared.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        at, mask = places(key, bits)
+        return shared.value[at] & mask == mask
 
     return test
 
 
+class Told:
+    """Substrings that a task has passed on, each with its source, by the last bits of their keys; forgetting costs repeats only."""
+
+    def __init__(self):
+        n = 1 << REMEMBERED
+        self.key, self.no, self.kind = np.zeros(n, np.uint64), np.full(n, (1 << 63) - 1), np.full(n, -1, np.int32)
+
+    def fresh(self, key: np.ndarray, row: Callable[[np.ndarray], np.ndarray], no: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Which substrings may stand in an earlier source than they are remembered with. Kinds are compared for being equal only.
+
+        row: of some substrings; no, kind: of each row.
+        """
+        at = (key & np.uint64(len(self.key) - 1)).view(np.int64)
+        out = self.key[at] != key
+        # Nearly all are remembered with a source before all of these.
+        known = np.flatnonzero(~out)
+        known = known[self.no[at[known]] >= no.min()]
+        at, of = at[known], row(known)
+        held = self.no[at]
+        out[known] = (self.kind[at] < 0) | (held > no[of]) | ((held == no[of]) & (self.kind[at] != kind[of]))
+        return np.flatnonzero(out)
+
+    def add(self, key: np.ndarray, no: np.ndarray, kind: np.ndarray) -> None:
+        # Of equal places the last one counts in each of the arrays, so that they agree.
+        at, last = np.unique((key & np.uint64(len(self.key) - 1))[::-1], return_index=True)
+        last = len(key) - 1 - last
+        self.key[at], self.no[at], self.kind[at] = key[last], no[last], kind[last]
+
+
 def _found(lengths: list[int], begins: Callable[[np.ndarray], np.ndarray], wanted: Callable[[np.ndarray], np.ndarray]):
     """Texts -> (file_path, snippet, source_no, kind): their substrings that may be snippets, of each the sources that come before all earlier rows of the task."""
     classes: dict[int, list[int]] = {}
     for n in lengths:
         classes.setdefault(prefix_size(n), []).append(n)
 
-    def substrings(files: list[int], texts: list[str]) -> Iterator[tuple[int, set[str]]]:
-        """Row and distinct substrings of each text that has any; all texts are one array, in which no run crosses an end."""
+    def substrings(files: np.ndarray, texts: list[str], nos: np.ndarray, kinds: np.ndarray, rank: np.ndarray, told: Told) -> tuple[list[int], list[str]]:
+        """Rows and substrings to pass on; all texts are one array, in which no run crosses an end."""
         text = codes("".join(texts))
         lens = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lens)
         row = np.repeat(np.arange(len(texts)), lens)
-        end, own = ends[row], np.array(files, np.int64)
+        left = ends[row] - np.arange(len(text))
         sums, scale = running_sums(text), powers(BASE, len(text))
-        hits: list[tuple[np.ndarray, ...]] = []
+        of_file = files.view(np.uint64)[row]
+        rows, out = [], []
         for size, asked in classes.items():
-            at = np.flatnonzero(np.arange(len(text)) + size <= end)
-            at = at[begins(keys_of(own[row[at]], size, hashes_at(sums, scale, at, size)))]
+            most = max(0, len(text) - size + 1)
+            # The key of keys_of at every place.
+            key = sums[size : size + most] - sums[:most]
+            key *= scale[:most]
+            key += of_file[:most]
+            key += of_size(size)
+            key = scrambled(key)
+            at = np.flatnonzero(begins(key) & (left[:most] >= size))
+            start, by, file, rest, begun = sums[at], scale[at], of_file[at], left[at], key[at]
             for n in asked:
-                fit = at[at + n <= end[at]]
-                fit = fit[wanted(keys_of(own[row[fit]], n, hashes_at(sums, scale, fit, n)))]
-                if n <= 2:  # one or two characters stand at very many places, and they and their row are one number
-                    fit = fit[np.unique(row[fit] << 42 | text[fit].astype(np.int64) << 21 | text[fit + n - 1], return_index=True)[1]]
-                hits.append((row[fit], fit - (ends - lens)[row[fit]], np.full(len(fit), n)))
-        rows, at, n = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64),) * 3
-        order = np.argsort(rows, kind="stable")
-        rows, at, stop = rows[order], at[order].tolist(), (at + n)[order].tolist()
-        cuts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist() + [len(rows)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            t = texts[rows[a]]
-            yield int(rows[a]), {t[x:y] for x, y in zip(at[a:b], stop[a:b], strict=True)}
+                fit, key = at, begun
+                if n > size:
+                    some = np.flatnonzero(rest >= n)
+                    fit = at[some]
+                    key = sums[fit + n] - start[some]
+                    key *= by[some]
+                    key += file[some]
+                    key += of_size(n)
+                    key = scrambled(key)
+                new = np.flatnonzero(wanted(key))
+                new = new[told.fresh(key[new], lambda some, fit=fit, new=new: row[fit[new[some]]], nos, kinds)]
+                # Of equal substrings of these texts the one of the first source.
+                if not len(new):
+                    continue
+                new = new[np.lexsort((rank[row[fit[new]]], key[new]))]
+                new = new[np.flatnonzero(np.diff(key[new], prepend=~key[new[:1]]))]
+                fit, of = fit[new], row[fit[new]]
+                told.add(key[new], nos[of], kinds[of])
+                begin = (fit - (ends - lens)[of]).tolist()
+                rows += (of := of.tolist())
+                out += [texts[i][a : a + n] for i, a in zip(of, begin, strict=True)]
+        return rows, out
 
     def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Texts of about TOGETHER characters."""
@@ -159,23 +225,20 @@ def _found(lengths: list[int], begins: Callable[[np.ndarray], np.ndarray], wante
             yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple, tuple] = {}
+        told = Told()
+        numbers: dict[object, int] = {}
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            paths, files, nos, kinds, texts = (batch.column(c).to_pylist() for c in ("file_path", "file", "source_no", "kind", "text"))
-            at, fresh = [], []
-            for i, found in substrings(files, texts):
-                path = paths[i]
-                # Nulls stand before all values, as in Spark's order.
-                place = ((nos[i] is not None, nos[i]), (kinds[i] is not None, kinds[i]))
-                for x in found:
-                    seen = first.get((path, x))
-                    if seen is None or place < seen:
-                        first[path, x] = place
-                        at.append(i)
-                        fresh.append(x)
-                # Forgetting costs repeats only.
-                if len(first) > REMEMBERED:
-                    first.clear()
+            nos, kinds, texts = (batch.column(c).to_pylist() for c in ("source_no", "kind", "text"))
+            # Nulls stand before all values, as in Spark's order.
+            places = [((no is not None, no), (kind is not None, kind)) for no, kind in zip(nos, kinds, strict=True)]
+            rank = np.empty(len(places), np.int64)
+            rank[sorted(range(len(places)), key=places.__getitem__)] = np.arange(len(places))
+            if pa.types.is_integer(batch.column("source_no").type):
+                number = np.array([-(1 << 63) if no is None else no for no in nos], np.int64)
+                kind = np.array([numbers.setdefault(k, len(numbers)) for k in kinds], np.int32)
+            else:  # other sources are known to be equal or not
+                number, kind = np.zeros(len(nos), np.int64), np.array([numbers.setdefault(p, len(numbers)) for p in places], np.int32)
+            at, fresh = substrings(batch.column("file").to_numpy(), texts, number, kind, rank, told)
             row = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("file_path").take(row), pa.array(fresh, pa.string()), batch.column("source_no").take(row), batch.column("kind").take(row)], ["file_path", "snippet", "source_no", "kind"])
 

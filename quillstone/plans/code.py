@@ -232,7 +232,10 @@ def _(spark, sf):
     """A stretch of every file against all files of its language."""
     f = B.files(spark, sf).select(F.col("language").alias("file_path"), F.col("file_id").alias("source_no"), F.lit("file").alias("kind"), T.normal_space(F.col("content")).alias("text"))
     at = F.col("source_no") % 40 + 1
-    asked = f.select("file_path", F.substring("text", at, F.col("source_no") % 45 + 1).alias("snippet"))
+    # A stretch ends at the 84th character at most, so the first ones of a text do, but for many blanks.
+    head = T.normal_space(F.substring("content", 1, 400))
+    begun = B.files(spark, sf).select(F.col("language").alias("file_path"), F.col("file_id").alias("source_no"), F.when((F.col("file_id") >= 0) & (F.length(head) >= 84), head).otherwise(T.normal_space(F.col("content"))).alias("text"))
+    asked = begun.select("file_path", F.substring("text", at, F.col("source_no") % 45 + 1).alias("snippet"))
     return snippets.first_sources(asked, f).select("file_path", "snippet", "source_no")
 
 
